@@ -43,11 +43,13 @@ def encoder_mask(encoder_ids) -> Column:
 
 def decoder_mask(decoder_ids, seq_len: int) -> Column:
     """S×S: padding mask AND causal mask ``m[i][j] = j <= i``. S² ints per
-    row, so derive it where it is consumed; never store it."""
+    row, so derive it where it is consumed; never store it. The decoder ids
+    are zipped to every row index (evaluated once per row, not per cell)."""
     d = _c(decoder_ids)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(seq_len - 1)),
-        lambda i: F.transform(d, lambda x, j: ((x != PAD_ID) & (j <= i)).cast("int")))
+    rows = F.arrays_zip(F.sequence(F.lit(0), F.lit(seq_len - 1)).alias("i"),
+                        F.array_repeat(d, seq_len).alias("d"))
+    return F.transform(rows, lambda r: F.transform(
+        r["d"], lambda x, j: ((x != PAD_ID) & (j <= r["i"])).cast("int")))
 
 
 def non_pad_count(ids) -> Column:

@@ -47,12 +47,16 @@ def whitespace_words(text) -> Column:
 
 
 def ngrams(words, n: int) -> Column:
-    """All contiguous n-grams of an array of words, each joined by a space."""
+    """All contiguous n-grams of an array of words, each joined by a space.
+
+    The word array is zipped to every start index instead of being named
+    inside the lambda: an outer reference in a lambda is re-evaluated per
+    element once Catalyst inlines the producing projection.
+    """
     w = _col(words)
+    starts = F.sequence(F.lit(1), F.size(w) - n + 1)
+    pairs = F.arrays_zip(starts.alias("i"), F.array_repeat(w, F.size(w) - n + 1).alias("w"))
     return F.when(
         F.size(w) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(w) - n + 1),
-            lambda i: F.array_join(F.slice(w, i, n), " "),
-        ),
+        F.transform(pairs, lambda p: F.array_join(F.slice(p["w"], p["i"], n), " ")),
     ).otherwise(F.array().cast("array<string>"))

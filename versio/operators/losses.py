@@ -17,14 +17,27 @@ def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def log_sum_exp(values) -> Column:
+    """Stable ``log Σ exp(x)`` in one pass: the accumulator carries the
+    running maximum and the sum rescaled to it, so no lambda refers to an
+    outer array (which Catalyst could re-evaluate per element)."""
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(acc, x):
+        x = x.cast("double")
+        return F.when(x > acc["m"], F.struct(x.alias("m"), (acc["s"] * F.exp(acc["m"] - x) + 1).alias("s"))) \
+            .otherwise(F.struct(acc["m"].alias("m"), (acc["s"] + F.exp(x - acc["m"])).alias("s")))
+
+    return F.aggregate(_c(values), init, step, lambda acc: acc["m"] + F.log(acc["s"]))
+
+
 def token_loss(logits, label, smoothing: float = LABEL_SMOOTHING) -> Column:
     """Per-position loss ``(1-ε)(lse - z_y) + ε(lse - mean z)``; ε = 0 is the
-    plain cross entropy. ``logits`` is cast to double first."""
-    z = F.transform(_c(logits), lambda x: x.cast("double"))
-    m = F.array_max(z)
-    lse = m + F.log(F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
-    z_y = F.element_at(z, _c(label) + 1)
-    mean_z = F.aggregate(z, F.lit(0.0), lambda acc, x: acc + x) / F.size(z)
+    plain cross entropy. Logits are read as double."""
+    z = _c(logits)
+    lse = log_sum_exp(z)
+    z_y = F.element_at(z, _c(label) + 1).cast("double")
+    mean_z = F.aggregate(z, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / F.size(z)
     return (1.0 - smoothing) * (lse - z_y) + smoothing * (lse - mean_z)
 
 

@@ -87,12 +87,15 @@ def bleu(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N) -> DataF
 def word_edit_distance(hyp_words, ref_words) -> Column:
     """Levenshtein distance over words. Each distinct word of the pair is
     mapped to one code point U+10000+k, then the built-in character
-    ``levenshtein`` does the dynamic programme in the JVM."""
+    ``levenshtein`` does the dynamic programme in the JVM. The pair's word
+    list is zipped to each word rather than referenced from the lambda, so
+    it is built once per row."""
     h, r = _c(hyp_words), _c(ref_words)
     vocab = F.array_distinct(F.concat(h, r))
 
     def as_string(words):
-        hexes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(vocab, w) - 1 + 65536), 8, "0"))
+        zipped = F.arrays_zip(words.alias("w"), F.array_repeat(vocab, F.size(words)).alias("v"))
+        hexes = F.transform(zipped, lambda p: F.lpad(F.hex(F.array_position(p["v"], p["w"]) - 1 + 65536), 8, "0"))
         return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-32")
 
     return F.levenshtein(as_string(h), as_string(r))
