@@ -780,7 +780,30 @@ def _manifest_for(spark, pairs, seed, run_id, software):
                            software, run_id)
 
 
-@query("manifest_diff")
+_MANIFEST_KEYS = ["source", "original_examples", "selected_examples", "split_before_filter", "split_after_filter",
+                  "source_vocab_size", "target_vocab_size", "split_seed", "tokenizer_training_split", "software"]
+
+
+def _manifest_diff_sql() -> str:
+    cmp_b = " UNION ALL\n    ".join(
+        f"SELECT '{k}' AS key, a.{k} = b.{k} AS same FROM m_base a, m_b b"
+        for k in ("original_examples", "selected_examples", "split_before_filter", "split_after_filter",
+                  "source_vocab_size", "target_vocab_size"))
+    keys = ", ".join(f"('{k}')" for k in _MANIFEST_KEYS)
+    return _with(O.split_ctes(SEED), O.vocab_ctes(), O.kept_cte(SEQ_LEN),
+                 O.split_ctes(SEED + 1, sfx="_b", with_pairs=False), O.vocab_ctes(sfx="_b"),
+                 O.kept_cte(SEQ_LEN, "_b"), O.manifest_counts_cte("m_base"), O.manifest_counts_cte("m_b", "_b")) + f"""
+, seed_b AS (
+    {cmp_b} UNION ALL
+    SELECT 'source', true UNION ALL SELECT 'split_seed', false UNION ALL
+    SELECT 'tokenizer_training_split', true UNION ALL SELECT 'software', true)
+SELECT 'rerun' AS run_id, key, CASE WHEN key = 'software' THEN 'warn' ELSE 'same' END AS severity
+FROM (VALUES {keys}) k(key)
+UNION ALL
+SELECT 'seed43', key, CASE WHEN same THEN 'same' WHEN key = 'software' THEN 'warn' ELSE 'block' END FROM seed_b"""
+
+
+@query("manifest_diff", _manifest_diff_sql())
 def q_manifest_diff(spark, sf_dir):
     """Three runs over the same pairs: the baseline, a rerun with another
     library version (warn only) and a run with another seed (blocked)."""
@@ -789,7 +812,45 @@ def q_manifest_diff(spark, sf_dir):
     rerun = _manifest_for(spark, pairs, SEED, "rerun", {"pyspark": "4.1.3"})
     other = _manifest_for(spark, pairs, SEED + 1, "seed43", {"pyspark": "4.1.2"})
     long = M.manifest_long(base.unionByName(rerun).unionByName(other))
-    return M.manifest_diff(long, "base")
+    return M.manifest_diff(long, "base").select("run_id", "key", "severity")
+
+
+# ---------------------------------------------------------- streaming, plans
+
+@query("stream_epoch_loss", _with(O.batches_cte()) + """
+SELECT run_id, epoch, phase, round(sum(loss * tokens) / sum(tokens), 9) AS epoch_loss,
+       count(*) AS batches, CAST(sum(tokens) AS BIGINT) AS tokens
+FROM batches GROUP BY run_id, epoch, phase""")
+def q_stream_epoch_loss(spark, sf_dir):
+    """Batch-loss files arrive in two drops (training batches, then
+    validation batches); the streaming aggregation
+    (available-now trigger, restarted from its checkpoint) keeps the epoch
+    losses current."""
+    from ..schemas import BATCH_LOSS
+    from ..streaming.epoch_stream import latest_epoch_losses, start_epoch_history
+
+    base = _scratch(spark, "stream")
+    batches = FX.batch_losses(spark, sf_dir).select(*[f.name for f in BATCH_LOSS.fields])
+    for i, part in enumerate([F.col("phase") == "train", F.col("phase") == "val"]):
+        batches.where(part).write.parquet(f"{base}/inbox/drop{i}")
+        start_epoch_history(spark, f"{base}/inbox/*", f"{base}/out", f"{base}/ckpt").awaitTermination()
+    r = latest_epoch_losses(spark, f"{base}/out")
+    return r.select("run_id", "epoch", "phase", _r("epoch_loss").alias("epoch_loss"),
+                    F.col("batches").cast("bigint"), "tokens")
+
+
+@query("evaluate_test")
+def q_evaluate_test(spark, sf_dir):
+    """Test evaluation end to end: the first 20 test rows scored by the
+    stand-in model, decoded, with corpus metrics attached to every row."""
+    from .evaluate import echo_model, evaluate
+
+    p = _prepared(spark, sf_dir)
+    predictions, scores = evaluate(p, echo_model, SEQ_LEN, EVAL_SAMPLES)
+    return predictions.unionByName(scores.select(F.lit(None).cast("long").alias("id"),
+                                                 F.lit("scores").alias("source"),
+                                                 F.to_json(F.struct("bleu", "cer", "wer")).alias("reference"),
+                                                 F.col("decoded_test_examples").cast("string").alias("prediction")))
 
 
 __all__ = ["registry", "ENCODE_RE", "whitespace_words"]

@@ -21,47 +21,60 @@ def pairs_cte() -> str:
     return f"pairs AS ({PAIRS_SQL})"
 
 
-def split_ctes(seed: int = 42, max_samples: int | None = None) -> str:
+def split_ctes(seed: int = 42, max_samples: int | None = None, sfx: str = "", with_pairs: bool = True) -> str:
     sel = "count(*) OVER ()" if max_samples is None else f"least(count(*) OVER (), {int(max_samples)})"
     size = "greatest(1, round_even(selected * 0.1::DOUBLE, 0))"
-    return f"""{pairs_cte()},
-ranked AS (
+    head = f"{pairs_cte()},\n" if with_pairs else ""
+    return f"""{head}ranked{sfx} AS (
   SELECT id, en AS src_text, it AS tgt_text,
          row_number() OVER (ORDER BY md5(concat('{seed}', ':', id)), id) AS shuffle_rank,
          {sel} AS selected
   FROM pairs),
-split AS (
+split{sfx} AS (
   SELECT id, src_text, tgt_text, shuffle_rank, selected,
          CASE WHEN shuffle_rank <= {size} THEN 'test'
               WHEN shuffle_rank <= 2 * {size} THEN 'val'
               ELSE 'train' END AS split
-  FROM ranked WHERE shuffle_rank <= selected)"""
+  FROM ranked{sfx} WHERE shuffle_rank <= selected)"""
 
 
-def vocab_ctes(cap: int = 30000, min_frequency: int = 2) -> str:
-    return f"""train_tokens AS (
-  SELECT 'en' AS lang, unnest(regexp_extract_all(src_text, '{PRE_RE2}')) AS token FROM split WHERE split = 'train'
+def vocab_ctes(cap: int = 30000, min_frequency: int = 2, sfx: str = "") -> str:
+    return f"""train_tokens{sfx} AS (
+  SELECT 'en' AS lang, unnest(regexp_extract_all(src_text, '{PRE_RE2}')) AS token FROM split{sfx} WHERE split = 'train'
   UNION ALL
-  SELECT 'it' AS lang, unnest(regexp_extract_all(tgt_text, '{PRE_RE2}')) AS token FROM split WHERE split = 'train'),
-word_counts AS (SELECT lang, token, count(*) AS count FROM train_tokens GROUP BY lang, token),
-words AS (
+  SELECT 'it' AS lang, unnest(regexp_extract_all(tgt_text, '{PRE_RE2}')) AS token FROM split{sfx} WHERE split = 'train'),
+word_counts{sfx} AS (SELECT lang, token, count(*) AS count FROM train_tokens{sfx} GROUP BY lang, token),
+words{sfx} AS (
   SELECT lang, token, CAST(row_number() OVER (PARTITION BY lang ORDER BY count DESC, token) + 3 AS INTEGER) AS id
-  FROM word_counts WHERE count >= {min_frequency}
+  FROM word_counts{sfx} WHERE count >= {min_frequency}
   QUALIFY id < {cap}),
-vocab AS (
-  SELECT lang, token, id FROM words
+vocab{sfx} AS (
+  SELECT lang, token, id FROM words{sfx}
   UNION ALL
   SELECT l.lang, s.token, CAST(s.id AS INTEGER) FROM (VALUES ('en'), ('it')) l(lang)
   CROSS JOIN (VALUES ('[UNK]', 0), ('[PAD]', 1), ('[SOS]', 2), ('[EOS]', 3)) s(token, id))"""
 
 
-def kept_cte(seq_len: int) -> str:
-    return f"""kept AS (
-  SELECT * FROM split
+def kept_cte(seq_len: int, sfx: str = "") -> str:
+    return f"""kept{sfx} AS (
+  SELECT * FROM split{sfx}
   WHERE len(regexp_extract_all(src_text, '{PRE_RE2}')) + 2 <= {seq_len}
     AND len(regexp_extract_all(tgt_text, '{PRE_RE2}')) + 1 <= {seq_len})"""
 
 
+def manifest_counts_cte(name: str, sfx: str = "") -> str:
+    """Manifest counts of one run; split counts as lists in split-name order."""
+    per_split = lambda table: f"""(SELECT list(coalesce(k.c, 0) ORDER BY v.s) FROM (VALUES ('test'), ('train'), ('val')) v(s)
+             LEFT JOIN (SELECT split, count(*) AS c FROM {table} GROUP BY split) k ON k.split = v.s)"""
+    return f"""{name} AS (
+  SELECT (SELECT count(*) FROM pairs) AS original_examples,
+         (SELECT max(selected) FROM split{sfx}) AS selected_examples,
+         {per_split(f"split{sfx}")} AS split_before_filter,
+         {per_split(f"kept{sfx}")} AS split_after_filter,
+         (SELECT count(*) FILTER (WHERE lang = 'en') FROM vocab{sfx}) AS source_vocab_size,
+         (SELECT count(*) FILTER (WHERE lang = 'it') FROM vocab{sfx}) AS target_vocab_size)"""
+
+
 def encode_ctes(source: str = "kept") -> str:
     return f"""sides AS (
   SELECT id, 'src' AS side, 'en' AS lang, regexp_extract_all(src_text, '{PRE_RE2}') AS toks FROM {source}
