@@ -64,8 +64,8 @@ def learning_curve(history: DataFrame, run_col: str = "run_id") -> DataFrame:
     long = history.select(run_col, "epoch", "train_loss", "val_loss").unpivot(
         [run_col, "epoch"], ["train_loss", "val_loss"], "series", "loss")
     long = long.withColumn("series", F.regexp_replace("series", "_loss$", ""))
-    # one row per run: bounded by the number of runs, never by the data
-    return long.join(F.broadcast(best), run_col).select(
+    # one row per run; Spark broadcasts it only if its measured size is small
+    return long.join(best, run_col).select(
         run_col, "epoch", "series", "loss",
         ((F.col("series") == "val") & (F.col("epoch") == F.col("best_epoch"))).alias("is_best"))
 

@@ -25,6 +25,15 @@ def _text(c) -> Column:
     return F.coalesce(_c(c), F.lit(""))
 
 
+def spread_rows(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over all cores before per-row work that costs
+    far more than moving the row (edit distances are quadratic per pair,
+    n-gram lists grow with every word). Deterministic on retry: Spark sorts
+    rows locally before a round-robin repartition."""
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(int(n))
+
+
 def _tagged(words: Column, n: int) -> Column:
     return F.transform(ngrams(words, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
 
@@ -35,7 +44,10 @@ def _all_ngrams(words: Column, max_n: int) -> Column:
 
 def ngram_counts(df: DataFrame, key_cols, text_col, max_n: int = MAX_N) -> DataFrame:
     """``(key..., n, gram, count)`` of word n-grams of whitespace-split text."""
-    g = df.select(*key_cols, F.explode(_all_ngrams(whitespace_words(_text(text_col)), max_n)).alias("_g"))
+    # the words are a column of their own before the generator, so the
+    # regex runs once per row, not once per reference inside the n-gram lists
+    w = spread_rows(df).select(*key_cols, whitespace_words(_text(text_col)).alias("_w"))
+    g = w.select(*key_cols, F.explode(_all_ngrams(F.col("_w"), max_n)).alias("_g"))
     return g.groupBy(*key_cols, F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram")).agg(
         F.count(F.lit(1)).alias("count"))
 
@@ -51,7 +63,7 @@ def bleu_stats(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N) ->
     side = F.array(
         F.struct(F.lit(0).alias("side"), whitespace_words(_text(hyp_col)).alias("w")),
         F.struct(F.lit(1).alias("side"), whitespace_words(_text(ref_col)).alias("w")))
-    s = df.select(*key_cols, F.explode(side).alias("_s"))
+    s = spread_rows(df).select(*key_cols, F.explode(side).alias("_s"))
     g = s.select(*key_cols, F.col("_s.side").alias("side"),
                  F.explode(_all_ngrams(F.col("_s.w"), max_n)).alias("_g"))
     counts = g.groupBy(*key_cols, F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram")).agg(
@@ -106,19 +118,19 @@ def sentence_errors(df: DataFrame, key_cols, hyp_col, ref_col) -> DataFrame:
     (a missing hypothesis counts as an empty string)."""
     h, r = _text(hyp_col), _text(ref_col)
     hw, rw = whitespace_words(h), whitespace_words(r)
-    return df.select(*key_cols,
+    return spread_rows(df).select(*key_cols,
                      F.levenshtein(h, r).alias("char_errors"), F.length(r).alias("ref_chars"),
                      word_edit_distance(hw, rw).alias("word_errors"), F.size(rw).alias("ref_words"))
 
 
 def cer(df: DataFrame, hyp_col, ref_col) -> DataFrame:
     h, r = _text(hyp_col), _text(ref_col)
-    return df.agg((F.sum(F.levenshtein(h, r)) / F.sum(F.length(r))).alias("cer"))
+    return spread_rows(df).agg((F.sum(F.levenshtein(h, r)) / F.sum(F.length(r))).alias("cer"))
 
 
 def wer(df: DataFrame, hyp_col, ref_col) -> DataFrame:
     hw, rw = whitespace_words(_text(hyp_col)), whitespace_words(_text(ref_col))
-    return df.agg((F.sum(word_edit_distance(hw, rw)) / F.sum(F.size(rw))).alias("wer"))
+    return spread_rows(df).agg((F.sum(word_edit_distance(hw, rw)) / F.sum(F.size(rw))).alias("wer"))
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
