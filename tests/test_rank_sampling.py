@@ -115,3 +115,20 @@ def test_running_sums_match_cumsum(spark):
     for g, o, v in rows:
         acc[g] = acc.get(g, 0.0) + v
         assert got[(g, o)] == acc[g]
+
+
+def test_hot_copies_split_across_tasks(spark, scratch):
+    from versio.sources.pairs import read_pairs
+
+    # a third of the corpus is one byte-identical pair repeated
+    rows = [(i, ("hello there", "ciao")) for i in range(2000)] + [(7, ("same", "stesso"))] * 1000
+    spark.createDataFrame(rows, "id long, translation struct<en:string,it:string>") \
+        .repartition(4).write.parquet(scratch)
+    pairs = read_pairs(spark, scratch)
+    ranked = seeded_shuffle(pairs, 42)
+    per_task = ranked.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in per_task) < 1000
+    got = ranked.collect()
+    assert sorted(r.shuffle_rank for r in got) == list(range(1, 3001))
+    again = {(r.id, r.row_key.file, r.row_key.row): r.shuffle_rank for r in seeded_shuffle(read_pairs(spark, scratch), 42).collect()}
+    assert again == {(r.id, r.row_key.file, r.row_key.row): r.shuffle_rank for r in got}

@@ -1,22 +1,73 @@
 """Text → id arrays and back, and the unknown-token rate.
 
-Encoding explodes tokens with their position, looks them up in the
-(broadcast, size-capped) vocabulary and collects them again per row key:
-one shuffle on the key for any number of text columns.
+Two equivalent strategies:
+
+* ``lookup`` (default): the JVM regex splits the text, and the token → id
+  lookup runs in Arrow batches against the vocabulary shipped to every
+  executor as a broadcast variable. The vocabulary is capped (≤ 30,000
+  entries per language, checked before it is shipped), so the transform
+  is narrow: no shuffle, no join back, whatever the corpus size.
+* ``join``: pure JVM — explode tokens with their positions, broadcast-join
+  the vocabulary, collect again per row key. It shuffles one row per token,
+  which at corpus scale is as large as the text itself.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import encode_tokens
-from ..schemas import EOS_ID
+from ..schemas import EOS_ID, VOCAB_CAP
 
 
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def encode_ids(df: DataFrame, key_cols, specs: dict, vocab: DataFrame) -> DataFrame:
+def _vocab_tables(vocab: DataFrame, langs, max_per_lang: int):
+    """Driver-side dictionaries of a capped vocabulary (bounded: at most
+    ``max_per_lang`` rows per language, verified here)."""
+    rows = vocab.where(F.col("lang").isin(list(langs))).select("lang", "token", "id").collect()
+    tables = {lang: {} for lang in langs}
+    for r in rows:
+        tables[r["lang"]][r["token"]] = r["id"]
+    for lang, t in tables.items():
+        if len(t) > max_per_lang:
+            raise ValueError(f"vocabulary of {lang} has {len(t)} entries, above the bound {max_per_lang}")
+    return tables
+
+
+def _lookup_udf(broadcast_tables, lang: str):
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def token_ids(tokens: pd.Series) -> pd.Series:
+        get = broadcast_tables.value[lang].get
+
+        def one(arr):
+            if arr is None:
+                return np.zeros(0, dtype=np.int32)
+            return np.fromiter((get(t, 0) for t in arr), dtype=np.int32, count=len(arr))
+
+        return tokens.map(one)
+
+    return token_ids
+
+
+def encode_columns(df: DataFrame, specs: dict, vocab: DataFrame, max_per_lang: int = VOCAB_CAP) -> DataFrame:
+    """``df`` plus an ``array<int>`` column per spec (``out -> (text, lang)``),
+    computed row by row with no shuffle; unknown tokens become 0 and a text
+    without tokens gives an empty array."""
+    langs = sorted({lang for _, lang in specs.values()})
+    tables = _vocab_tables(vocab, langs, max_per_lang)
+    bc = df.sparkSession.sparkContext.broadcast(tables)
+    out = df
+    for name, (text, lang) in specs.items():
+        out = out.withColumn(name, _lookup_udf(bc, lang)(encode_tokens(_c(text))))
+    return out
+
+
+def encode_ids(df: DataFrame, key_cols, specs: dict, vocab: DataFrame, method: str = "lookup") -> DataFrame:
     """``(key..., out_col...)`` with ``array<int>`` ids for every spec.
 
     ``specs`` maps an output column to ``(text column, language)``. Unknown
@@ -24,6 +75,10 @@ def encode_ids(df: DataFrame, key_cols, specs: dict, vocab: DataFrame) -> DataFr
     dropped row). ``key_cols`` must identify a row.
     """
     key_cols = list(key_cols)
+    if method == "lookup":
+        return encode_columns(df, specs, vocab).select(*key_cols, *specs)
+    if method != "join":
+        raise ValueError(f"unknown method {method}")
     parts = [F.struct(F.lit(out).alias("out"), F.lit(lang).alias("lang"), _c(text).alias("text"))
              for out, (text, lang) in specs.items()]
     sides = df.select(*key_cols, F.explode(F.array(*parts)).alias("_s"))
@@ -40,9 +95,11 @@ def encode_ids(df: DataFrame, key_cols, specs: dict, vocab: DataFrame) -> DataFr
     return looked_up.groupBy(*key_cols).agg(*aggs)
 
 
-def encode(df: DataFrame, key_cols, specs: dict, vocab: DataFrame) -> DataFrame:
-    """``df`` with the id arrays of ``specs`` added (joined back on the key)."""
-    ids = encode_ids(df, key_cols, specs, vocab)
+def encode(df: DataFrame, key_cols, specs: dict, vocab: DataFrame, method: str = "lookup") -> DataFrame:
+    """``df`` with the id arrays of ``specs`` added."""
+    if method == "lookup":
+        return encode_columns(df, specs, vocab)
+    ids = encode_ids(df, key_cols, specs, vocab, method)
     return df.join(ids, list(key_cols))
 
 
@@ -52,11 +109,41 @@ def token_count(text) -> F.Column:
     return F.size(encode_tokens(_c(text)))
 
 
+def _decode_udf(broadcast_table):
+    @F.pandas_udf(T.StringType())
+    def text(ids: pd.Series) -> pd.Series:
+        table = broadcast_table.value
+        n = len(table)
+
+        def one(arr):
+            if arr is None:
+                return ""
+            return " ".join(table[i] for i in arr if EOS_ID < i < n and table[i] is not None)
+
+        return ids.map(one)
+
+    return text
+
+
+def decode_column(df: DataFrame, ids_col: str, vocab: DataFrame, lang: str, out_col: str = "text",
+                  max_entries: int = VOCAB_CAP) -> DataFrame:
+    """``df`` plus the decoded text of ``ids_col`` (narrow, no shuffle)."""
+    tables = _vocab_tables(vocab, [lang], max_entries)[lang]
+    size = max(tables.values(), default=-1) + 1
+    by_id = [None] * size
+    for tok, i in tables.items():
+        by_id[i] = tok
+    bc = df.sparkSession.sparkContext.broadcast(by_id)
+    return df.withColumn(out_col, _decode_udf(bc)(F.col(ids_col)))
+
+
 def decode_texts(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, lang: str,
-                 out_col: str = "text") -> DataFrame:
+                 out_col: str = "text", method: str = "lookup") -> DataFrame:
     """``(key..., out_col)``: ids → tokens joined by one space; the four
     specials (``[UNK]`` included) and ids outside the vocabulary are dropped."""
     key_cols = list(key_cols)
+    if method == "lookup":
+        return decode_column(df, ids_col, vocab, lang, out_col).select(*key_cols, out_col)
     long = df.select(*key_cols, F.posexplode_outer(F.col(ids_col)).alias("_pos", "_tok_id"))
     v = vocab.where(F.col("lang") == lang).select(F.col("id").alias("_tok_id"), F.col("token").alias("_tok"))
     looked_up = long.join(F.broadcast(v), "_tok_id", "left")
@@ -67,8 +154,10 @@ def decode_texts(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, lang:
 
 
 def decode(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, lang: str,
-           out_col: str = "text") -> DataFrame:
-    return df.join(decode_texts(df, key_cols, ids_col, vocab, lang, out_col), list(key_cols))
+           out_col: str = "text", method: str = "lookup") -> DataFrame:
+    if method == "lookup":
+        return decode_column(df, ids_col, vocab, lang, out_col)
+    return df.join(decode_texts(df, key_cols, ids_col, vocab, lang, out_col, method), list(key_cols))
 
 
 def oov_rate(df: DataFrame, group_cols, ids_cols) -> DataFrame:

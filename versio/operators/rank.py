@@ -1,14 +1,18 @@
 """Exact global rank and running sums without a one-partition window.
 
-``exact_rank`` is the DataFrame form of an indexed sort: one range shuffle on
-the order key (balanced by sampling, so a heavy key range is split across
-tasks as long as the key is unique), a row count per range partition (at most
-``num_partitions`` rows, broadcast), then rank = rows in earlier partitions +
-position inside the partition. The order key must be a total order (make it
-unique, e.g. end with the row id); ties would make the rank depend on layout.
+``exact_rank`` is the DataFrame form of an indexed sort. The rows are
+range-partitioned on the order key (boundaries sampled, so a heavy range of
+the leading column is split across tasks as long as the whole key is
+unique) and sorted inside each partition. That sorted table is written
+once as a reliable checkpoint in the session's checkpoint folder: from then
+on its partitions are fixed files, so the per-partition row counts and the
+row positions are read from the very same partitions (two independent
+evaluations of a range exchange may sample different boundaries). Rank =
+rows in earlier partitions + position inside the partition; the count
+table has one row per partition and is broadcast.
 
-The range exchange has an explicit partition count, so adaptive execution
-never coalesces it and partition ids stay aligned with the counts.
+The order key must be a total order (end it with a unique column); ties
+would make the rank depend on layout.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -25,19 +29,23 @@ def exact_rank(df: DataFrame, order_cols, rank_col: str = "rank",
                total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Add a 1-based ``rank_col`` (bigint) in the total order of ``order_cols``.
 
-    With ``total_col`` the row count of ``df`` is added as well, computed in
-    the same plan from the per-partition counts (no driver round trip).
+    Runs one job (the sort and its checkpoint) when called; the result is a
+    plan over the checkpointed table. With ``total_col`` the row count of
+    ``df`` is added as well, from the per-partition counts (no driver round
+    trip).
     """
+    from ..session import ensure_checkpoint_dir
+
     n = _partitions(df, num_partitions)
     keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_rk_pid", F.spark_partition_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    positioned = (
+        ordered.withColumn("_rk_pid", F.spark_partition_id())
         .withColumn("_rk_pos", F.monotonically_increasing_id()
                     - F.shiftleft(F.col("_rk_pid").cast("bigint"), 33))
     )
-    counts = ranged.groupBy("_rk_pid").agg(F.count(F.lit(1)).alias("_rk_cnt"))
+    counts = ordered.groupBy(F.spark_partition_id().alias("_rk_pid")).agg(F.count(F.lit(1)).alias("_rk_cnt"))
     # ``counts`` has at most n rows, so the unpartitioned windows below and
     # the broadcast are bounded by the partition count, not by the data.
     before = Window.orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,7 +54,7 @@ def exact_rank(df: DataFrame, order_cols, rank_col: str = "rank",
         F.coalesce(F.sum("_rk_cnt").over(before), F.lit(0)).alias("_rk_off"),
         F.sum("_rk_cnt").over(Window.partitionBy()).alias("_rk_total"),
     )
-    out = ranged.join(F.broadcast(offsets), "_rk_pid").withColumn(
+    out = positioned.join(F.broadcast(offsets), "_rk_pid").withColumn(
         rank_col, F.col("_rk_off") + F.col("_rk_pos") + 1)
     if total_col:
         out = out.withColumn(total_col, F.col("_rk_total"))

@@ -18,11 +18,17 @@ def shuffle_key(seed, id_col: str = "id") -> Column:
     return F.md5(F.concat(seed_col.cast("string"), F.lit(":"), F.col(id_col).cast("string")))
 
 
+def _order(df: DataFrame, hash_col: str, id_col: str) -> list:
+    """Hash, id, then the source position when the rows carry one, so even
+    byte-identical copies have distinct keys and split across tasks."""
+    return [hash_col, id_col] + (["row_key"] if "row_key" in df.columns else [])
+
+
 def seeded_shuffle(df: DataFrame, seed: int, id_col: str = "id",
                    rank_col: str = "shuffle_rank", total_col: str | None = "total") -> DataFrame:
     """Add the position of each row in the seeded permutation (1-based)."""
     keyed = df.withColumn("_shuffle_h", shuffle_key(seed, id_col))
-    ranked = exact_rank(keyed, ["_shuffle_h", id_col], rank_col=rank_col, total_col=total_col)
+    ranked = exact_rank(keyed, _order(df, "_shuffle_h", id_col), rank_col=rank_col, total_col=total_col)
     return ranked.drop("_shuffle_h")
 
 
@@ -78,7 +84,7 @@ def epoch_order(df: DataFrame, seed: int, epoch: int, id_col: str = "id",
     """A new deterministic order of the training rows for one epoch
     (seed + epoch), as ``epoch_rank`` starting at 1."""
     keyed = df.withColumn("_epoch_h", shuffle_key(int(seed) + int(epoch), id_col))
-    return exact_rank(keyed, ["_epoch_h", id_col], rank_col=rank_col).drop("_epoch_h")
+    return exact_rank(keyed, _order(df, "_epoch_h", id_col), rank_col=rank_col).drop("_epoch_h")
 
 
 def assign_batches(df: DataFrame, batch_size: int, rank_col: str = "epoch_rank",

@@ -11,7 +11,6 @@ from ..operators.encoding import encode
 from ..operators.inputs import length_filter, model_inputs
 from ..operators.sampling import split_train_val_test
 from ..operators.vocab import train_vocab
-from ..session import ensure_checkpoint_dir
 from ..sources.pairs import project_lang
 
 
@@ -26,22 +25,20 @@ class Prepared:
 
 def split_pairs(pairs: DataFrame, seed: int = 42, max_samples: int | None = None,
                 src: str = "en", tgt: str = "it") -> DataFrame:
-    flat = pairs.select("id", project_lang(pairs, src, "src_text"), project_lang(pairs, tgt, "tgt_text"))
+    keep = ["row_key"] if "row_key" in pairs.columns else []
+    flat = pairs.select("id", project_lang(pairs, src, "src_text"), project_lang(pairs, tgt, "tgt_text"), *keep)
     return split_train_val_test(flat, seed, max_samples)
 
 
 def prepare(pairs: DataFrame, seed: int = 42, max_samples: int | None = None, seq_len: int = 128,
             src: str = "en", tgt: str = "it", with_decoder_mask: bool = True,
-            vocab: DataFrame | None = None, materialize: bool = True) -> Prepared:
-    """Build the plan. With ``materialize`` the split table is written once
-    to the session's checkpoint folder (a reliable checkpoint, so it
-    survives lost executors): the vocabulary, the length filter and the
-    encoder then read it instead of each repeating the scan and the range
-    shuffle of the whole corpus."""
+            vocab: DataFrame | None = None) -> Prepared:
+    """Build the plan. The seeded split is materialised once by its rank
+    (the sorted corpus is a reliable checkpoint in the session's checkpoint
+    folder, so it survives lost executors): the vocabulary, the length
+    filter and the encoder all read that table instead of each repeating
+    the scan and the range shuffle of the whole corpus."""
     split = split_pairs(pairs, seed, max_samples, src, tgt)
-    if materialize:
-        ensure_checkpoint_dir(split.sparkSession)
-        split = split.checkpoint(eager=True)
     if vocab is None:
         vocab = train_vocab(split, {src: "src_text", tgt: "tgt_text"})
     kept = length_filter(split, seq_len)

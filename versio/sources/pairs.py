@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 REQUIRED_COLUMNS = {"translation", "id"}
 
 
-def read_pairs(spark: SparkSession, path: str, src: str = "en", tgt: str = "it") -> DataFrame:
-    """Load a pair corpus (``id``, ``translation`` struct keyed by language).
+def row_key() -> Column:
+    """Position of a row in its source: (hash of the file path, row index in
+    the file). Unique and stable across re-reads and lost executors, so it
+    breaks ties between byte-identical rows — a hot group of copies then
+    still spreads over the range partitions of a sort. Only valid directly
+    on a file scan (it reads the hidden ``_metadata`` column)."""
+    return F.struct(F.xxhash64(F.col("_metadata.file_path")).alias("file"),
+                    F.col("_metadata.row_index").alias("row"))
+
 
-    The column check reads only the Parquet footer schema; no job runs.
+def read_pairs(spark: SparkSession, path: str, src: str = "en", tgt: str = "it") -> DataFrame:
+    """Load a pair corpus (``id``, ``translation`` struct keyed by language,
+    plus ``row_key``). The column check reads only the Parquet footer
+    schema; no job runs.
     """
     df = spark.read.parquet(path)
     check_pair_columns(df, src, tgt)
-    return df
+    return df.withColumn("row_key", row_key())
 
 
 def check_pair_columns(df: DataFrame, src: str = "en", tgt: str = "it") -> None:
@@ -36,19 +46,21 @@ def pairs_from_conversations(conversations: DataFrame, src: str = "en", tgt: str
                              first_role: str = "user", second_role: str = "assistant") -> DataFrame:
     """Pairs (user turn, the assistant turn right after it) as a pair corpus.
 
-    ``id = conv_id * 1000 + turn``. Written as an equi-join on
+    ``id = conv_id * 1000 + turn``; ``row_key`` is the user turn's position
+    in its file (``conversations`` must be a plain file scan). Written as an equi-join on
     ``(conv_id, turn + 1)`` rather than ``lead()`` over a conversation, so a
     huge conversation is spread over many tasks instead of one window.
     """
-    c = conversations.select("conv_id", "turn", "role", "text")
+    c = conversations.select("conv_id", "turn", "role", "text", row_key().alias("row_key"))
     first = c.where(F.col("role") == first_role).select(
-        "conv_id", F.col("turn").alias("_t1"), F.col("text").alias("_src"))
+        "conv_id", F.col("turn").alias("_t1"), F.col("text").alias("_src"), "row_key")
     second = c.where(F.col("role") == second_role).select(
         "conv_id", (F.col("turn") - 1).alias("_t1"), F.col("text").alias("_tgt"))
     joined = first.join(second, ["conv_id", "_t1"])
     return joined.select(
         (F.col("conv_id") * 1000 + F.col("_t1")).alias("id"),
         F.struct(F.col("_src").alias(src), F.col("_tgt").alias(tgt)).alias("translation"),
+        "row_key",
     )
 
 
