@@ -32,13 +32,14 @@ def split_pairs(pairs: DataFrame, seed: int = 42, max_samples: int | None = None
 
 def prepare(pairs: DataFrame, seed: int = 42, max_samples: int | None = None, seq_len: int = 128,
             src: str = "en", tgt: str = "it", with_decoder_mask: bool = True,
-            vocab: DataFrame | None = None) -> Prepared:
+            vocab: DataFrame | None = None, split: DataFrame | None = None) -> Prepared:
     """Build the plan. The seeded split is materialised once by its rank
     (the sorted corpus is a reliable checkpoint in the session's checkpoint
     folder, so it survives lost executors): the vocabulary, the length
     filter and the encoder all read that table instead of each repeating
     the scan and the range shuffle of the whole corpus."""
-    split = split_pairs(pairs, seed, max_samples, src, tgt)
+    if split is None:
+        split = split_pairs(pairs, seed, max_samples, src, tgt)
     if vocab is None:
         vocab = train_vocab(split, {src: "src_text", tgt: "tgt_text"})
     kept = length_filter(split, seq_len)
