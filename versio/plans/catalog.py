@@ -9,11 +9,11 @@ masks) and the default configuration otherwise (sequence length 128).
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.text import ENCODE_RE, pre_tokenize, whitespace_words
+from ..functions.text import pre_tokenize
 from ..operators import encoding as E
 from ..operators import history as H
 from ..operators import hypotheses as Y
@@ -853,4 +853,4 @@ def q_evaluate_test(spark, sf_dir):
                                                  F.col("decoded_test_examples").cast("string").alias("prediction")))
 
 
-__all__ = ["registry", "ENCODE_RE", "whitespace_words"]
+__all__ = ["registry"]

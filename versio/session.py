@@ -26,7 +26,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.ansi.enabled", "false")
+        # checkpoints of rank/split tables that are no longer referenced are
+        # deleted, so long test and bench sessions do not fill the folder
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
