@@ -132,3 +132,17 @@ def test_hot_copies_split_across_tasks(spark, scratch):
     assert sorted(r.shuffle_rank for r in got) == list(range(1, 3001))
     again = {(r.id, r.row_key.file, r.row_key.row): r.shuffle_rank for r in seeded_shuffle(read_pairs(spark, scratch), 42).collect()}
     assert again == {(r.id, r.row_key.file, r.row_key.row): r.shuffle_rank for r in got}
+
+
+def test_sample_paths_agree(spark, monkeypatch):
+    import versio.operators.sampling as sampling
+
+    df = _ids(spark, 500)
+    small = {r.id: r.shuffle_rank for r in sampling.sample_n(df, 120, 5).collect()}
+    monkeypatch.setattr(sampling, "TOP_K_MAX", 10)
+    ranked = {r.id: r.shuffle_rank for r in sampling.sample_n(df, 120, 5).collect()}
+    split_rank = {r.id: r.split for r in sampling.split_train_val_test(df, 5, max_samples=120).collect()}
+    monkeypatch.setattr(sampling, "TOP_K_MAX", 100_000)
+    split_topk = {r.id: r.split for r in sampling.split_train_val_test(df, 5, max_samples=120).collect()}
+    assert small == ranked and len(small) == 120
+    assert split_rank == split_topk

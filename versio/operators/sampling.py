@@ -39,14 +39,24 @@ def split_sizes(selected: Column):
     return size, size
 
 
-def sample_n(df: DataFrame, n: int | None, seed: int, id_col: str = "id") -> DataFrame:
-    """The first ``min(n, total)`` rows of the seeded permutation (all if n is None).
+# Samples up to this size are taken with a distributed top-k (each task keeps
+# its first n rows of the order, one task merges them); larger ones rank the
+# whole table, because a big limit would funnel into one task.
+TOP_K_MAX = 100_000
 
-    Small ``n`` would also work as ``orderBy(key).limit(n)``; the rank form
-    keeps large samples distributed (a big limit collapses to one task).
-    """
+
+def _first_n(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
+    keyed = df.withColumn("_shuffle_h", shuffle_key(seed, id_col))
+    return keyed.orderBy(*_order(df, "_shuffle_h", id_col)).limit(int(n)).drop("_shuffle_h")
+
+
+def sample_n(df: DataFrame, n: int | None, seed: int, id_col: str = "id") -> DataFrame:
+    """The first ``min(n, total)`` rows of the seeded permutation (all if n
+    is None), with their ``shuffle_rank``."""
     if n is not None and n < MIN_SELECTED_ROWS:
         raise ValueError(f"n must be at least {MIN_SELECTED_ROWS}")
+    if n is not None and n <= TOP_K_MAX:
+        return seeded_shuffle(_first_n(df, n, seed, id_col), seed, id_col)
     ranked = seeded_shuffle(df, seed, id_col)
     if n is None:
         return ranked
@@ -62,6 +72,10 @@ def split_train_val_test(df: DataFrame, seed: int, max_samples: int | None = Non
     Adds ``split``, ``shuffle_rank`` and ``selected`` (the selection size).
     With ``check_min_rows`` a selection under 10 rows fails the job.
     """
+    if max_samples is not None and max_samples <= TOP_K_MAX:
+        # the sample is a prefix of the permutation, so ranking only the
+        # sampled rows gives the same ranks as ranking the whole table
+        df = _first_n(df, max_samples, seed, id_col)
     ranked = seeded_shuffle(df, seed, id_col)
     selected = F.col("total") if max_samples is None else \
         F.least(F.col("total"), F.lit(int(max_samples)).cast("bigint"))
