@@ -26,20 +26,23 @@ def _partitions(df: DataFrame, num_partitions):
 
 
 def exact_rank(df: DataFrame, order_cols, rank_col: str = "rank",
-               total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
+               total_col: str | None = None, num_partitions: int | None = None,
+               drop_after_sort=()) -> DataFrame:
     """Add a 1-based ``rank_col`` (bigint) in the total order of ``order_cols``.
 
     Runs one job (the sort and its checkpoint) when called; the result is a
     plan over the checkpointed table. With ``total_col`` the row count of
     ``df`` is added as well, from the per-partition counts (no driver round
-    trip).
+    trip). ``drop_after_sort`` names sort-only helper columns that are not
+    written to the checkpoint.
     """
     from ..session import ensure_checkpoint_dir
 
     n = _partitions(df, num_partitions)
     keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ensure_checkpoint_dir(df.sparkSession)
-    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*drop_after_sort) \
+        .checkpoint(eager=True)
     positioned = (
         ordered.withColumn("_rk_pid", F.spark_partition_id())
         .withColumn("_rk_pos", F.monotonically_increasing_id()

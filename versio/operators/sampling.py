@@ -28,8 +28,8 @@ def seeded_shuffle(df: DataFrame, seed: int, id_col: str = "id",
                    rank_col: str = "shuffle_rank", total_col: str | None = "total") -> DataFrame:
     """Add the position of each row in the seeded permutation (1-based)."""
     keyed = df.withColumn("_shuffle_h", shuffle_key(seed, id_col))
-    ranked = exact_rank(keyed, _order(df, "_shuffle_h", id_col), rank_col=rank_col, total_col=total_col)
-    return ranked.drop("_shuffle_h")
+    return exact_rank(keyed, _order(df, "_shuffle_h", id_col), rank_col=rank_col, total_col=total_col,
+                      drop_after_sort=["_shuffle_h"])
 
 
 def split_sizes(selected: Column):
@@ -98,7 +98,7 @@ def epoch_order(df: DataFrame, seed: int, epoch: int, id_col: str = "id",
     """A new deterministic order of the training rows for one epoch
     (seed + epoch), as ``epoch_rank`` starting at 1."""
     keyed = df.withColumn("_epoch_h", shuffle_key(int(seed) + int(epoch), id_col))
-    return exact_rank(keyed, _order(df, "_epoch_h", id_col), rank_col=rank_col).drop("_epoch_h")
+    return exact_rank(keyed, _order(df, "_epoch_h", id_col), rank_col=rank_col, drop_after_sort=["_epoch_h"])
 
 
 def assign_batches(df: DataFrame, batch_size: int, rank_col: str = "epoch_rank",
