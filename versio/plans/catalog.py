@@ -75,6 +75,25 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+_VOCAB_SQL = _with(O.split_ctes(SEED), O.vocab_ctes()) + "SELECT lang, token, id FROM vocab"
+
+_REPORT_SQL = _with(O.split_ctes(SEED)) + f"""
+SELECT split, count(*) AS rows_before,
+       count(*) FILTER (WHERE len(regexp_extract_all(src_text, '{O.PRE_RE2}')) + 2 <= {SEQ_LEN}
+                          AND len(regexp_extract_all(tgt_text, '{O.PRE_RE2}')) + 1 <= {SEQ_LEN}) AS rows_after
+FROM split GROUP BY split"""
+
+_PREDICTIONS_CTE = _with(O.split_ctes(SEED), O.vocab_ctes(), O.kept_cte(SEQ_LEN), O.encode_ctes()) + """
+, test AS (SELECT * FROM encoded WHERE split = 'test'),
+dec AS (SELECT id, generate_subscripts(tgt_ids, 1) AS pos, unnest(tgt_ids) AS tid FROM test),
+txt AS (SELECT d.id, string_agg(v.token, ' ' ORDER BY d.pos) AS text
+        FROM dec d JOIN vocab v ON v.lang = 'it' AND v.id = d.tid WHERE d.tid > 3 GROUP BY d.id),
+predictions AS (
+  SELECT t.id, t.src_text AS source, t.tgt_text AS reference, coalesce(x.text, '') AS prediction
+  FROM test t LEFT JOIN txt x USING (id))
+"""
+
+
 # ---------------------------------------------------------------- 2.1 sources
 
 @query("read_pairs", _with(O.pairs_cte()) + "SELECT id, en, it FROM pairs")
@@ -99,20 +118,25 @@ def _predictions(spark, sf_dir):
                               p.vocab, "it")
 
 
-@query("write_predictions")
+@query("write_predictions", _PREDICTIONS_CTE + "SELECT source, reference, prediction FROM predictions")
 def q_write_predictions(spark, sf_dir):
     path = _scratch(spark, "predictions")
     FS.write_predictions(_predictions(spark, sf_dir), path)
     return FS.read_predictions(spark, path)
 
 
-@query("append_history")
+@query("append_history", _with(O.history_cte()) + """
+SELECT run_id, epoch, round(train_loss, 9) AS train_loss, round(val_loss, 9) AS val_loss, seconds, global_step
+FROM history""")
 def q_append_history(spark, sf_dir):
+    """Epoch rows appended to a history table in two writes, read back whole."""
     path = _scratch(spark, "history")
     hist = H.epoch_summary(FX.batch_losses(spark, sf_dir))
     FS.append_history(hist.where(F.col("epoch") <= 15), path)
     FS.append_history(hist.where(F.col("epoch") > 15), path)
-    return spark.read.parquet(path)
+    h = spark.read.parquet(path)
+    return h.select("run_id", "epoch", _r("train_loss").alias("train_loss"), _r("val_loss").alias("val_loss"),
+                    "seconds", "global_step")
 
 
 _HISTORY_SELECT = ("SELECT epoch, round(train_loss, 9) AS train_loss, round(val_loss, 9) AS val_loss, "
@@ -128,7 +152,7 @@ def q_read_history(spark, sf_dir):
                     "seconds", "global_step")
 
 
-@query("no_overwrite_sink")
+@query("no_overwrite_sink", _VOCAB_SQL)
 def q_no_overwrite_sink(spark, sf_dir):
     path = _scratch(spark, "run")
     vocab = _prepared(spark, sf_dir).vocab
@@ -156,16 +180,12 @@ def q_length_filter(spark, sf_dir):
     return I.length_filter(_split(spark, sf_dir), SEQ_LEN).select("id", "split")
 
 
-@query("length_filter_report", _with(O.split_ctes(SEED)) + f"""
-SELECT split, count(*) AS rows_before,
-       count(*) FILTER (WHERE len(regexp_extract_all(src_text, '{O.PRE_RE2}')) + 2 <= {SEQ_LEN}
-                          AND len(regexp_extract_all(tgt_text, '{O.PRE_RE2}')) + 1 <= {SEQ_LEN}) AS rows_after
-FROM split GROUP BY split""")
+@query("length_filter_report", _REPORT_SQL)
 def q_length_filter_report(spark, sf_dir):
     return I.length_filter_report(_split(spark, sf_dir), SEQ_LEN)
 
 
-@query("require_min_rows")
+@query("require_min_rows", _REPORT_SQL)
 def q_require_min_rows(spark, sf_dir):
     report = I.length_filter_report(_split(spark, sf_dir), SEQ_LEN)
     I.require_nonempty_splits(report)
@@ -242,7 +262,7 @@ def q_word_counts(spark, sf_dir):
     return tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query("build_vocab", _with(O.split_ctes(SEED), O.vocab_ctes()) + "SELECT lang, token, id FROM vocab")
+@query("build_vocab", _VOCAB_SQL)
 def q_build_vocab(spark, sf_dir):
     return V.train_vocab(_split(spark, sf_dir), {"en": "src_text", "it": "tgt_text"})
 
@@ -261,7 +281,7 @@ def q_build_vocab_documents(spark, sf_dir):
     return V.build_vocab(V.word_counts(d, {"doc": "text"}), ["doc"])
 
 
-@query("save_load_vocab")
+@query("save_load_vocab", _VOCAB_SQL)
 def q_save_load_vocab(spark, sf_dir):
     path = _scratch(spark, "vocab")
     split = _split(spark, sf_dir)
@@ -611,10 +631,18 @@ def q_truncate_hypothesis(spark, sf_dir):
     return h.select(F.col("pair_id").cast("bigint"), "hypothesis")
 
 
-@query("score_corpus")
+def _echo_hypothesis_sql(ei: str) -> str:
+    picks = f"{ei}[2:]"
+    return (f"([2] || {picks})[1:CASE WHEN list_position({picks}, 3) > 0 "
+            f"THEN least(list_position({picks}, 3) + 1, {SEQ_LEN}) ELSE least(len({picks}) + 1, {SEQ_LEN}) END]")
+
+
+@query("score_corpus", _inputs_sql(f"""
+, inp AS (SELECT id, {O.encoder_input('src_ids', SEQ_LEN)} AS ei FROM encoded)
+SELECT id, {_echo_hypothesis_sql('ei')} AS hypothesis FROM inp"""))
 def q_score_corpus(spark, sf_dir):
     """Batch scoring of every encoder input with a deterministic stand-in
-    model (it echoes the source ids up to the first padding)."""
+    model (it echoes its input), then the usual truncation at ``[EOS]``."""
     from ..plans.evaluate import echo_model
 
     inputs = _prepared(spark, sf_dir).inputs
@@ -622,13 +650,7 @@ def q_score_corpus(spark, sf_dir):
     return scored.select("id", Y.truncate_hypothesis(F.slice("hypothesis", 2, SEQ_LEN), SEQ_LEN).alias("hypothesis"))
 
 
-@query("prediction_table", _with(O.split_ctes(SEED), O.vocab_ctes(), O.kept_cte(SEQ_LEN), O.encode_ctes()) + """
-, test AS (SELECT * FROM encoded WHERE split = 'test'),
-dec AS (SELECT id, generate_subscripts(tgt_ids, 1) AS pos, unnest(tgt_ids) AS tid FROM test),
-txt AS (SELECT d.id, string_agg(v.token, ' ' ORDER BY d.pos) AS text
-        FROM dec d JOIN vocab v ON v.lang = 'it' AND v.id = d.tid WHERE d.tid > 3 GROUP BY d.id)
-SELECT t.id, t.src_text AS source, t.tgt_text AS reference, coalesce(x.text, '') AS prediction
-FROM test t LEFT JOIN txt x USING (id)""")
+@query("prediction_table", _PREDICTIONS_CTE + "SELECT id, source, reference, prediction FROM predictions")
 def q_prediction_table(spark, sf_dir):
     return _predictions(spark, sf_dir)
 
@@ -839,18 +861,26 @@ def q_stream_epoch_loss(spark, sf_dir):
                     F.col("batches").cast("bigint"), "tokens")
 
 
-@query("evaluate_test")
+@query("evaluate_test", _inputs_sql(f"""
+, first_test AS (
+  SELECT id, src_text, tgt_text, {O.encoder_input('src_ids', SEQ_LEN)} AS ei
+  FROM encoded WHERE split = 'test' ORDER BY shuffle_rank LIMIT {EVAL_SAMPLES}),
+hyp AS (SELECT id, src_text, tgt_text, {_echo_hypothesis_sql('ei')} AS h FROM first_test),
+dec AS (SELECT id, generate_subscripts(h, 1) AS pos, unnest(h) AS tid FROM hyp),
+txt AS (SELECT d.id, string_agg(v.token, ' ' ORDER BY d.pos) AS text
+        FROM dec d JOIN vocab v ON v.lang = 'it' AND v.id = d.tid WHERE d.tid > 3 GROUP BY d.id)
+SELECT h.id, h.src_text AS source, h.tgt_text AS reference, coalesce(x.text, '') AS prediction
+FROM hyp h LEFT JOIN txt x USING (id)"""))
 def q_evaluate_test(spark, sf_dir):
-    """Test evaluation end to end: the first 20 test rows scored by the
-    stand-in model, decoded, with corpus metrics attached to every row."""
+    """Test evaluation end to end: the first 20 test rows (split order)
+    scored by the stand-in model, truncated and decoded with the target
+    vocabulary. (The corpus metrics of the same plan are ``evaluate``'s
+    second result; their SQL checks are the ``bleu``/``cer``/``wer`` queries.)"""
     from .evaluate import echo_model, evaluate
 
     p = _prepared(spark, sf_dir)
-    predictions, scores = evaluate(p, echo_model, SEQ_LEN, EVAL_SAMPLES)
-    return predictions.unionByName(scores.select(F.lit(None).cast("long").alias("id"),
-                                                 F.lit("scores").alias("source"),
-                                                 F.to_json(F.struct("bleu", "cer", "wer")).alias("reference"),
-                                                 F.col("decoded_test_examples").cast("string").alias("prediction")))
+    predictions, _ = evaluate(p, echo_model, SEQ_LEN, EVAL_SAMPLES)
+    return predictions
 
 
 __all__ = ["registry"]
