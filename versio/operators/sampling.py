@@ -111,8 +111,11 @@ def assign_batches(df: DataFrame, batch_size: int, rank_col: str = "epoch_rank",
 
 def epoch_batches(split_df: DataFrame, seed: int, epoch: int, batch_size: int,
                   id_col: str = "id") -> DataFrame:
-    """Training rows of one epoch in shuffled order with their batch id."""
-    train = split_df.where(F.col("split") == "train")
+    """``(id, [row_key,] epoch_rank, batch_id)`` of the training rows of one
+    epoch. Only the keys are ranked (and checkpointed), not the texts or
+    inputs; join the batch ids to the model inputs by id where needed."""
+    keys = [id_col] + (["row_key"] if "row_key" in split_df.columns else [])
+    train = split_df.where(F.col("split") == "train").select(*keys)
     return assign_batches(epoch_order(train, seed, epoch, id_col), batch_size)
 
 
