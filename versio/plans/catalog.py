@@ -104,6 +104,9 @@ def q_read_pairs(spark, sf_dir):
 
 @query("verify_checksum")
 def q_verify_checksum(spark, sf_dir):
+    """Record the digests of every table file (as a download step pins them),
+    then verify the folder against those pins in a second read. A mismatch
+    path is covered by the tests."""
     digests = FS.file_digests(spark, sf_dir, "*.parquet")
     pins = {r["name"]: r["sha256"] for r in digests.select("name", "sha256").collect()}
     return FS.verify_checksum(spark, sf_dir, pins, "*.parquet").select("name", "length", "sha256", "status")
