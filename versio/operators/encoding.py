@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import encode_tokens
 from ..schemas import EOS_ID, VOCAB_CAP
+from .partitioning import spread_rows
 
 
 def _c(c):
@@ -61,7 +62,7 @@ def encode_columns(df: DataFrame, specs: dict, vocab: DataFrame, max_per_lang: i
     langs = sorted({lang for _, lang in specs.values()})
     tables = _vocab_tables(vocab, langs, max_per_lang)
     bc = df.sparkSession.sparkContext.broadcast(tables)
-    out = df
+    out = spread_rows(df)
     for name, (text, lang) in specs.items():
         out = out.withColumn(name, _lookup_udf(bc, lang)(encode_tokens(_c(text))))
     return out

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, whitespace_words
+from .partitioning import spread_rows
 
 MAX_N = 4
 
@@ -25,33 +26,6 @@ def _text(c) -> Column:
     return F.coalesce(_c(c), F.lit(""))
 
 
-def _estimated_bytes(df: DataFrame):
-    """Bytes of the plan's input relations, from Catalyst's statistics (no
-    job runs). Leaves are summed because estimates above a join are upper
-    bounds far beyond the data. ``None`` if no estimate is available."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # noqa: BLE001
-        return None
-
-
-def spread_rows(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over all cores before per-row work that costs
-    far more than moving the row (edit distances are quadratic per pair,
-    n-gram lists grow with every word) — but only when the input is smaller
-    than one file split per core: a large input already arrives in enough
-    partitions, and another shuffle would only move it. Deterministic on
-    retry (Spark sorts rows locally before a round-robin repartition)."""
-    spark = df.sparkSession
-    n = partitions or spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
-    size = _estimated_bytes(df)
-    if size is not None and size >= n * split:
-        return df
-    return df.repartition(int(n))
-
-
 def _tagged(words: Column, n: int) -> Column:
     return F.transform(ngrams(words, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import pre_tokenize
 from ..schemas import FIRST_WORD_ID, MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB, VOCAB_CAP
+from .partitioning import spread_rows
 
 
 def word_counts(df: DataFrame, texts: dict) -> DataFrame:
@@ -20,7 +21,7 @@ def word_counts(df: DataFrame, texts: dict) -> DataFrame:
     parts = [F.struct(F.lit(lang).alias("lang"),
                       (F.col(c) if isinstance(c, str) else c).alias("text"))
              for lang, c in texts.items()]
-    tokens = df.select(F.explode(F.array(*parts)).alias("_t")).select(
+    tokens = spread_rows(df).select(F.explode(F.array(*parts)).alias("_t")).select(
         F.col("_t.lang").alias("lang"), F.explode(pre_tokenize("_t.text")).alias("token"))
     return tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("count"))
 
@@ -35,9 +36,10 @@ def build_vocab(counts: DataFrame, langs, cap: int = VOCAB_CAP,
     """``(lang, token, id)``: specials 0..3, then words seen at least
     ``min_frequency`` times by count desc, token asc, total capped at ``cap``.
 
-    Each language is a distributed top-k (partial top-k per task, then a
-    merge of at most ``cap`` rows each), so numbering runs on at most ``cap``
-    rows and the result has a proven size bound for broadcasting.
+    Each language is a distributed top-k (every task keeps its best ``cap``
+    rows, one task merges at most ``cap`` × tasks rows), so numbering runs
+    on at most ``cap`` rows and the result has a proven size bound for
+    broadcasting.
     """
     words = cap - len(SPECIAL_TOKENS)
     order = [F.col("count").desc(), F.col("token").asc()]
