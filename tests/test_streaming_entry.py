@@ -35,3 +35,20 @@ def test_entry_and_registry(spark):
     names = set(entry_mod.queries())
     assert set(entry_mod.oracle_sql()) <= names
     assert len(names) >= 60
+
+
+def test_progress_stream_matches_batch_and_ignores_replays(spark, scratch):
+    from versio.operators.history import epoch_summary, with_progress
+    from versio.streaming.progress_stream import HISTORY_ROWS, start_progress
+
+    hist = epoch_summary(batch_losses(spark, SF001)).select(*[f.name for f in HISTORY_ROWS.fields])
+    inbox = f"{scratch}/inbox"
+    hist.where(F.col("epoch") <= 10).write.parquet(f"{inbox}/a")
+    start_progress(spark, f"{inbox}/*", f"{scratch}/out", f"{scratch}/ckpt").awaitTermination(120)
+    hist.where(F.col("epoch") > 10).write.parquet(f"{inbox}/b")
+    hist.where(F.col("epoch") <= 5).write.parquet(f"{inbox}/replayed")  # re-delivered epochs
+    start_progress(spark, f"{inbox}/*", f"{scratch}/out", f"{scratch}/ckpt").awaitTermination(120)
+    got = {r.epoch: (r.best_so_far, r.improved) for r in spark.read.parquet(f"{scratch}/out").collect()}
+    want = {r.epoch: (r.best_so_far, r.improved) for r in with_progress(hist).collect()}
+    assert got == want
+    assert spark.read.parquet(f"{scratch}/out").count() == hist.count()

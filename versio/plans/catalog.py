@@ -864,6 +864,29 @@ def q_stream_epoch_loss(spark, sf_dir):
                     F.col("batches").cast("bigint"), "tokens")
 
 
+@query("stream_progress", _with(O.history_cte()) + """
+SELECT run_id, epoch, round(val_loss, 9) AS val_loss,
+       round(min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS best_so_far,
+       val_loss < coalesce(min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'infinity'::DOUBLE) AS improved
+FROM history""")
+def q_stream_progress(spark, sf_dir):
+    """History rows land in two drops (first and second half of the epochs);
+    the stateful stream decides best-so-far and improvement per epoch,
+    restarting from its checkpoint between the drops."""
+    from ..streaming.progress_stream import HISTORY_ROWS, start_progress
+
+    base = _scratch(spark, "progress")
+    hist = _history(spark, sf_dir).select(*[f.name for f in HISTORY_ROWS.fields])
+    for i, part in enumerate([F.col("epoch") <= 15, F.col("epoch") > 15]):
+        hist.where(part).write.parquet(f"{base}/inbox/drop{i}")
+        start_progress(spark, f"{base}/inbox/*", f"{base}/out", f"{base}/ckpt").awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("run_id", "epoch", _r("val_loss").alias("val_loss"), _r("best_so_far").alias("best_so_far"),
+                      "improved")
+
+
 @query("evaluate_test", _inputs_sql(f"""
 , first_test AS (
   SELECT id, src_text, tgt_text, {O.encoder_input('src_ids', SEQ_LEN)} AS ei
