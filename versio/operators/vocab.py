@@ -26,6 +26,12 @@ def word_counts(df: DataFrame, texts: dict) -> DataFrame:
     return tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("count"))
 
 
+def word_counts_by_column(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """``(lang, token, count)`` where each row names its own language."""
+    tokens = spread_rows(df).select(F.col(lang_col).alias("lang"), F.explode(pre_tokenize(text_col)).alias("token"))
+    return tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("count"))
+
+
 def specials(spark: SparkSession, langs) -> DataFrame:
     rows = [(lang, tok, i) for lang in langs for i, tok in enumerate(SPECIAL_TOKENS)]
     return spark.createDataFrame(rows, VOCAB)

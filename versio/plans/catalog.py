@@ -260,9 +260,7 @@ FROM (SELECT lang, unnest(regexp_extract_all(text, '{O.PRE_RE2}')) AS token FROM
 GROUP BY lang, token""")
 def q_word_counts(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # one language column per row: count per (document language, token)
-    tokens = d.select("lang", F.explode(pre_tokenize("text")).alias("token"))
-    return tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("count"))
+    return V.word_counts_by_column(d, "text", "lang")
 
 
 @query("build_vocab", _VOCAB_SQL)
