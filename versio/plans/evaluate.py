@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import hypotheses as Y
 from ..operators import metrics as X
+from ..operators.encoding import decode_column
+from ..operators.inputs import model_inputs
 from ..operators.sampling import eval_limit
+from ..session import ensure_checkpoint_dir
 from .prepare import Prepared
 
 
@@ -25,14 +28,24 @@ def echo_model():
 def evaluate(prepared: Prepared, make_model, seq_len: int, eval_samples: int, tgt: str = "it",
              batch_size: int = 64) -> tuple[DataFrame, DataFrame]:
     """``(predictions, scores)`` for the first ``eval_samples`` test rows
-    (0 = all). The model sees ``encoder_input`` and returns ids that start
-    after ``[SOS]``; they are truncated at ``[EOS]`` / ``seq_len``."""
-    test = prepared.inputs.where(F.col("split") == "test")
-    ranked = prepared.split.select("id", "shuffle_rank")
-    chosen = eval_limit(test.join(ranked, "id"), eval_samples)
+    (0 = all) in split order.
+
+    The chosen rows are fixed first: a top-k over the test split, written as
+    a small reliable checkpoint, so the model then scores each row exactly
+    once (a limit pushed below the Python model would otherwise turn into a
+    global sort, and a self-join would score twice). The model sees
+    ``encoder_input`` and returns ids that start after ``[SOS]``; they are
+    truncated at ``[EOS]`` / ``seq_len`` and decoded in the same projection.
+    """
+    test = model_inputs(prepared.encoded.where(F.col("split") == "test"), seq_len,
+                        with_decoder_mask=False, extra_cols=("split", "shuffle_rank"))
+    chosen = eval_limit(test, eval_samples)
+    if eval_samples:
+        ensure_checkpoint_dir(chosen.sparkSession)
+        chosen = chosen.checkpoint(eager=True)
     scored = Y.score_corpus(chosen, make_model, "encoder_input", "_raw", seq_len=seq_len, batch_size=batch_size)
-    hyps = scored.select("id", "src_text", "tgt_text",
-                         Y.truncate_hypothesis(F.slice("_raw", 2, seq_len), seq_len).alias("hypothesis"))
-    predictions = Y.prediction_table(hyps.select("id", "src_text", "tgt_text"), hyps.select("id", "hypothesis"),
-                                     prepared.vocab, tgt)
+    hyps = scored.withColumn("hypothesis", Y.truncate_hypothesis(F.slice("_raw", 2, seq_len), seq_len))
+    decoded = decode_column(hyps, "hypothesis", prepared.vocab, tgt, "prediction")
+    predictions = decoded.select("id", F.col("src_text").alias("source"), F.col("tgt_text").alias("reference"),
+                                 "prediction")
     return predictions, X.corpus_scores(predictions)
