@@ -51,10 +51,9 @@ def pairs_from_conversations(conversations: DataFrame, src: str = "en", tgt: str
     ``(conv_id, turn + 1)`` rather than ``lead()`` over a conversation, so a
     huge conversation is spread over many tasks instead of one window.
     """
-    c = conversations.select("conv_id", "turn", "role", "text", row_key().alias("row_key"))
-    first = c.where(F.col("role") == first_role).select(
-        "conv_id", F.col("turn").alias("_t1"), F.col("text").alias("_src"), "row_key")
-    second = c.where(F.col("role") == second_role).select(
+    first = conversations.where(F.col("role") == first_role).select(
+        "conv_id", F.col("turn").alias("_t1"), F.col("text").alias("_src"), row_key().alias("row_key"))
+    second = conversations.where(F.col("role") == second_role).select(
         "conv_id", (F.col("turn") - 1).alias("_t1"), F.col("text").alias("_tgt"))
     joined = first.join(second, ["conv_id", "_t1"])
     return joined.select(
