@@ -39,8 +39,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a scratch folder is created and registered.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session
+    (tests) without that setting gets a scratch folder of its own; a cluster
+    session without it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getCheckpointDir()
@@ -48,6 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage; "
+                           "a machine-local folder would not survive lost executors")
     local = tempfile.mkdtemp(prefix="versio-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return local
