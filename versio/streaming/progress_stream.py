@@ -39,7 +39,8 @@ def _advance(key, batches, state):
             best, last = min(best, val), int(epoch)
             rows.append((key[0], int(epoch), float(val), float(best), improved))
     state.update((best, last))
-    yield pd.DataFrame(rows, columns=[f.name for f in PROGRESS.fields])
+    if rows:
+        yield pd.DataFrame(rows, columns=[f.name for f in PROGRESS.fields])
 
 
 def progress_updates(history: DataFrame) -> DataFrame:
