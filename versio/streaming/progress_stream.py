@@ -30,14 +30,14 @@ STATE = T.StructType([T.StructField("best", T.DoubleType()), T.StructField("last
 
 def _advance(key, batches, state):
     best, last = (state.get if state.exists else (float("inf"), 0))
+    arrived = sorted((int(e), float(v)) for pdf in batches for e, v in zip(pdf["epoch"], pdf["val_loss"]))
     rows = []
-    for pdf in batches:
-        for epoch, val in sorted(zip(pdf["epoch"], pdf["val_loss"])):
-            if epoch <= last:
-                continue
-            improved = bool(val < best)
-            best, last = min(best, val), int(epoch)
-            rows.append((key[0], int(epoch), float(val), float(best), improved))
+    for epoch, val in arrived:  # all chunks of the group, in epoch order
+        if epoch <= last:
+            continue
+        improved = bool(val < best)
+        best, last = min(best, val), epoch
+        rows.append((key[0], epoch, val, best, improved))
     state.update((best, last))
     if rows:
         yield pd.DataFrame(rows, columns=[f.name for f in PROGRESS.fields])
