@@ -63,6 +63,8 @@ def append_history(history: DataFrame, path: str) -> None:
 
 
 def export_history_csv(history: DataFrame, path: str) -> None:
+    """One CSV file per history (one row per epoch, so a single writer task
+    holds at most the epochs of the runs exported)."""
     history.select(*[f.name for f in HISTORY.fields]).coalesce(1).write.mode("overwrite") \
         .options(**CSV_OPTIONS).csv(path)
 
