@@ -37,22 +37,39 @@ def specials(spark: SparkSession, langs) -> DataFrame:
     return spark.createDataFrame(rows, VOCAB)
 
 
+def _count_threshold(candidates: DataFrame, words: int) -> DataFrame:
+    """``(lang, thr)``: the largest count value that at least ``words``
+    candidates of the language reach. Only tokens counted ``>= thr`` can be
+    among the first ``words`` (count desc), so filtering on it is exact. It
+    is read from a histogram of count values (one row per distinct count),
+    not from the tokens."""
+    hist = candidates.groupBy("lang", "count").agg(F.count(F.lit(1)).alias("_n"))
+    reach = Window.partitionBy("lang").orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.withColumn("_cum", F.sum("_n").over(reach))
+    return cum.where(F.col("_cum") >= words).groupBy("lang").agg(F.max("count").alias("_thr"))
+
+
 def build_vocab(counts: DataFrame, langs, cap: int = VOCAB_CAP,
                 min_frequency: int = MIN_FREQUENCY) -> DataFrame:
     """``(lang, token, id)``: specials 0..3, then words seen at least
     ``min_frequency`` times by count desc, token asc, total capped at ``cap``.
 
-    Each language is a distributed top-k (every task keeps its best ``cap``
-    rows, one task merges at most ``cap`` × tasks rows), so numbering runs
-    on at most ``cap`` rows and the result has a proven size bound for
+    Candidates are first cut at the count threshold the cap needs (exact,
+    see ``_count_threshold``; one row per language, broadcast), then each
+    language is a distributed top-k of what remains, so the single merging
+    task sees about ``cap`` rows plus ties, not ``cap`` × tasks. Numbering
+    runs on at most ``cap`` rows and the result has a proven size bound for
     broadcasting.
     """
     words = cap - len(SPECIAL_TOKENS)
     order = [F.col("count").desc(), F.col("token").asc()]
+    candidates = counts.where(F.col("count") >= min_frequency)
+    thr = _count_threshold(candidates, words)
+    kept = candidates.join(F.broadcast(thr), "lang", "left").where(
+        F.col("_thr").isNull() | (F.col("count") >= F.col("_thr"))).drop("_thr")
     per_lang = []
     for lang in langs:
-        top = (counts.where((F.col("lang") == lang) & (F.col("count") >= min_frequency))
-               .orderBy(*order).limit(words))
+        top = kept.where(F.col("lang") == lang).orderBy(*order).limit(words)
         numbered = top.select(
             F.lit(lang).alias("lang"), "token",
             (F.row_number().over(Window.orderBy(*order)) + (FIRST_WORD_ID - 1)).cast("int").alias("id"))
