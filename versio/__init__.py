@@ -14,7 +14,7 @@ from .operators.metrics import bleu, cer, corpus_scores, sentence_errors, wer
 from .operators.rank import exact_rank, running_sums
 from .operators.sampling import epoch_batches, eval_limit, sample_n, seeded_shuffle, split_train_val_test
 from .operators.vocab import build_vocab, load_or_train_vocab, train_vocab, vocab_size, word_counts
-from .plans.evaluate import evaluate
+from .plans.evaluate import evaluate, translate
 from .plans.experiment import prepare_run
 from .plans.prepare import prepare
 from .sources.files import file_digests, read_history, read_predictions, verify_checksum, write_predictions
@@ -29,7 +29,7 @@ __all__ = [
     "length_filter_report", "load_or_train_vocab", "manifest_diff", "manifest_long", "model_inputs",
     "oov_rate", "pairs_from_conversations", "prepare", "prepare_run", "prompt_input", "read_history",
     "read_pairs", "read_predictions", "resume_point", "running_loss", "running_sums", "sample_n",
-    "score_corpus", "seeded_shuffle", "sentence_errors", "split_train_val_test", "train_vocab",
+    "score_corpus", "seeded_shuffle", "sentence_errors", "split_train_val_test", "train_vocab", "translate",
     "truncate_hypothesis", "verify_checksum", "vocab_size", "wer", "with_progress", "word_counts",
     "write_predictions",
 ]

@@ -885,6 +885,32 @@ def q_stream_progress(spark, sf_dir):
                       "improved")
 
 
+@query("translate", _with(O.split_ctes(SEED), O.vocab_ctes()) + f"""
+, src AS (SELECT u.conv_id * 1000 + u.turn AS id, u.text FROM conversations u WHERE u.role = 'user'),
+fit AS (SELECT * FROM src WHERE len(regexp_extract_all(text, '{O.PRE_RE2}')) + 2 <= {SEQ_LEN}),
+tok AS (SELECT id, generate_subscripts(t, 1) AS pos, unnest(t) AS token
+        FROM (SELECT id, regexp_extract_all(text, '{O.PRE_RE2}') AS t FROM fit)),
+enc AS (SELECT t.id, list(coalesce(v.id, 0) ORDER BY t.pos) AS ids FROM tok t
+        LEFT JOIN vocab v ON v.lang = 'en' AND v.token = t.token GROUP BY t.id),
+e2 AS (SELECT f.id, f.text, {O.encoder_input('coalesce(e.ids, []::INTEGER[])', SEQ_LEN)} AS ei
+       FROM fit f LEFT JOIN enc e USING (id)),
+hyp AS (SELECT id, text, {_echo_hypothesis_sql('ei')} AS h FROM e2),
+dec AS (SELECT id, generate_subscripts(h, 1) AS pos, unnest(h) AS tid FROM hyp),
+txt AS (SELECT d.id, string_agg(v.token, ' ' ORDER BY d.pos) AS t
+        FROM dec d JOIN vocab v ON v.lang = 'it' AND v.id = d.tid WHERE d.tid > 3 GROUP BY d.id)
+SELECT h.id, h.text, coalesce(x.t, '') AS translation FROM hyp h LEFT JOIN txt x USING (id)""")
+def q_translate(spark, sf_dir):
+    """Every user turn that fits, translated by the stand-in model with the
+    vocabularies of the training split."""
+    from .evaluate import echo_model, translate
+
+    vocab = V.train_vocab(_split(spark, sf_dir), {"en": "src_text", "it": "tgt_text"})
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("role") == "user")
+    texts = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    fit = texts.where(E.token_count("text") + 2 <= SEQ_LEN)
+    return translate(fit, ["id"], "text", vocab, echo_model, SEQ_LEN)
+
+
 @query("evaluate_test", _inputs_sql(f"""
 , first_test AS (
   SELECT id, src_text, tgt_text, {O.encoder_input('src_ids', SEQ_LEN)} AS ei

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import hypotheses as Y
 from ..operators import metrics as X
 from ..operators.encoding import decode_column
-from ..operators.inputs import model_inputs
+from ..operators.inputs import model_inputs, prompt_input
 from ..operators.sampling import eval_limit
 from ..session import ensure_checkpoint_dir
 from .prepare import Prepared
@@ -49,3 +49,15 @@ def evaluate(prepared: Prepared, make_model, seq_len: int, eval_samples: int, tg
     predictions = decoded.select("id", F.col("src_text").alias("source"), F.col("tgt_text").alias("reference"),
                                  "prediction")
     return predictions, X.corpus_scores(predictions)
+
+
+def translate(texts: DataFrame, key_cols, text_col: str, vocab: DataFrame, make_model, seq_len: int,
+              src: str = "en", tgt: str = "it", batch_size: int = 64) -> DataFrame:
+    """Translate a table of texts: encode with the source vocabulary (a text
+    longer than ``seq_len - 2`` tokens fails the job, as a too-long input is
+    an error), score in Arrow batches, truncate at ``[EOS]`` and decode with
+    the target vocabulary. Narrow end to end: no shuffle."""
+    inputs = prompt_input(texts, key_cols, text_col, vocab, src, seq_len)
+    scored = Y.score_corpus(inputs, make_model, "encoder_input", "_raw", seq_len=seq_len, batch_size=batch_size)
+    hyps = scored.withColumn("hypothesis", Y.truncate_hypothesis(F.slice("_raw", 2, seq_len), seq_len))
+    return decode_column(hyps, "hypothesis", vocab, tgt, "translation").select(*key_cols, text_col, "translation")
