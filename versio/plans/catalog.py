@@ -312,12 +312,15 @@ def q_token_to_id(spark, sf_dir):
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "token", "token_id")
 
 
-@query("id_to_token", _with(O.split_ctes(SEED), O.vocab_ctes()) + """
-SELECT v.id AS token_id, v.token FROM vocab v WHERE v.lang = 'it'""")
+@query("id_to_token", _with(O.split_ctes(SEED), O.vocab_ctes(), O.kept_cte(SEQ_LEN), O.encode_ctes()) + """
+, ids AS (SELECT id, generate_subscripts(tgt_ids, 1) - 1 AS pos, unnest(tgt_ids) AS token_id FROM encoded)
+SELECT i.id, i.pos, i.token_id, v.token FROM ids i LEFT JOIN vocab v ON v.lang = 'it' AND v.id = i.token_id""")
 def q_id_to_token(spark, sf_dir):
-    vocab = V.train_vocab(_split(spark, sf_dir), {"en": "src_text", "it": "tgt_text"})
-    ids = vocab.where(F.col("lang") == "it").select(F.col("id").alias("token_id"))
-    return V.id_to_token(ids, "token_id", vocab, "it").select("token_id", "token")
+    """Every target id of the encoded pairs, looked up in long form."""
+    p = _prepared(spark, sf_dir)
+    ids = p.encoded.select("id", F.posexplode("tgt_ids").alias("pos", "token_id"))
+    return V.id_to_token(ids, "token_id", p.vocab, "it").select(
+        "id", F.col("pos").cast("bigint").alias("pos"), "token_id", "token")
 
 
 @query("encode", _with(O.split_ctes(SEED), O.vocab_ctes(), O.kept_cte(SEQ_LEN), O.encode_ctes()) +
