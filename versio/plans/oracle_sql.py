@@ -6,7 +6,8 @@ DuckDB differences handled here: RE2 has no ``(?U)`` (explicit Unicode
 classes instead) and no look-ahead (the plain word/punctuation pattern is
 used; the test tables hold no literal special tokens), lists are 1-based,
 ``levenshtein`` counts bytes (characters are first mapped to one ASCII
-byte each per pair), and rounding half-even is ``round_even``.
+byte each per pair, with an exact list programme for larger alphabets),
+and rounding half-even is ``round_even``.
 """
 
 from ..functions.text import WORD_RE
@@ -154,17 +155,24 @@ history AS (
   FROM per_epoch)"""
 
 
-def char_map_expr(h: str, r: str, target: str) -> str:
-    """``target`` with every character replaced by one ASCII byte, numbered
-    by the distinct characters of the pair (exact while a pair has at most
-    127 distinct characters; the fixtures have at most 44)."""
-    alphabet = f"list_distinct(string_split({h} || {r}, ''))"
-    return (f"array_to_string(list_transform(string_split({target}, ''), "
+def _ascii_mapped(text: str, alphabet: str) -> str:
+    """``text`` with every character replaced by one ASCII byte: its position
+    in the pair's ``alphabet`` (valid while that has at most 127 entries)."""
+    return (f"array_to_string(list_transform(string_split({text}, ''), "
             f"lambda ch: chr(list_position({alphabet}, ch))), '')")
 
 
 def char_edit_sql(h: str, r: str) -> str:
-    return f"levenshtein({char_map_expr(h, r, h)}, {char_map_expr(h, r, r)})"
+    """Character edit distance: byte ``levenshtein`` on the one-byte mapping
+    when the pair has at most 127 distinct characters (the fixtures have at
+    most 44), else the exact list dynamic programme over the characters.
+    The pair's alphabet is bound once (a one-element list transform); CASE
+    evaluates a branch only for the rows that take it."""
+    exact = word_edit_sql(f"string_split({h}, '')", f"string_split({r}, '')")
+    body = (f"CASE WHEN {h} = '' THEN length({r}) WHEN {r} = '' THEN length({h}) "
+            f"WHEN len(a) <= 127 THEN levenshtein({_ascii_mapped(h, 'a')}, {_ascii_mapped(r, 'a')}) "
+            f"ELSE {exact} END")
+    return f"list_transform([list_distinct(string_split({h} || {r}, ''))], lambda a: {body})[1]"
 
 
 def word_edit_sql(hw: str, rw: str) -> str:
