@@ -305,11 +305,12 @@ def q_vocab_size(spark, sf_dir):
 @query("token_to_id", _with(O.split_ctes(SEED), O.vocab_ctes()) + f"""
 SELECT t.doc_id, t.pos, t.token, coalesce(v.id, 0) AS token_id
 FROM (SELECT doc_id, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS token
-      FROM (SELECT doc_id, regexp_extract_all(text, '{O.PRE_RE2}') AS toks FROM documents WHERE lang = 'en')) t
+      FROM (SELECT doc_id, regexp_extract_all(text, '{O.PRE_RE2}') AS toks FROM documents)) t
 LEFT JOIN vocab v ON v.lang = 'en' AND v.token = t.token""")
 def q_token_to_id(spark, sf_dir):
+    """Every token of every document looked up in the source vocabulary."""
     vocab = V.train_vocab(_split(spark, sf_dir), {"en": "src_text", "it": "tgt_text"})
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("lang") == "en")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     toks = d.select("doc_id", F.posexplode(pre_tokenize("text")).alias("pos", "token"))
     return V.token_to_id(toks, "token", vocab, "en").select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "token", "token_id")
