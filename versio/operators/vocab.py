@@ -85,6 +85,16 @@ def train_vocab(split_df: DataFrame, langs: dict, cap: int = VOCAB_CAP,
     return build_vocab(word_counts(rows, langs), list(langs), cap, min_frequency)
 
 
+def materialize_vocab(vocab: DataFrame, langs, cap: int = VOCAB_CAP) -> DataFrame:
+    """Compute a vocabulary once and keep it as a local relation, so the
+    lookups, the manifest and the decoder do not each recount the corpus.
+    Bounded by construction (≤ ``cap`` rows per language); checked here."""
+    rows = vocab.select("lang", "token", "id").collect()
+    if len(rows) > cap * len(langs):
+        raise ValueError(f"vocabulary has {len(rows)} rows, above the bound {cap * len(langs)}")
+    return vocab.sparkSession.createDataFrame(rows, VOCAB)
+
+
 def vocab_size(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("lang").agg(F.count(F.lit(1)).alias("vocab_size"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.encoding import encode
 from ..operators.inputs import length_filter, model_inputs
 from ..operators.sampling import split_train_val_test
-from ..operators.vocab import train_vocab
+from ..operators.vocab import materialize_vocab, train_vocab
 from ..sources.pairs import project_lang
 
 
@@ -41,7 +41,7 @@ def prepare(pairs: DataFrame, seed: int = 42, max_samples: int | None = None, se
     if split is None:
         split = split_pairs(pairs, seed, max_samples, src, tgt)
     if vocab is None:
-        vocab = train_vocab(split, {src: "src_text", tgt: "tgt_text"})
+        vocab = materialize_vocab(train_vocab(split, {src: "src_text", tgt: "tgt_text"}), [src, tgt])
     kept = length_filter(split, seq_len)
     encoded = encode(kept, ["id"], {"src_ids": ("src_text", src), "tgt_ids": ("tgt_text", tgt)}, vocab)
     inputs = model_inputs(encoded, seq_len, with_decoder_mask=with_decoder_mask)
