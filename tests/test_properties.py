@@ -62,3 +62,18 @@ def test_decode_of_encode_keeps_known_tokens(spark, texts):
         dec = {r.id: r.text for r in decode_texts(enc, ["id"], "ids", vocab, "it", method=method).collect()}
         for i, t in enumerate(texts):
             assert dec[i] == " ".join(w for w in t.split() if w in known)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["en", "it"]), st.integers(0, 60), st.integers(1, 6)),
+                min_size=1, max_size=120, unique_by=lambda t: (t[0], t[1])),
+       st.integers(5, 40))
+def test_vocab_threshold_cut_equals_plain_top_k(spark, rows, cap):
+    counts = spark.createDataFrame([(lang, f"w{tok:02d}", c) for lang, tok, c in rows],
+                                   "lang string, token string, count long")
+    got = sorted((r.lang, r.token, r.id) for r in build_vocab(counts, ["en", "it"], cap=cap).collect() if r.id > 3)
+    want = []
+    for lang in ("en", "it"):
+        cand = sorted(((-c, f"w{tok:02d}") for lg, tok, c in rows if lg == lang and c >= 2))
+        want += [(lang, tok, i + 4) for i, (_, tok) in enumerate(cand[:cap - 4])]
+    assert got == sorted(want)

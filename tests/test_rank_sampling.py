@@ -146,3 +146,15 @@ def test_sample_paths_agree(spark, monkeypatch):
     split_topk = {r.id: r.split for r in sampling.split_train_val_test(df, 5, max_samples=120).collect()}
     assert small == ranked and len(small) == 120
     assert split_rank == split_topk
+
+
+def test_spread_only_small_inputs(spark, monkeypatch):
+    import versio.operators.partitioning as part
+
+    df = _ids(spark, 100, parts=1)
+    monkeypatch.setattr(part, "_estimated_bytes", lambda _: 10)
+    assert part.spread_rows(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(part, "_estimated_bytes", lambda _: 10 ** 15)
+    assert part.spread_rows(df) is df
+    monkeypatch.setattr(part, "_estimated_bytes", lambda _: None)
+    assert part.spread_rows(df) is not df
