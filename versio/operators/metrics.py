@@ -44,7 +44,7 @@ def ngram_counts(df: DataFrame, key_cols, text_col, max_n: int = MAX_N) -> DataF
         F.count(F.lit(1)).alias("count"))
 
 
-def bleu_stats(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N) -> DataFrame:
+def bleu_stats(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N, spread: bool = True) -> DataFrame:
     """One row: clipped and total n-gram counts per n, hypothesis and
     reference lengths in words.
 
@@ -55,7 +55,7 @@ def bleu_stats(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N) ->
     side = F.array(
         F.struct(F.lit(0).alias("side"), whitespace_words(_text(hyp_col)).alias("w")),
         F.struct(F.lit(1).alias("side"), whitespace_words(_text(ref_col)).alias("w")))
-    s = spread_rows(df).select(*key_cols, F.explode(side).alias("_s"))
+    s = (spread_rows(df) if spread else df).select(*key_cols, F.explode(side).alias("_s"))
     g = s.select(*key_cols, F.col("_s.side").alias("side"),
                  F.explode(_all_ngrams(F.col("_s.w"), max_n)).alias("_g"))
     counts = g.groupBy(*key_cols, F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram")).agg(
@@ -84,8 +84,8 @@ def bleu_from_stats(stats: DataFrame, max_n: int = MAX_N) -> DataFrame:
         "hyp_len", "ref_len")
 
 
-def bleu(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N) -> DataFrame:
-    return bleu_from_stats(bleu_stats(df, key_cols, hyp_col, ref_col, max_n), max_n)
+def bleu(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N, spread: bool = True) -> DataFrame:
+    return bleu_from_stats(bleu_stats(df, key_cols, hyp_col, ref_col, max_n, spread), max_n)
 
 
 def word_edit_distance(hyp_words, ref_words) -> Column:
@@ -105,12 +105,12 @@ def word_edit_distance(hyp_words, ref_words) -> Column:
     return F.levenshtein(as_string(h), as_string(r))
 
 
-def sentence_errors(df: DataFrame, key_cols, hyp_col, ref_col) -> DataFrame:
+def sentence_errors(df: DataFrame, key_cols, hyp_col, ref_col, spread: bool = True) -> DataFrame:
     """Per pair: character and word edit counts and reference lengths
     (a missing hypothesis counts as an empty string)."""
     h, r = _text(hyp_col), _text(ref_col)
     hw, rw = whitespace_words(h), whitespace_words(r)
-    return spread_rows(df).select(*key_cols,
+    return (spread_rows(df) if spread else df).select(*key_cols,
                      F.levenshtein(h, r).alias("char_errors"), F.length(r).alias("ref_chars"),
                      word_edit_distance(hw, rw).alias("word_errors"), F.size(rw).alias("ref_words"))
 
@@ -134,12 +134,14 @@ def one_row(*frames: DataFrame) -> DataFrame:
 
 def corpus_scores(predictions: DataFrame, key_cols=("id",), hyp_col: str = "prediction",
                   ref_col: str = "reference") -> DataFrame:
-    """One row with BLEU, CER, WER and the number of decoded rows."""
-    e = sentence_errors(predictions, key_cols, hyp_col, ref_col)
+    """One row with BLEU, CER, WER and the number of decoded rows; the
+    predictions are spread once and read by both computations."""
+    predictions = spread_rows(predictions)
+    e = sentence_errors(predictions, key_cols, hyp_col, ref_col, spread=False)
     errors = e.agg((F.sum("char_errors") / F.sum("ref_chars")).alias("cer"),
                    (F.sum("word_errors") / F.sum("ref_words")).alias("wer"),
                    F.count(F.lit(1)).alias("decoded_test_examples"))
-    return one_row(bleu(predictions, key_cols, hyp_col, ref_col).select("bleu"), errors)
+    return one_row(bleu(predictions, key_cols, hyp_col, ref_col, spread=False).select("bleu"), errors)
 
 
 def test_results(test_loss: DataFrame, scores: DataFrame, all_test: DataFrame,
