@@ -22,6 +22,22 @@ from .sources.pairs import pairs_from_conversations, read_pairs
 
 __version__ = "0.1.0"
 
+
+def _ship_by_value() -> None:
+    """Python functions of this package that run in tasks (the progress
+    stream's state update, model factories) are pickled by value, so
+    executors never need the package on their own path."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except (ImportError, ValueError):  # already registered, or no pyspark
+        pass
+
+
+_ship_by_value()
+
 __all__ = [
     "assemble_hypotheses", "best_epoch", "bleu", "build_vocab", "cer", "corpus_scores", "cross_entropy",
     "data_manifest", "decode", "encode", "epoch_batches", "epoch_loss", "epoch_summary", "eval_limit",
