@@ -52,3 +52,18 @@ def test_progress_stream_matches_batch_and_ignores_replays(spark, scratch):
     want = {r.epoch: (r.best_so_far, r.improved) for r in with_progress(hist).collect()}
     assert got == want
     assert spark.read.parquet(f"{scratch}/out").count() == hist.count()
+
+
+def test_task_side_functions_ship_by_value():
+    import json
+
+    from pyspark import cloudpickle
+
+    from versio.plans.evaluate import echo_model
+    from versio.streaming import progress_stream
+
+    by_reference = len(cloudpickle.dumps(json.dumps))  # an importable library function: a name only
+    for fn in (progress_stream._advance, echo_model):
+        payload = cloudpickle.dumps(fn)
+        assert len(payload) > 5 * by_reference  # carries its code, not an import of this package
+        assert cloudpickle.loads(payload).__name__ == fn.__name__
