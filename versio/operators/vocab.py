@@ -1,8 +1,6 @@
 """Word vocabularies: token counts on the training split, frequency-ranked
 ids after the four specials, size per language, storage."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,27 +53,22 @@ def build_vocab(counts: DataFrame, langs, cap: int = VOCAB_CAP,
     ``min_frequency`` times by count desc, token asc, total capped at ``cap``.
 
     Candidates are first cut at the count threshold the cap needs (exact,
-    see ``_count_threshold``; one row per language, broadcast), then each
-    language is a distributed top-k of what remains, so the single merging
-    task sees about ``cap`` rows plus ties, not ``cap`` × tasks. Numbering
-    runs on at most ``cap`` rows and the result has a proven size bound for
+    see ``_count_threshold``; one row per language, broadcast). What remains
+    per language is the cap plus the ties at the threshold (or fewer
+    candidates than the cap when no cut is needed), so one window per
+    language numbers them. The result has a proven size bound for
     broadcasting.
     """
     words = cap - len(SPECIAL_TOKENS)
     order = [F.col("count").desc(), F.col("token").asc()]
-    candidates = counts.where(F.col("count") >= min_frequency)
+    candidates = counts.where(F.col("lang").isin(list(langs)) & (F.col("count") >= min_frequency))
     thr = _count_threshold(candidates, words)
     kept = candidates.join(F.broadcast(thr), "lang", "left").where(
-        F.col("_thr").isNull() | (F.col("count") >= F.col("_thr"))).drop("_thr")
-    per_lang = []
-    for lang in langs:
-        top = kept.where(F.col("lang") == lang).orderBy(*order).limit(words)
-        numbered = top.select(
-            F.lit(lang).alias("lang"), "token",
-            (F.row_number().over(Window.orderBy(*order)) + (FIRST_WORD_ID - 1)).cast("int").alias("id"))
-        per_lang.append(numbered)
-    spark = counts.sparkSession
-    return reduce(DataFrame.unionByName, per_lang, specials(spark, langs))
+        F.col("_thr").isNull() | (F.col("count") >= F.col("_thr")))
+    numbered = kept.withColumn("_rn", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    top = numbered.where(F.col("_rn") <= words).select(
+        "lang", "token", (F.col("_rn") + (FIRST_WORD_ID - 1)).cast("int").alias("id"))
+    return specials(counts.sparkSession, langs).unionByName(top)
 
 
 def train_vocab(split_df: DataFrame, langs: dict, cap: int = VOCAB_CAP,
