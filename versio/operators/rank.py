@@ -3,18 +3,22 @@
 ``exact_rank`` is the DataFrame form of an indexed sort. The rows are
 range-partitioned on the order key (boundaries sampled, so a heavy range of
 the leading column is split across tasks as long as the whole key is
-unique) and sorted inside each partition. That sorted table is written
-once as a reliable checkpoint in the session's checkpoint folder: from then
-on its partitions are fixed files, so the per-partition row counts and the
-row positions are read from the very same partitions (two independent
-evaluations of a range exchange may sample different boundaries). Rank =
-rows in earlier partitions + position inside the partition; the count
-table has one row per partition and is broadcast.
+unique), sorted inside each partition and written once as Parquet to the
+session's shared checkpoint folder: one file per partition, rows in key
+order. From then on the partitions are fixed files, so counts and positions
+come from the same data (two independent evaluations of a range exchange
+may sample different boundaries). Row counts per file come from Parquet
+metadata (no data column is read), a row's position is its
+``_metadata.row_index`` in its file, and rank = rows in earlier files +
+position. The count table has one row per file and is broadcast; later
+reads of the table prune columns like any Parquet scan.
 
 The order key must be a total order (end it with a unique column); ties
 would make the rank depend on layout.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,43 +29,49 @@ def _partitions(df: DataFrame, num_partitions):
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+# The part-file naming of Spark's file writers
+# (part-<partition>-<job>-c<file>), which orders the files of one write.
+PART_FILE_RE = r"^part-(\d+)-.*-c(\d+)"
+
+
 def exact_rank(df: DataFrame, order_cols, rank_col: str = "rank",
                total_col: str | None = None, num_partitions: int | None = None,
                drop_after_sort=()) -> DataFrame:
     """Add a 1-based ``rank_col`` (bigint) in the total order of ``order_cols``.
 
-    Runs one job (the sort and its checkpoint) when called; the result is a
-    plan over the checkpointed table. With ``total_col`` the row count of
-    ``df`` is added as well, from the per-partition counts (no driver round
-    trip). ``drop_after_sort`` names sort-only helper columns that are not
-    written to the checkpoint.
+    Runs one job when called (the sort and its write); the result is a plan
+    over the written table. With ``total_col`` the row count of ``df`` is
+    added as well, from the per-file counts (no driver round trip).
+    ``drop_after_sort`` names sort-only helper columns that are not written.
     """
     from ..session import ensure_checkpoint_dir
 
+    spark = df.sparkSession
     n = _partitions(df, num_partitions)
     keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ensure_checkpoint_dir(df.sparkSession)
-    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*drop_after_sort) \
-        .checkpoint(eager=True)
-    positioned = (
-        ordered.withColumn("_rk_pid", F.spark_partition_id())
-        .withColumn("_rk_pos", F.monotonically_increasing_id()
-                    - F.shiftleft(F.col("_rk_pid").cast("bigint"), 33))
-    )
-    counts = ordered.groupBy(F.spark_partition_id().alias("_rk_pid")).agg(F.count(F.lit(1)).alias("_rk_cnt"))
-    # ``counts`` has at most n rows, so the unpartitioned windows below and
-    # the broadcast are bounded by the partition count, not by the data.
-    before = Window.orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rank-{uuid.uuid4().hex}"
+    df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*drop_after_sort) \
+        .write.mode("errorifexists").parquet(path)
+    stored = spark.read.parquet(path)
+    file_name = F.col("_metadata.file_name")
+    counts = stored.select(file_name.alias("_rk_file")).groupBy("_rk_file").agg(
+        F.count(F.lit(1)).alias("_rk_cnt"))
+    # one row per written file (≤ partitions × files per partition): the
+    # unpartitioned windows and the broadcast are bounded by that, not by data
+    file_order = [F.regexp_extract("_rk_file", PART_FILE_RE, 1).cast("int"),
+                  F.regexp_extract("_rk_file", PART_FILE_RE, 2).cast("int"), F.col("_rk_file")]
+    before = Window.orderBy(*file_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_rk_pid",
+        "_rk_file",
         F.coalesce(F.sum("_rk_cnt").over(before), F.lit(0)).alias("_rk_off"),
         F.sum("_rk_cnt").over(Window.partitionBy()).alias("_rk_total"),
     )
-    out = positioned.join(F.broadcast(offsets), "_rk_pid").withColumn(
+    positioned = stored.select("*", file_name.alias("_rk_file"), F.col("_metadata.row_index").alias("_rk_pos"))
+    out = positioned.join(F.broadcast(offsets), "_rk_file").withColumn(
         rank_col, F.col("_rk_off") + F.col("_rk_pos") + 1)
     if total_col:
         out = out.withColumn(total_col, F.col("_rk_total"))
-    return out.drop("_rk_pid", "_rk_pos", "_rk_off", "_rk_total")
+    return out.drop("_rk_file", "_rk_pos", "_rk_off", "_rk_total")
 
 
 def running_sums(df: DataFrame, partition_cols, order_col: str, value_cols,
