@@ -18,9 +18,10 @@ def spread_rows(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Round-robin the rows over all cores before per-row work that costs
     far more than moving the row (regex tokenizing, vocabulary lookup,
     n-gram lists, quadratic edit distances) — but only when the input is
-    smaller than one file split per core. A small input (one file, one row
-    group) would otherwise run in a single task; a large input already
-    arrives in enough partitions, and another shuffle would only move it.
+    smaller than one file split per core and comes in fewer files than
+    cores. A small input (one file, one row group) would otherwise run in a
+    single task; a large or many-file input already arrives in enough
+    partitions, and another shuffle would only move it.
     Deterministic on retry (Spark sorts rows locally before a round-robin
     repartition)."""
     spark = df.sparkSession
@@ -29,4 +30,9 @@ def spread_rows(df: DataFrame, partitions: int | None = None) -> DataFrame:
     size = _estimated_bytes(df)
     if size is not None and size >= n * split:
         return df
+    try:
+        if len(df.inputFiles()) >= n:  # e.g. a rank table: one file per partition already
+            return df
+    except Exception:  # noqa: BLE001  (plans without a file listing)
+        pass
     return df.repartition(int(n))
