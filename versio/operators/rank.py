@@ -50,9 +50,9 @@ def exact_rank(df: DataFrame, order_cols, rank_col: str = "rank",
     n = _partitions(df, num_partitions)
     keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rank-{uuid.uuid4().hex}"
-    df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*drop_after_sort) \
-        .write.mode("errorifexists").parquet(path)
-    stored = spark.read.parquet(path)
+    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*drop_after_sort)
+    ordered.write.mode("errorifexists").parquet(path)
+    stored = spark.read.schema(ordered.schema).parquet(path)  # known schema: no footer scan
     file_name = F.col("_metadata.file_name")
     counts = stored.select(file_name.alias("_rk_file")).groupBy("_rk_file").agg(
         F.count(F.lit(1)).alias("_rk_cnt"))
