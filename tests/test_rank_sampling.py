@@ -158,3 +158,15 @@ def test_spread_only_small_inputs(spark, monkeypatch):
     assert part.spread_rows(df) is df
     monkeypatch.setattr(part, "_estimated_bytes", lambda _: None)
     assert part.spread_rows(df) is not df
+
+
+def test_rank_with_several_files_per_partition(spark):
+    rows = [(i, (i * 7919) % 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, k long")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "50")
+    try:
+        got = {r.id: r["rank"] for r in exact_rank(df, ["k", "id"], num_partitions=4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    want = {i: pos for pos, (i, _) in enumerate(sorted(rows, key=lambda x: (x[1], x[0])), 1)}
+    assert got == want
