@@ -120,3 +120,13 @@ def test_predictions_csv_keeps_empty_apart_from_null(spark, scratch):
 
 def test_pairs_adapter_counts(spark):
     assert load_fixture_pairs(spark, SF01).count() == 233
+
+
+def test_empty_history_is_an_error_and_unpinned_files_are_reported(spark, scratch):
+    from versio.schemas import HISTORY
+
+    spark.createDataFrame([], HISTORY).coalesce(1).write.options(header="true").csv(scratch)
+    with pytest.raises(ValueError, match="no epochs"):
+        FS.read_history(spark, scratch)
+    report = FS.verify_checksum(spark, SF001, {}, "region.parquet")
+    assert [r.status for r in report.collect()] == ["unpinned"]
