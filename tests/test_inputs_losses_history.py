@@ -113,3 +113,19 @@ def test_best_epoch_first_on_ties_and_not_improved(spark):
                                  "run_id string, epoch int, train_loss double, val_loss double")
     assert H.best_epoch(hist).first().best_epoch == 2
     assert [r.improved for r in H.with_progress(hist).orderBy("epoch").collect()] == [True, True, False, False]
+
+
+def test_history_analytics_keep_runs_apart(spark):
+    rows = [("a", 1, 2.0, 3.0, 1.0, 10), ("a", 2, 1.5, 2.0, 1.0, 20), ("a", 3, 1.2, 2.5, 1.0, 30),
+            ("b", 1, 9.0, 1.0, 1.0, 5), ("b", 2, 8.0, 4.0, 1.0, 10)]
+    hist = spark.createDataFrame(rows, "run_id string, epoch int, train_loss double, val_loss double, "
+                                       "seconds double, global_step int")
+    best = {r.run_id: r.best_epoch for r in H.best_epoch(hist).collect()}
+    assert best == {"a": 2, "b": 1}
+    prog = {(r.run_id, r.epoch): (r.best_so_far, r.improved) for r in H.with_progress(hist).collect()}
+    assert prog[("b", 1)] == (1.0, True) and prog[("b", 2)] == (1.0, False)
+    assert prog[("a", 3)] == (2.0, False)
+    res = {r.run_id: (r.next_epoch, r.global_step) for r in H.resume_point(hist).collect()}
+    assert res == {"a": (4, 30), "b": (3, 10)}
+    curve = {(r.run_id, r.epoch, r.series) for r in H.learning_curve(hist).where("is_best").collect()}
+    assert curve == {("a", 2, "val"), ("b", 1, "val")}
