@@ -1,5 +1,4 @@
 import regex
-from pyspark.sql import functions as F
 
 from versio.functions.text import encode_tokens, pre_tokenize, whitespace_words
 from versio.operators.encoding import decode_texts, encode_ids, oov_rate

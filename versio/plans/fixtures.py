@@ -8,8 +8,6 @@ the data.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.pairs import load_fixture_pairs  # noqa: F401  (re-export)
-
 # Decoding steps per stand-in pair in the score table.
 STEPS_PER_PAIR = 16
 
