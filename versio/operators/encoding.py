@@ -156,6 +156,7 @@ def decode_texts(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, lang:
 
 def decode(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, lang: str,
            out_col: str = "text", method: str = "lookup") -> DataFrame:
+    """``df`` plus the decoded text of ``ids_col`` (lookup: narrow; join: joined back on the key)."""
     if method == "lookup":
         return decode_column(df, ids_col, vocab, lang, out_col)
     return df.join(decode_texts(df, key_cols, ids_col, vocab, lang, out_col, method), list(key_cols))

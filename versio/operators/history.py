@@ -46,6 +46,7 @@ def with_progress(history: DataFrame, run_col: str = "run_id") -> DataFrame:
 
 def global_step(history: DataFrame, batches_col: str = "train_batches",
                 run_col: str = "run_id") -> DataFrame:
+    """Cumulative training batches over the epochs of each run."""
     upto = _run_window(run_col).rowsBetween(Window.unboundedPreceding, 0)
     return history.withColumn("global_step", F.sum(batches_col).over(upto).cast("int"))
 

@@ -13,6 +13,7 @@ def fits(src_tokens: Column, tgt_tokens: Column, seq_len: int) -> Column:
 
 
 def with_token_counts(df: DataFrame, src_text, tgt_text) -> DataFrame:
+    """Adds ``src_tokens`` and ``tgt_tokens`` (ids the encoder will produce)."""
     return df.withColumn("src_tokens", token_count(src_text)).withColumn(
         "tgt_tokens", token_count(tgt_text))
 
@@ -26,6 +27,7 @@ def length_filter(df: DataFrame, seq_len: int, src_text="src_text", tgt_text="tg
 
 def length_filter_report(df: DataFrame, seq_len: int, src_text="src_text", tgt_text="tgt_text",
                          group_col: str = "split") -> DataFrame:
+    """Rows per split before and after the length filter, in one aggregation."""
     keep = fits(token_count(src_text), token_count(tgt_text), seq_len)
     return df.groupBy(group_col).agg(
         F.count(F.lit(1)).alias("rows_before"),
@@ -53,6 +55,7 @@ def reject_overlong(ids_len: Column, limit: int, value: Column) -> Column:
 
 def model_input_columns(seq_len: int, src_ids="src_ids", tgt_ids="tgt_ids",
                         with_decoder_mask: bool = True) -> list:
+    """The model-input columns of an encoded pair table; overlong rows fail the job."""
     s, t = F.col(src_ids), F.col(tgt_ids)
     enc = reject_overlong(F.size(s), seq_len - 2, A.encoder_input(s, seq_len))
     dec = reject_overlong(F.size(t), seq_len - 1, A.decoder_input(t, seq_len))

@@ -57,6 +57,7 @@ def label_tokens(label_ids) -> Column:
 
 
 def batch_tokens(inputs: DataFrame, batch_col: str = "batch_id", label_col: str = "label") -> DataFrame:
+    """Non-``[PAD]`` label tokens per batch."""
     return inputs.groupBy(batch_col).agg(F.sum(label_tokens(label_col)).cast("bigint").alias("tokens"))
 
 

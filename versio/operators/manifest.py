@@ -77,6 +77,7 @@ def manifest_diff(long: DataFrame, baseline_run: str, run_col: str = "run_id") -
 
 
 def resume_allowed(diff: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """Per run: no blocking difference (resume allowed) and the number of warnings."""
     return diff.groupBy(run_col).agg(
         (F.count_if(F.col("severity") == "block") == 0).alias("resume_allowed"),
         F.count_if(F.col("severity") == "warn").alias("warnings"))

@@ -71,6 +71,7 @@ def bleu_stats(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N, sp
 
 
 def bleu_from_stats(stats: DataFrame, max_n: int = MAX_N) -> DataFrame:
+    """Corpus BLEU and the n-gram precisions from the one-row statistics."""
     clipped = [F.col(f"clipped_{n}") for n in range(1, max_n + 1)]
     totals = [F.col(f"total_{n}") for n in range(1, max_n + 1)]
     log_mean = reduce(lambda a, b: a + b, [
@@ -85,6 +86,7 @@ def bleu_from_stats(stats: DataFrame, max_n: int = MAX_N) -> DataFrame:
 
 
 def bleu(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N, spread: bool = True) -> DataFrame:
+    """One row: corpus BLEU-4, the four precisions and both lengths."""
     return bleu_from_stats(bleu_stats(df, key_cols, hyp_col, ref_col, max_n, spread), max_n)
 
 
@@ -116,11 +118,13 @@ def sentence_errors(df: DataFrame, key_cols, hyp_col, ref_col, spread: bool = Tr
 
 
 def cer(df: DataFrame, hyp_col, ref_col) -> DataFrame:
+    """One row: character edit operations over reference characters."""
     h, r = _text(hyp_col), _text(ref_col)
     return spread_rows(df).agg((F.sum(F.levenshtein(h, r)) / F.sum(F.length(r))).alias("cer"))
 
 
 def wer(df: DataFrame, hyp_col, ref_col) -> DataFrame:
+    """One row: word edit operations over reference words."""
     hw, rw = whitespace_words(_text(hyp_col)), whitespace_words(_text(ref_col))
     return spread_rows(df).agg((F.sum(word_edit_distance(hw, rw)) / F.sum(F.size(rw))).alias("wer"))
 

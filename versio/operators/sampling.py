@@ -14,6 +14,7 @@ from .rank import exact_rank
 
 
 def shuffle_key(seed, id_col: str = "id") -> Column:
+    """``md5("<seed>:<id>")``: the seeded order (DuckDB computes the same hex)."""
     seed_col = seed if isinstance(seed, Column) else F.lit(str(seed))
     return F.md5(F.concat(seed_col.cast("string"), F.lit(":"), F.col(id_col).cast("string")))
 

@@ -31,6 +31,7 @@ def word_counts_by_column(df: DataFrame, text_col: str, lang_col: str) -> DataFr
 
 
 def specials(spark: SparkSession, langs) -> DataFrame:
+    """The four special tokens with ids 0..3 for every language."""
     rows = [(lang, tok, i) for lang in langs for i, tok in enumerate(SPECIAL_TOKENS)]
     return spark.createDataFrame(rows, VOCAB)
 
@@ -89,6 +90,7 @@ def materialize_vocab(vocab: DataFrame, langs, cap: int = VOCAB_CAP) -> DataFram
 
 
 def vocab_size(vocab: DataFrame) -> DataFrame:
+    """Entries per language, specials included."""
     return vocab.groupBy("lang").agg(F.count(F.lit(1)).alias("vocab_size"))
 
 
@@ -103,11 +105,13 @@ def token_to_id(df: DataFrame, token_col: str, vocab: DataFrame, lang: str,
 
 def id_to_token(df: DataFrame, id_col: str, vocab: DataFrame, lang: str,
                 out_col: str = "token") -> DataFrame:
+    """Lookup by id; ids outside the vocabulary give a null token. Broadcast (capped)."""
     v = vocab.where(F.col("lang") == lang).select(F.col("id").alias(id_col), F.col("token").alias(out_col))
     return df.join(F.broadcast(v), id_col, "left")
 
 
 def save_vocab(vocab: DataFrame, path: str) -> None:
+    """Store a vocabulary table; an existing folder is never overwritten."""
     vocab.write.mode("errorifexists").parquet(path)
 
 

@@ -25,6 +25,7 @@ class Prepared:
 
 def split_pairs(pairs: DataFrame, seed: int = 42, max_samples: int | None = None,
                 src: str = "en", tgt: str = "it") -> DataFrame:
+    """``(id, src_text, tgt_text[, row_key])`` with the seeded split columns."""
     keep = ["row_key"] if "row_key" in pairs.columns else []
     flat = pairs.select("id", project_lang(pairs, src, "src_text"), project_lang(pairs, tgt, "tgt_text"), *keep)
     return split_train_val_test(flat, seed, max_samples)

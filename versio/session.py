@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8,
                   app: str = "versio") -> SparkSession:
+    """A local session for tests and the bench (AQE on, UTC, scratch checkpoints)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)

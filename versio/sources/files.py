@@ -39,12 +39,14 @@ def verify_checksum(spark: SparkSession, path: str, expected: dict, glob: str |
 
 
 def require_checksums(report: DataFrame) -> None:
+    """Driver check on a checksum report (one row per file)."""
     bad = report.where(F.col("status") != "ok").select("name", "status").collect()
     if bad:
         raise ValueError(f"checksum verification failed: {[(r.name, r.status) for r in bad]}")
 
 
 def write_predictions(predictions: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """``source, reference, prediction`` as CSV with a header; never overwrites by default."""
     predictions.select("source", "reference", "prediction").write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 

@@ -28,6 +28,7 @@ def read_pairs(spark: SparkSession, path: str, src: str = "en", tgt: str = "it")
 
 
 def check_pair_columns(df: DataFrame, src: str = "en", tgt: str = "it") -> None:
+    """Schema-only check that the pair table has ``id``, ``translation`` and both languages."""
     names = set(df.columns)
     if not REQUIRED_COLUMNS.issubset(names):
         raise ValueError(f"pair table needs columns {sorted(REQUIRED_COLUMNS)}; got {df.columns}")
@@ -64,6 +65,7 @@ def pairs_from_conversations(conversations: DataFrame, src: str = "en", tgt: str
 
 
 def load_fixture_pairs(spark: SparkSession, sf_dir: str, src: str = "en", tgt: str = "it") -> DataFrame:
+    """The pair stand-in from the shared ``conversations`` table."""
     return pairs_from_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), src, tgt)
 
 

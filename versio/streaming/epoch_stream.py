@@ -11,6 +11,7 @@ from ..schemas import BATCH_LOSS
 
 
 def batch_loss_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Batch-loss Parquet files arriving in ``folder``, with the fixed schema."""
     reader = spark.readStream.schema(BATCH_LOSS).format("parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
