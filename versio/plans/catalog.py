@@ -98,6 +98,7 @@ predictions AS (
 
 @query("read_pairs", _with(O.pairs_cte()) + "SELECT id, en, it FROM pairs")
 def q_read_pairs(spark, sf_dir):
+    """The pair corpus (conversation stand-in) with both languages projected."""
     p = load_fixture_pairs(spark, sf_dir)
     return p.select("id", project_lang(p, "en"), project_lang(p, "it"))
 
@@ -123,6 +124,7 @@ def _predictions(spark, sf_dir):
 
 @query("write_predictions", _PREDICTIONS_CTE + "SELECT source, reference, prediction FROM predictions")
 def q_write_predictions(spark, sf_dir):
+    """Test-split predictions written as CSV and read back."""
     path = _scratch(spark, "predictions")
     FS.write_predictions(_predictions(spark, sf_dir), path)
     return FS.read_predictions(spark, path)
@@ -148,6 +150,7 @@ _HISTORY_SELECT = ("SELECT epoch, round(train_loss, 9) AS train_loss, round(val_
 
 @query("read_history", _with(O.history_cte()) + _HISTORY_SELECT)
 def q_read_history(spark, sf_dir):
+    """The event-derived history exported as CSV and read back typed."""
     path = _scratch(spark, "history-csv")
     FS.export_history_csv(H.epoch_summary(FX.batch_losses(spark, sf_dir)), path)
     h = FS.read_history(spark, path)
@@ -157,6 +160,7 @@ def q_read_history(spark, sf_dir):
 
 @query("no_overwrite_sink", _VOCAB_SQL)
 def q_no_overwrite_sink(spark, sf_dir):
+    """A vocabulary stored once; a second write into the used folder is refused."""
     path = _scratch(spark, "run")
     vocab = _prepared(spark, sf_dir).vocab
     V.save_vocab(vocab, path)
@@ -174,17 +178,20 @@ def q_no_overwrite_sink(spark, sf_dir):
 
 @query("project_lang", _with(O.pairs_cte()) + "SELECT id, it AS text FROM pairs")
 def q_project_lang(spark, sf_dir):
+    """One language of every pair."""
     p = load_fixture_pairs(spark, sf_dir)
     return p.select("id", project_lang(p, "it", "text"))
 
 
 @query("length_filter", _with(O.split_ctes(SEED), O.kept_cte(SEQ_LEN)) + "SELECT id, split FROM kept")
 def q_length_filter(spark, sf_dir):
+    """Pairs of every split that fit sequence length 128."""
     return I.length_filter(_split(spark, sf_dir), SEQ_LEN).select("id", "split")
 
 
 @query("length_filter_report", _REPORT_SQL)
 def q_length_filter_report(spark, sf_dir):
+    """Rows per split before and after the length filter."""
     return I.length_filter_report(_split(spark, sf_dir), SEQ_LEN)
 
 
@@ -203,6 +210,7 @@ SELECT id, split FROM split
 WHERE NOT (len(regexp_extract_all(src_text, '{O.PRE_RE2}')) + 2 <= {SEQ_LEN}
        AND len(regexp_extract_all(tgt_text, '{O.PRE_RE2}')) + 1 <= {SEQ_LEN})""")
 def q_reject_overlong(spark, sf_dir):
+    """The quarantine: pairs that would not fit."""
     return I.overlong_quarantine(_split(spark, sf_dir), SEQ_LEN).select("id", "split")
 
 
@@ -210,6 +218,7 @@ def q_reject_overlong(spark, sf_dir):
 
 @query("seeded_shuffle", _with(O.split_ctes(SEED)) + "SELECT id, shuffle_rank FROM split")
 def q_seeded_shuffle(spark, sf_dir):
+    """Position of every pair in the seed-42 permutation."""
     p = load_fixture_pairs(spark, sf_dir)
     return S.seeded_shuffle(p, SEED).select("id", "shuffle_rank")
 
@@ -217,11 +226,13 @@ def q_seeded_shuffle(spark, sf_dir):
 @query("sample_n", _with(O.pairs_cte()) + f"""
 SELECT id FROM pairs ORDER BY md5(concat('{SEED}', ':', id)), id LIMIT {SAMPLE_N}""")
 def q_sample_n(spark, sf_dir):
+    """The first 100 pairs of the seed-42 permutation."""
     return S.sample_n(load_fixture_pairs(spark, sf_dir), SAMPLE_N, SEED).select("id")
 
 
 @query("split_train_val_test", _with(O.split_ctes(SEED)) + "SELECT id, split FROM split")
 def q_split(spark, sf_dir):
+    """train / val / test label of every pair (10 % / 10 %, half-to-even)."""
     return _split(spark, sf_dir).select("id", "split")
 
 
@@ -232,6 +243,7 @@ _EPOCH_SQL = f"""epoch_rows AS (
 
 @query("epoch_shuffle", _with(O.split_ctes(SEED), _EPOCH_SQL) + "SELECT id, epoch_rank FROM epoch_rows")
 def q_epoch_shuffle(spark, sf_dir):
+    """Order of the training pairs in epoch 1."""
     train = _split(spark, sf_dir).where(F.col("split") == "train")
     return S.epoch_order(train, SEED, EPOCH).select("id", "epoch_rank")
 
@@ -239,12 +251,14 @@ def q_epoch_shuffle(spark, sf_dir):
 @query("assign_batches", _with(O.split_ctes(SEED), _EPOCH_SQL) + f"""
 SELECT id, CAST(floor((epoch_rank - 1) / {BATCH_SIZE}) AS BIGINT) AS batch_id FROM epoch_rows""")
 def q_assign_batches(spark, sf_dir):
+    """Batch (size 8) of every training pair in epoch 1."""
     return S.epoch_batches(_split(spark, sf_dir), SEED, EPOCH, BATCH_SIZE).select("id", "batch_id")
 
 
 @query("eval_limit", _with(O.split_ctes(SEED)) + f"""
 SELECT id FROM split WHERE split = 'test' ORDER BY shuffle_rank LIMIT {EVAL_SAMPLES}""")
 def q_eval_limit(spark, sf_dir):
+    """The first 20 test pairs in split order."""
     return S.eval_limit(_split(spark, sf_dir), EVAL_SAMPLES).select("id")
 
 
@@ -253,6 +267,7 @@ def q_eval_limit(spark, sf_dir):
 @query("pre_tokenize", f"""
 SELECT doc_id, regexp_extract_all(text, '{O.PRE_RE2}') AS tokens FROM documents""")
 def q_pre_tokenize(spark, sf_dir):
+    """Word/punctuation tokens of every whole document."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", pre_tokenize("text").alias("tokens"))
 
@@ -262,12 +277,14 @@ SELECT lang, token, count(*) AS count
 FROM (SELECT lang, unnest(regexp_extract_all(text, '{O.PRE_RE2}')) AS token FROM documents)
 GROUP BY lang, token""")
 def q_word_counts(spark, sf_dir):
+    """Token frequencies per document language over all documents."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return V.word_counts_by_column(d, "text", "lang")
 
 
 @query("build_vocab", _VOCAB_SQL)
 def q_build_vocab(spark, sf_dir):
+    """Source and target vocabularies trained on the training split."""
     return V.train_vocab(_split(spark, sf_dir), {"en": "src_text", "it": "tgt_text"})
 
 
@@ -287,6 +304,7 @@ def q_build_vocab_documents(spark, sf_dir):
 
 @query("save_load_vocab", _VOCAB_SQL)
 def q_save_load_vocab(spark, sf_dir):
+    """A trained vocabulary stored, then reused unchanged."""
     path = _scratch(spark, "vocab")
     split = _split(spark, sf_dir)
     first = V.load_or_train_vocab(spark, path, split, {"en": "src_text", "it": "tgt_text"})
@@ -299,6 +317,7 @@ def q_save_load_vocab(spark, sf_dir):
 @query("vocab_size", _with(O.split_ctes(SEED), O.vocab_ctes()) +
        "SELECT lang, count(*) AS vocab_size FROM vocab GROUP BY lang")
 def q_vocab_size(spark, sf_dir):
+    """Vocabulary size per language."""
     return V.vocab_size(V.train_vocab(_split(spark, sf_dir), {"en": "src_text", "it": "tgt_text"}))
 
 
@@ -330,6 +349,7 @@ def q_id_to_token(spark, sf_dir):
 @query("encode", _with(O.split_ctes(SEED), O.vocab_ctes(), O.kept_cte(SEQ_LEN), O.encode_ctes()) +
        "SELECT id, src_ids, tgt_ids FROM encoded")
 def q_encode(spark, sf_dir):
+    """Source and target ids of the pairs that fit."""
     return _prepared(spark, sf_dir).encoded.select("id", "src_ids", "tgt_ids")
 
 
@@ -358,6 +378,7 @@ SELECT split,
        round(sum(len(list_filter(tgt_ids, lambda x: x = 0))) / sum(len(tgt_ids)), 9) AS tgt_ids_oov_rate
 FROM encoded GROUP BY split""")
 def q_oov_rate(spark, sf_dir):
+    """Share of unknown ids per split and side."""
     r = E.oov_rate(_prepared(spark, sf_dir).encoded, ["split"], ["src_ids", "tgt_ids"])
     return r.select("split", "src_ids_unk", "src_ids_tokens", _r("src_ids_oov_rate").alias("src_ids_oov_rate"),
                     "tgt_ids_unk", "tgt_ids_tokens", _r("tgt_ids_oov_rate").alias("tgt_ids_oov_rate"))
@@ -372,6 +393,7 @@ joined AS (
   WHERE d.tid > 3 GROUP BY d.id)
 SELECT e.id, coalesce(j.text, '') AS text FROM encoded e LEFT JOIN joined j USING (id)""")
 def q_decode(spark, sf_dir):
+    """Target ids decoded back to text (specials dropped)."""
     p = _prepared(spark, sf_dir)
     return E.decode_texts(p.encoded, ["id"], "tgt_ids", p.vocab, "it", "text")
 
@@ -384,18 +406,21 @@ def _inputs_sql(select: str, seq_len: int = SEQ_LEN) -> str:
 
 @query("encoder_input", _inputs_sql(f"SELECT id, {O.encoder_input('src_ids', SEQ_LEN)} AS encoder_input FROM encoded"))
 def q_encoder_input(spark, sf_dir):
+    """Encoder inputs (length 128)."""
     e = _prepared(spark, sf_dir).encoded
     return e.select("id", A.encoder_input("src_ids", SEQ_LEN).alias("encoder_input"))
 
 
 @query("decoder_input", _inputs_sql(f"SELECT id, {O.decoder_input('tgt_ids', SEQ_LEN)} AS decoder_input FROM encoded"))
 def q_decoder_input(spark, sf_dir):
+    """Decoder inputs (length 128)."""
     e = _prepared(spark, sf_dir).encoded
     return e.select("id", A.decoder_input("tgt_ids", SEQ_LEN).alias("decoder_input"))
 
 
 @query("label", _inputs_sql(f"SELECT id, {O.label('tgt_ids', SEQ_LEN)} AS label FROM encoded"))
 def q_label(spark, sf_dir):
+    """Labels (length 128)."""
     e = _prepared(spark, sf_dir).encoded
     return e.select("id", A.label("tgt_ids", SEQ_LEN).alias("label"))
 
@@ -406,12 +431,14 @@ SELECT CAST(count(*) FILTER (WHERE len({O.encoder_input('src_ids', SEQ_LEN)}) <>
                            OR len({O.label('tgt_ids', SEQ_LEN)}) <> {SEQ_LEN}) AS BIGINT) AS bad_rows,
        count(*) AS rows FROM encoded"""))
 def q_assert_lengths(spark, sf_dir):
+    """Rows whose arrays are not 128 long (none)."""
     return I.assert_lengths(_prepared(spark, sf_dir).inputs, SEQ_LEN)
 
 
 @query("encoder_mask", _inputs_sql(
     f"SELECT id, {O.encoder_mask(O.encoder_input('src_ids', SEQ_LEN))} AS encoder_mask FROM encoded"))
 def q_encoder_mask(spark, sf_dir):
+    """Encoder padding masks."""
     e = _prepared(spark, sf_dir).encoded
     return e.select("id", A.encoder_mask(A.encoder_input("src_ids", SEQ_LEN)).alias("encoder_mask"))
 
@@ -420,6 +447,7 @@ def q_encoder_mask(spark, sf_dir):
     f"SELECT id, {O.decoder_mask(O.decoder_input('tgt_ids', MASK_SEQ_LEN), MASK_SEQ_LEN)} AS decoder_mask FROM encoded",
     MASK_SEQ_LEN))
 def q_decoder_mask(spark, sf_dir):
+    """Decoder masks (64 × 64: padding and causal)."""
     e = _prepared(spark, sf_dir, MASK_SEQ_LEN).encoded
     return e.select("id", A.decoder_mask(A.decoder_input("tgt_ids", MASK_SEQ_LEN), MASK_SEQ_LEN).alias("decoder_mask"))
 
@@ -433,6 +461,7 @@ SELECT id, split, {O.encoder_input('src_ids', MASK_SEQ_LEN)} AS encoder_input,
        src_text, tgt_text
 FROM encoded""", MASK_SEQ_LEN))
 def q_model_inputs(spark, sf_dir):
+    """The full model-input rows at sequence length 64."""
     return _prepared(spark, sf_dir, MASK_SEQ_LEN, with_decoder_mask=True).inputs
 
 
@@ -474,12 +503,14 @@ FROM l"""
 
 @query("smoothed_cross_entropy", _loss_sql(0.1))
 def q_smoothed_ce(spark, sf_dir):
+    """Mean label-smoothed (0.1) cross entropy of the logits table, PAD labels ignored."""
     r = L.cross_entropy(FX.logits(spark, sf_dir), "logits", "label", 0.1)
     return r.select(_r("loss").alias("loss"), "tokens")
 
 
 @query("cross_entropy", _loss_sql(0.0))
 def q_ce(spark, sf_dir):
+    """Mean plain cross entropy of the logits table, PAD labels ignored."""
     r = L.cross_entropy(FX.logits(spark, sf_dir), "logits", "label", 0.0)
     return r.select(_r("loss").alias("loss"), "tokens")
 
@@ -490,6 +521,7 @@ m AS (SELECT *, list_max(z) AS m FROM z),
 l AS (SELECT *, m + ln(list_sum(list_transform(z, lambda x: exp(x - m)))) AS lse FROM m)
 SELECT vec_id, round(0.9 * (lse - z[label + 1]) + 0.1 * (lse - list_sum(z) / len(z)), 9) AS loss FROM l""")
 def q_token_losses(spark, sf_dir):
+    """Label-smoothed loss of every logits row."""
     lg = FX.logits(spark, sf_dir)
     return lg.select("vec_id", _r(L.token_loss("logits", "label", 0.1)).alias("loss"))
 
@@ -498,6 +530,7 @@ def q_token_losses(spark, sf_dir):
 , rows_ AS (SELECT id, {O.label('tgt_ids', SEQ_LEN)} AS label FROM encoded)
 SELECT id, len(list_filter(label, lambda x: x <> 1)) AS tokens FROM rows_"""))
 def q_label_tokens(spark, sf_dir):
+    """Non-PAD label tokens of every encoded pair."""
     e = _prepared(spark, sf_dir).encoded
     return e.select("id", L.label_tokens(A.label("tgt_ids", SEQ_LEN)).cast("bigint").alias("tokens"))
 
@@ -507,6 +540,7 @@ SELECT run_id, epoch, phase, round(sum(loss * tokens) / sum(tokens), 9) AS epoch
        count(*) AS batches, CAST(sum(tokens) AS BIGINT) AS tokens
 FROM batches GROUP BY run_id, epoch, phase""")
 def q_epoch_loss(spark, sf_dir):
+    """Token-weighted loss per run, epoch and phase."""
     r = L.epoch_loss(FX.batch_losses(spark, sf_dir))
     return r.select("run_id", "epoch", "phase", _r("epoch_loss").alias("epoch_loss"), "batches", "tokens")
 
@@ -518,6 +552,7 @@ SELECT run_id, epoch, phase, batch_id,
 FROM batches
 WINDOW w AS (PARTITION BY run_id, epoch, phase ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def q_running_loss(spark, sf_dir):
+    """Token-weighted loss after every batch."""
     r = L.running_loss(FX.batch_losses(spark, sf_dir))
     return r.select("run_id", "epoch", "phase", "batch_id", _r("running_loss").alias("running_loss"),
                     F.col("cum_tokens").cast("bigint").alias("cum_tokens"))
@@ -533,6 +568,7 @@ def _history(spark, sf_dir):
 SELECT run_id, epoch, round(train_loss, 9) AS train_loss, round(val_loss, 9) AS val_loss, seconds, global_step
 FROM history""")
 def q_epoch_summary(spark, sf_dir):
+    """History rows derived from the batch losses."""
     h = _history(spark, sf_dir)
     return h.select("run_id", "epoch", _r("train_loss").alias("train_loss"), _r("val_loss").alias("val_loss"),
                     "seconds", "global_step")
@@ -540,6 +576,7 @@ def q_epoch_summary(spark, sf_dir):
 
 @query("global_step", _with(O.history_cte()) + "SELECT run_id, epoch, global_step FROM history")
 def q_global_step(spark, sf_dir):
+    """Cumulative training batches per epoch."""
     per_epoch = FX.batch_losses(spark, sf_dir).groupBy("run_id", "epoch").agg(
         F.count_if(F.col("phase") == "train").alias("train_batches"))
     return H.global_step(per_epoch).select("run_id", "epoch", "global_step")
@@ -555,6 +592,7 @@ FROM history"""
 
 @query("best_so_far", _PROGRESS_SQL)
 def q_best_so_far(spark, sf_dir):
+    """Running best validation loss and the improvement flag."""
     p = H.with_progress(_history(spark, sf_dir))
     return p.select("run_id", "epoch", _r("best_so_far").alias("best_so_far"), "improved")
 
@@ -564,6 +602,7 @@ SELECT run_id, epoch FROM history
 QUALIFY val_loss < coalesce(min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'infinity'::DOUBLE)""")
 def q_improved(spark, sf_dir):
+    """Epochs that improved on every earlier epoch."""
     p = H.with_progress(_history(spark, sf_dir))
     return p.where("improved").select("run_id", "epoch")
 
@@ -572,6 +611,7 @@ def q_improved(spark, sf_dir):
 SELECT run_id, arg_min(epoch, (val_loss, epoch)) AS best_epoch, round(min(val_loss), 9) AS best_val_loss
 FROM history GROUP BY run_id""")
 def q_best_epoch(spark, sf_dir):
+    """Epoch of the lowest validation loss (first on ties)."""
     b = H.best_epoch(_history(spark, sf_dir))
     return b.select("run_id", "best_epoch", _r("best_val_loss").alias("best_val_loss"))
 
@@ -585,6 +625,7 @@ SELECT l.run_id, l.epoch, l.series, round(l.loss, 9) AS loss,
        (l.series = 'val' AND l.epoch = b.best_epoch) AS is_best
 FROM long l JOIN best b USING (run_id)""")
 def q_learning_curve(spark, sf_dir):
+    """Long-form learning curve with the best point marked."""
     c = H.learning_curve(_history(spark, sf_dir))
     return c.select("run_id", "epoch", "series", _r("loss").alias("loss"), "is_best")
 
@@ -594,6 +635,7 @@ SELECT run_id, max(epoch) + 1 AS next_epoch, arg_max(global_step, epoch) AS glob
        round(min(val_loss), 9) AS best_val_loss
 FROM history GROUP BY run_id""")
 def q_resume_point(spark, sf_dir):
+    """Where each run would resume."""
     r = H.resume_point(_history(spark, sf_dir))
     return r.select("run_id", "next_epoch", "global_step", _r("best_val_loss").alias("best_val_loss"))
 
@@ -609,6 +651,7 @@ SELECT CAST(pair_id AS BIGINT) AS pair_id, CAST(step AS BIGINT) AS step,
        CAST(arg_max(token_id, (score, -token_id)) AS INTEGER) AS token_id
 FROM s GROUP BY pair_id, step""")
 def q_greedy_pick(spark, sf_dir):
+    """Top token of every decoding step (ties to the lowest id)."""
     g = Y.greedy_pick(FX.long_scores(spark, sf_dir))
     return g.select(F.col("pair_id").cast("bigint"), F.col("step").cast("bigint"),
                     F.col("token_id").cast("int"))
@@ -617,6 +660,7 @@ def q_greedy_pick(spark, sf_dir):
 @query("argmax_dense", """
 SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS token_id FROM embeddings""")
 def q_argmax_dense(spark, sf_dir):
+    """Index of the first maximum of every logits row."""
     return FX.logits(spark, sf_dir).select("vec_id", Y.argmax_dense("logits").alias("token_id"))
 
 
@@ -634,6 +678,7 @@ SELECT CAST(pair_id AS BIGINT) AS pair_id,
                              ELSE least(len(picks) + 1, {SEQ_LEN}) END] AS hypothesis
 FROM seqs""")
 def q_truncate_hypothesis(spark, sf_dir):
+    """Hypotheses assembled per pair and cut after the first EOS."""
     picks = Y.greedy_pick(FX.long_scores(spark, sf_dir))
     h = Y.assemble_hypotheses(picks, SEQ_LEN)
     return h.select(F.col("pair_id").cast("bigint"), "hypothesis")
@@ -660,6 +705,7 @@ def q_score_corpus(spark, sf_dir):
 
 @query("prediction_table", _PREDICTIONS_CTE + "SELECT id, source, reference, prediction FROM predictions")
 def q_prediction_table(spark, sf_dir):
+    """Source, reference and decoded prediction of the test pairs."""
     return _predictions(spark, sf_dir)
 
 
@@ -676,6 +722,7 @@ g AS (
   {' UNION ALL '.join(f"SELECT id, {n} AS n, unnest({O.ngram_list('w', n)}) AS gram FROM w" for n in range(1, 5))})
 SELECT id, n, gram, count(*) AS count FROM g GROUP BY id, n, gram""")
 def q_ngram_counts(spark, sf_dir):
+    """Word 1- to 4-gram counts of every reference text."""
     p = load_fixture_pairs(spark, sf_dir)
     return X.ngram_counts(p.select("id", project_lang(p, "it", "text")), ["id"], "text").select(
         "id", "n", "gram", "count")
@@ -712,6 +759,7 @@ def _metric_pairs(spark, sf_dir):
 
 @query("bleu", _bleu_sql())
 def q_bleu(spark, sf_dir):
+    """Corpus BLEU-4 of user turns against the assistant turns."""
     b = X.bleu(_metric_pairs(spark, sf_dir), ["id"], "hyp", "ref")
     return b.select(_r("bleu").alias("bleu"), *[_r(f"precision_{n}").alias(f"precision_{n}") for n in range(1, 5)],
                     "hyp_len", "ref_len")
@@ -720,12 +768,14 @@ def q_bleu(spark, sf_dir):
 @query("cer", _METRIC_PAIRS + f"""
 SELECT round(sum({O.char_edit_sql('hyp', 'ref')}) / sum(length(ref)), 9) AS cer FROM w""")
 def q_cer(spark, sf_dir):
+    """Corpus character error rate of the same pairs."""
     return X.cer(_metric_pairs(spark, sf_dir), "hyp", "ref").select(_r("cer").alias("cer"))
 
 
 @query("wer", _METRIC_PAIRS + f"""
 SELECT round(sum({O.word_edit_sql('hw', 'rw')}) / sum(len(rw)), 9) AS wer FROM w""")
 def q_wer(spark, sf_dir):
+    """Corpus word error rate of the same pairs."""
     return X.wer(_metric_pairs(spark, sf_dir), "hyp", "ref").select(_r("wer").alias("wer"))
 
 
@@ -733,6 +783,7 @@ def q_wer(spark, sf_dir):
 SELECT id, {O.char_edit_sql('hyp', 'ref')} AS char_errors, length(ref) AS ref_chars,
        {O.word_edit_sql('hw', 'rw')} AS word_errors, len(rw) AS ref_words FROM w""")
 def q_sentence_errors(spark, sf_dir):
+    """Per-pair edit counts and reference lengths."""
     e = X.sentence_errors(_metric_pairs(spark, sf_dir), ["id"], "hyp", "ref")
     return e.select("id", F.col("char_errors").cast("bigint"), F.col("ref_chars").cast("bigint"),
                     F.col("word_errors").cast("bigint"), F.col("ref_words").cast("bigint"))
@@ -792,6 +843,7 @@ SELECT (SELECT count(*) FROM pairs) AS original_examples,
        (SELECT count(*) FILTER (WHERE lang = 'it') FROM vocab) AS target_vocab_size,
        42 AS split_seed""")
 def q_data_manifest(spark, sf_dir):
+    """The manifest counts of one run."""
     pairs = load_fixture_pairs(spark, sf_dir)
     p = prepare(pairs, SEED, None, SEQ_LEN, with_decoder_mask=False)
     m = M.data_manifest(M.manifest_counts(p.split, p.kept, p.vocab, "en", "it"), pairs, SEED,
