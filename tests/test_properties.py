@@ -9,7 +9,7 @@ from versio.operators.metrics import bleu, sentence_errors
 from versio.operators.rank import exact_rank
 from versio.operators.vocab import build_vocab, word_counts
 
-SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 
 WORDS = st.sampled_from(["il", "gatto", "nero", "dorme", "sul", "tetto", "e", "sogna", ",", "."])
 SENTENCE = st.lists(WORDS, min_size=0, max_size=12).map(" ".join)
