@@ -39,7 +39,7 @@ def text_fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> in
         grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False))
         h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64)
         total += len(h)
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
