@@ -5,6 +5,7 @@ query against a brute-force version."""
 
 from pyspark.sql import functions as F
 
+from . import line_dedup as LD
 from . import simhash as SH
 
 _REGISTRY: dict = {}
@@ -29,3 +30,9 @@ def _table(spark, sf_dir, name):
 def q_simhash(spark, sf_dir):
     """SimHash groups of all documents: 3-word shingles, at most 2 bits."""
     return SH.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+@query("op10_line_dedup")
+def q_line_dedup(spark, sf_dir):
+    """All documents without repeated lines: doc_id, text, n_lines, n_removed."""
+    return LD.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
