@@ -32,6 +32,12 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, row, text``: a row is known by its id and the hash of id and text,
+    so rows without an id and repeated ids work; repeated rows are one document."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is not in ``ids`` (one column ``id_col``).
     A null id never matches, so such a row stays."""

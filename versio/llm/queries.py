@@ -5,7 +5,10 @@ query against a brute-force version."""
 
 from pyspark.sql import functions as F
 
+from . import decontamination as DC
 from . import line_dedup as LD
+from . import oracles as O
+from . import quality as Q
 from . import simhash as SH
 
 _REGISTRY: dict = {}
@@ -26,12 +29,31 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_winnowing_decontamination", O.DECONTAMINATION)
+def q_decontamination(spark, sf_dir):
+    """Words of each document inside 13-word windows of benchmark items."""
+    docs = DC.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    c = F.col("contamination")
+    ids = F.array_sort(F.transform(F.filter(c["items"], lambda x: x.isNotNull()), lambda x: x.cast("string")))
+    return docs.select("doc_id", c["n_words"].cast("long").alias("n_words"), c["n_hit"].cast("long").alias("n_hit"),
+                       F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+                       c["contaminated"].alias("contaminated"))
+
+
 @query("op6_simhash_near_dedup")
 def q_simhash(spark, sf_dir):
     """SimHash groups of all documents: 3-word shingles, at most 2 bits."""
     return SH.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+@query("op7_quality_empirical_bayes")
+def q_quality(spark, sf_dir):
+    """Quality posterior of every document: text evidence, host (source) and
+    path (source and language) posteriors, and whether it is kept."""
+    docs = _table(spark, sf_dir, "documents")
+    return Q.score_documents(docs, _table(spark, sf_dir, "labels")).select("doc_id", "quality_score.*")
+
+
 @query("op10_line_dedup")
 def q_line_dedup(spark, sf_dir):
     """All documents without repeated lines: doc_id, text, n_lines, n_removed."""
