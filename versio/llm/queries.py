@@ -9,8 +9,12 @@ from . import decontamination as DC
 from . import line_dedup as LD
 from . import oracles as O
 from . import quality as Q
+from . import sentencepiece as SP
 from . import simhash as SH
 
+#: Vocabulary file of a public tokenizer, installed on every node.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 _REGISTRY: dict = {}
 
 
@@ -40,6 +44,16 @@ def q_decontamination(spark, sf_dir):
                        c["contaminated"].alias("contaminated"))
 
 
+@query("op3_sentencepiece_fst")
+def q_sentencepiece(spark, sf_dir):
+    """Piece ids of every whole text, and whether they decode to it again (a
+    literal meta symbol counts as a space, as in the model)."""
+    sp = SP.SentencePiece(spark, PIECE_MODEL)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", sp.encode(F.col("text")).alias("ids"))
+    same = sp.decode(F.col("ids")) == F.translate("text", SP.META, " ")
+    return docs.select("doc_id", "ids", F.size("ids").alias("n_ids"), same.alias("round_trip"))
+
+
 @query("op6_simhash_near_dedup")
 def q_simhash(spark, sf_dir):
     """SimHash groups of all documents: 3-word shingles, at most 2 bits."""
