@@ -11,6 +11,7 @@ from . import oracles as O
 from . import quality as Q
 from . import sentencepiece as SP
 from . import simhash as SH
+from . import url_filter as UF
 
 #: Vocabulary file of a public tokenizer, installed on every node.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -54,6 +55,13 @@ def q_sentencepiece(spark, sf_dir):
     return docs.select("doc_id", "ids", F.size("ids").alias("n_ids"), same.alias("round_trip"))
 
 
+@query("op4_bloom_cascade_urls", O.URL_FILTER)
+def q_urls(spark, sf_dir):
+    """Verdict on every page's URL: rules, else the listed domains."""
+    listed = spark.createDataFrame([(d,) for d in O.LISTED_DOMAINS], "key string")
+    return UF.judge_urls(_table(spark, sf_dir, "pages"), listed, O.URL_RULES).select("page_id", "judged.*")
+
+
 @query("op6_simhash_near_dedup")
 def q_simhash(spark, sf_dir):
     """SimHash groups of all documents: 3-word shingles, at most 2 bits."""
