@@ -5,6 +5,7 @@ query against a brute-force version."""
 
 from pyspark.sql import functions as F
 
+from . import chat as CH
 from . import decontamination as DC
 from . import line_dedup as LD
 from . import oracles as O
@@ -62,6 +63,12 @@ def q_urls(spark, sf_dir):
     return UF.judge_urls(_table(spark, sf_dir, "pages"), listed, O.URL_RULES).select("page_id", "judged.*")
 
 
+@query("op5_perspective_rotation", O.CHAT)
+def q_chat(spark, sf_dir):
+    """Every conversation from the perspective of each of its speakers."""
+    return CH.rotate(_table(spark, sf_dir, "conversations"))
+
+
 @query("op6_simhash_near_dedup")
 def q_simhash(spark, sf_dir):
     """SimHash groups of all documents: 3-word shingles, at most 2 bits."""
