@@ -5,14 +5,18 @@ query against a brute-force version."""
 
 from pyspark.sql import functions as F
 
+from . import ann as AN
 from . import chat as CH
 from . import decontamination as DC
+from . import langid as LI
 from . import line_dedup as LD
 from . import oracles as O
 from . import quality as Q
 from . import sentencepiece as SP
 from . import simhash as SH
+from . import toxicity as TX
 from . import url_filter as UF
+from .common import checked_broadcast
 
 #: Vocabulary file of a public tokenizer, installed on every node.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,6 +39,30 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Term families (fixed values) that refine the one toxic label of ``labels``
+#: into categories for the chain to learn; predictions never look at them.
+TOXIC_FAMILIES = {"insult": ["clown", "idiot", "loser", "moron", "scum"],
+                  "contempt": ["disgusting", "pathetic", "stupid", "trash", "worthless"]}
+
+
+def toxic_labels(docs, labels):
+    """``doc_id`` and the 0/1 categories toxic, insult and contempt."""
+    known = docs.select("doc_id", "text").join(checked_broadcast(labels.select("doc_id", "toxic").where("toxic is not null")), "doc_id")
+    return known.select("doc_id", "toxic", *[
+        F.when((F.col("toxic") == 1) & F.lower("text").rlike(r"\b(" + "|".join(words) + r")\b"), 1).otherwise(0).alias(name)
+        for name, words in TOXIC_FAMILIES.items()])
+
+
+@query("op1_toxicity_chain")
+def q_toxicity(spark, sf_dir):
+    """Probability of each category for every document, and whether it is toxic."""
+    docs = _table(spark, sf_dir, "documents")
+    labels = toxic_labels(docs, _table(spark, sf_dir, "labels"))
+    out = TX.toxicity(docs.select("doc_id", "text"), labels, ["toxic", *TOXIC_FAMILIES])
+    return out.select("doc_id", *[F.col("toxicity")[c].alias(f"p_{c}") for c in ["toxic", *TOXIC_FAMILIES]],
+                      (F.col("toxicity")["toxic"] >= 0.5).alias("toxic"))
+
+
 @query("op2_winnowing_decontamination", O.DECONTAMINATION)
 def q_decontamination(spark, sf_dir):
     """Words of each document inside 13-word windows of benchmark items."""
@@ -83,6 +111,24 @@ def q_quality(spark, sf_dir):
     return Q.score_documents(docs, _table(spark, sf_dir, "labels")).select("doc_id", "quality_score.*")
 
 
+@query("op8_collision_counting_ann")
+def q_ann(spark, sf_dir):
+    """The 5 nearest vectors of every vector whose id is divisible by 50."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return AN.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op9_centroid_language_id")
+def q_language(spark, sf_dir):
+    """Language of every document, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = LI.train(docs.where(fold != 0).select("text", "lang"))
+    out = LI.predict(docs.select("doc_id", "text", F.coalesce(fold == 0, F.lit(False)).alias("held_out")), model)
+    return out.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score",
+                      F.col("language.rejected").alias("rejected"))
+
+
 @query("op10_line_dedup")
 def q_line_dedup(spark, sf_dir):
     """All documents without repeated lines: doc_id, text, n_lines, n_removed."""
