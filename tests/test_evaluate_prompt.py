@@ -11,12 +11,12 @@ SF001 = "/root/testdata/sf0.001"
 
 def test_evaluate_first_rows_in_split_order(spark):
     p = prepare(load_fixture_pairs(spark, SF001), seed=42, seq_len=256, with_decoder_mask=False)
-    test_ids = [r.id for r in p.encoded.where("split = 'test'").orderBy("shuffle_rank").collect()]
+    test_ids = [r.id for r in p.encoded.where("split = 'test'").orderBy("split_key").collect()]
     predictions, scores = evaluate(p, echo_model, 256, 2)
     rows = predictions.collect()
     assert sorted(r.id for r in rows) == sorted(test_ids[:2])
     s = scores.first()
-    assert s.decoded_test_examples == 2 and 0.0 <= s.cer and 0.0 <= s.wer
+    assert s.decoded_test_examples == min(2, len(test_ids)) and 0.0 <= s.cer and 0.0 <= s.wer
     all_rows, _ = evaluate(p, echo_model, 256, 0)
     assert all_rows.count() == len(test_ids)
 
@@ -27,5 +27,5 @@ def test_prompt_input_pads_and_rejects_overlong(spark):
     ok = prompt_input(texts.where("id = 1"), ["id"], "text", p.vocab, "en", 8).first()
     assert len(ok.encoder_input) == 8 and ok.encoder_input[0] == 2 and ok.encoder_input[3] == 3
     assert ok.encoder_mask == [1, 1, 1, 1, 0, 0, 0, 0]
-    with pytest.raises(Exception, match="Sentence is too long"):
+    with pytest.raises(Exception, match="more tokens than the sequence length"):
         prompt_input(texts, ["id"], "text", p.vocab, "en", 8).select(F.col("encoder_input")).collect()

@@ -79,9 +79,8 @@ def test_sample_and_min_rows(spark):
     df = _ids(spark, 300)
     got = sorted(r.id for r in sample_n(df, 25, 1).collect())
     assert got == sorted(_md5_order(1, range(300))[:25])
-    small = split_train_val_test(_ids(spark, 9), 1)
     try:
-        small.collect()
+        split_train_val_test(_ids(spark, 9), 1)
         raise AssertionError("a selection under 10 rows must fail")
     except Exception as e:  # noqa: BLE001
         assert "at least 10" in str(e)
@@ -100,7 +99,7 @@ def test_batches_and_eval_limit(spark):
     train_ids = [r.id for r in split.where("split = 'train'").collect()]
     order = _md5_order(43, train_ids)
     assert {r.id: r.batch_id for r in rows} == {i: pos // 8 for pos, i in enumerate(order)}
-    first = [r.id for r in eval_limit(split, 5).collect()]
+    first = [r.id for r in eval_limit(split, 5).orderBy("split_key").collect()]
     assert first == _md5_order(42, range(470))[:5]
     assert eval_limit(split, 0).count() == 47
     assert assign_batches(b, 100).select(F.max("batch_id")).first()[0] == (n_train - 1) // 100
@@ -134,30 +133,36 @@ def test_hot_copies_split_across_tasks(spark, scratch):
     assert again == {(r.id, r.row_key.file, r.row_key.row): r.shuffle_rank for r in got}
 
 
-def test_sample_paths_agree(spark, monkeypatch):
-    import versio.operators.sampling as sampling
-
+def test_sample_is_a_prefix_of_the_split_order(spark):
     df = _ids(spark, 500)
-    small = {r.id: r.shuffle_rank for r in sampling.sample_n(df, 120, 5).collect()}
-    monkeypatch.setattr(sampling, "TOP_K_MAX", 10)
-    ranked = {r.id: r.shuffle_rank for r in sampling.sample_n(df, 120, 5).collect()}
-    split_rank = {r.id: r.split for r in sampling.split_train_val_test(df, 5, max_samples=120).collect()}
-    monkeypatch.setattr(sampling, "TOP_K_MAX", 100_000)
-    split_topk = {r.id: r.split for r in sampling.split_train_val_test(df, 5, max_samples=120).collect()}
-    assert small == ranked and len(small) == 120
-    assert split_rank == split_topk
+    sample = {r.id for r in sample_n(df, 120, 5).collect()}
+    assert sample == set(_md5_order(5, range(500))[:120])
+    assert {r.id for r in split_train_val_test(df, 5, max_samples=120).collect()} == sample
+    assert sample_n(df, 900, 5).count() == 500
+
+
+def test_boundary_among_copies(spark, scratch):
+    """A third of the rows share one id, and the boundaries fall among them."""
+    from versio.sources.pairs import read_pairs
+
+    rows = [(i, ("a", "b")) for i in range(100, 160)] + [(7, ("same", "stesso"))] * 600
+    spark.createDataFrame(rows, "id long, translation struct<en:string,it:string>").repartition(5).write.parquet(scratch)
+    pairs = read_pairs(spark, scratch)
+    counts = {r.split: r["count"] for r in split_train_val_test(pairs, 42).groupBy("split").count().collect()}
+    assert counts == {"test": 66, "val": 66, "train": 528}
+    assert sample_n(pairs, 333, 42).count() == 333
+
+
+def test_split_moves_nothing(spark):
+    plan = split_train_val_test(_ids(spark, 500), 5)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
 
 
-def test_spread_only_small_inputs(spark, monkeypatch):
-    import versio.operators.partitioning as part
+def test_spread_is_the_callers_choice(spark):
+    from versio.operators.partitioning import spread_rows
 
     df = _ids(spark, 100, parts=1)
-    monkeypatch.setattr(part, "_estimated_bytes", lambda _: 10)
-    assert part.spread_rows(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    monkeypatch.setattr(part, "_estimated_bytes", lambda _: 10 ** 15)
-    assert part.spread_rows(df) is df
-    monkeypatch.setattr(part, "_estimated_bytes", lambda _: None)
-    assert part.spread_rows(df) is not df
+    assert spread_rows(df) is df and spread_rows(df, 5).rdd.getNumPartitions() == 5
 
 
 def test_rank_with_several_files_per_partition(spark):

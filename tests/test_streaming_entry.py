@@ -18,8 +18,8 @@ def test_stream_equals_batch_epoch_loss(spark, scratch):
     batches.where(F.col("epoch") > 10).write.parquet(f"{inbox}/part2")
     q = start_epoch_history(spark, f"{inbox}/*", f"{scratch}/out", f"{scratch}/ckpt")
     q.awaitTermination(120)
-    got = {(r.epoch, r.phase): (r.epoch_loss, r.batches) for r in latest_epoch_losses(spark, f"{scratch}/out").collect()}
-    want = {(r.epoch, r.phase): (r.epoch_loss, r.batches) for r in epoch_loss(batches).collect()}
+    got = {(r.run_id, r.epoch, r.phase): (r.epoch_loss, r.batches) for r in latest_epoch_losses(spark, f"{scratch}/out").collect()}
+    want = {(r.run_id, r.epoch, r.phase): (r.epoch_loss, r.batches) for r in epoch_loss(batches).collect()}
     assert got.keys() == want.keys()
     for k, (loss, n) in want.items():
         assert got[k][1] == n and got[k][0] == pytest.approx(loss, rel=1e-12)
@@ -48,12 +48,23 @@ def test_progress_stream_matches_batch_and_ignores_replays(spark, scratch):
     hist.where(F.col("epoch") > 10).write.parquet(f"{inbox}/b")
     hist.where(F.col("epoch") <= 5).write.parquet(f"{inbox}/replayed")  # re-delivered epochs
     start_progress(spark, f"{inbox}/*", f"{scratch}/out", f"{scratch}/ckpt").awaitTermination(120)
-    got = {r.epoch: (r.best_so_far, r.improved) for r in spark.read.parquet(f"{scratch}/out").collect()}
-    want = {r.epoch: (r.best_so_far, r.improved) for r in with_progress(hist).collect()}
+    got = {(r.run_id, r.epoch): (r.best_so_far, r.improved) for r in spark.read.parquet(f"{scratch}/out").collect()}
+    want = {(r.run_id, r.epoch): (r.best_so_far, r.improved) for r in with_progress(hist).collect()}
     assert got == want
     assert spark.read.parquet(f"{scratch}/out").count() == hist.count()
 
 
+def test_late_epochs_are_emitted(spark, scratch):
+    from versio.streaming.progress_stream import HISTORY_ROWS, start_progress
+
+    inbox = f"{scratch}/inbox"
+    for i, (epoch, loss) in enumerate([(2, 0.5), (1, 0.4), (1, 0.4), (3, 0.45)]):
+        spark.createDataFrame([("r", epoch, 1.0, loss, 1.0, 1)], HISTORY_ROWS).write.parquet(f"{inbox}/d{i}")
+        start_progress(spark, f"{inbox}/*", f"{scratch}/out", f"{scratch}/ckpt").awaitTermination(120)
+    got = sorted((r.epoch, r.best_so_far, r.improved, r.status) for r in spark.read.parquet(f"{scratch}/out").collect())
+    assert got == [(1, 0.4, True, "late"), (2, 0.5, True, "in_order"), (3, 0.4, False, "in_order")]
+
+
 def test_task_side_functions_ship_by_value():
     import json
 

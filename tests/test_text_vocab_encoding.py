@@ -41,23 +41,23 @@ def test_vocab_order_cap_and_min_frequency(spark):
 
 
 def _toy_vocab(spark):
-    src = ["i", "you", "like", "cats", "dogs"]
-    tgt = ["amo", "ami", "i", "gatti", "cani"]
+    src = ["we", "they", "read", "books", "maps"]
+    tgt = ["noi", "loro", "leggono", "libri", "mappe"]
     rows = [(lang, w, i + 4) for lang, ws in (("en", src), ("it", tgt)) for i, w in enumerate(ws)]
     return specials(spark, ["en", "it"]).unionByName(spark.createDataFrame(rows, VOCAB))
 
 
 def test_encode_decode_smoke_pairs(spark):
     vocab = _toy_vocab(spark)
-    pairs = spark.createDataFrame([(1, "i like cats", "amo i gatti"), (2, "you like dogs", "ami i cani"),
-                                   (3, "", "i like zebras")], "id long, src string, tgt string")
+    pairs = spark.createDataFrame([(1, "we read books", "noi leggono libri"), (2, "they read maps", "loro leggono mappe"),
+                                   (3, "", "leggono old scrolls")], "id long, src string, tgt string")
     enc = encode_ids(pairs, ["id"], {"s": ("src", "en"), "t": ("tgt", "it")}, vocab)
     got = {r.id: (r.s, r.t) for r in enc.collect()}
     assert got[1] == ([4, 6, 7], [4, 6, 7])
     assert got[2] == ([5, 6, 8], [5, 6, 8])
     assert got[3] == ([], [6, 0, 0])
     dec = {r.id: r.text for r in decode_texts(enc, ["id"], "t", vocab, "it").collect()}
-    assert dec == {1: "amo i gatti", 2: "ami i cani", 3: "i"}
+    assert dec == {1: "noi leggono libri", 2: "loro leggono mappe", 3: "leggono"}
     rate = oov_rate(enc, [], ["t"]).first()
     assert rate.t_unk == 2 and rate.t_tokens == 9
 
@@ -65,7 +65,7 @@ def test_encode_decode_smoke_pairs(spark):
 def test_decode_drops_specials_and_unknown_ids(spark):
     vocab = _toy_vocab(spark)
     df = spark.createDataFrame([(1, [2, 4, 0, 1, 3, 99, 5])], "id long, ids array<int>")
-    assert decode_texts(df, ["id"], "ids", vocab, "it").first().text == "amo ami"
+    assert decode_texts(df, ["id"], "ids", vocab, "it").first().text == "noi loro"
 
 
 def test_word_counts_one_pass_for_languages(spark):

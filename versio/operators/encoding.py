@@ -4,7 +4,7 @@ Two equivalent strategies:
 
 * ``lookup`` (default): the JVM regex splits the text, and the token → id
   lookup runs in Arrow batches against the vocabulary shipped to every
-  executor as a broadcast variable. The vocabulary is capped (≤ 30,000
+  executor as a broadcast variable. The vocabulary is capped (``cap``
   entries per language, checked before it is shipped), so the transform
   is narrow: no shuffle, no join back, whatever the corpus size.
 * ``join``: pure JVM — explode tokens with their positions, broadcast-join
@@ -13,7 +13,8 @@ Two equivalent strategies:
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,54 +22,58 @@ from pyspark.sql import types as T
 from ..functions.text import encode_tokens
 from ..schemas import EOS_ID, VOCAB_CAP
 from .partitioning import spread_rows
+from .vocab import bounded
 
 
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def _vocab_tables(vocab: DataFrame, langs, max_per_lang: int):
-    """Driver-side dictionaries of a capped vocabulary (bounded: at most
-    ``max_per_lang`` rows per language, verified here)."""
-    rows = vocab.where(F.col("lang").isin(list(langs))).select("lang", "token", "id").collect()
-    tables = {lang: {} for lang in langs}
+def _vocab_tables(vocab: DataFrame, langs, cap: int):
+    """``lang -> (tokens, ids)`` of a capped vocabulary: at most ``cap`` rows
+    per language, seen before they are collected."""
+    rows = vocab.where(F.col("lang").isin(list(langs))).select("lang", "token", "id").limit(cap * len(langs) + 1).collect()
+    tables = {lang: ([], []) for lang in langs}
     for r in rows:
-        tables[r["lang"]][r["token"]] = r["id"]
-    for lang, t in tables.items():
-        if len(t) > max_per_lang:
-            raise ValueError(f"vocabulary of {lang} has {len(t)} entries, above the bound {max_per_lang}")
+        tables[r["lang"]][0].append(r["token"])
+        tables[r["lang"]][1].append(r["id"])
+    for lang, (tokens, _) in tables.items():
+        if len(tokens) > cap:
+            raise ValueError(f"vocabulary of {lang} has more entries than the bound {cap}")
     return tables
 
 
-def _lookup_udf(broadcast_tables, lang: str):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def token_ids(tokens: pd.Series) -> pd.Series:
-        get = broadcast_tables.value[lang].get
+def _offsets(lists: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
-        def one(arr):
-            if arr is None:
-                return np.zeros(0, dtype=np.int32)
-            return np.fromiter((get(t, 0) for t in arr), dtype=np.int32, count=len(arr))
 
-        return tokens.map(one)
+def _lookup_udf(broadcast_tables, lang: str):
+    def token_ids(tokens: pa.Array) -> pa.Array:
+        words, ids = broadcast_tables.value[lang]
+        at = pc.index_in(tokens.flatten(), value_set=pa.array(words, pa.string()))
+        found = pc.fill_null(pc.take(pa.array(ids, pa.int32()), at), 0)
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(_offsets(tokens, sizes), found)
 
-    return token_ids
+    return F.arrow_udf(token_ids, T.ArrayType(T.IntegerType()))
 
 
-def encode_columns(df: DataFrame, specs: dict, vocab: DataFrame, max_per_lang: int = VOCAB_CAP) -> DataFrame:
+def encode_columns(df: DataFrame, specs: dict, vocab: DataFrame, cap: int = VOCAB_CAP,
+                   partitions: int | None = None) -> DataFrame:
     """``df`` plus an ``array<int>`` column per spec (``out -> (text, lang)``),
     computed row by row with no shuffle; unknown tokens become 0 and a text
     without tokens gives an empty array."""
     langs = sorted({lang for _, lang in specs.values()})
-    tables = _vocab_tables(vocab, langs, max_per_lang)
+    tables = _vocab_tables(vocab, langs, cap)
     bc = df.sparkSession.sparkContext.broadcast(tables)
-    out = spread_rows(df)
+    out = spread_rows(df, partitions)
     for name, (text, lang) in specs.items():
         out = out.withColumn(name, _lookup_udf(bc, lang)(encode_tokens(_c(text))))
     return out
 
 
-def encode_ids(df: DataFrame, key_cols, specs: dict, vocab: DataFrame, method: str = "lookup") -> DataFrame:
+def encode_ids(df: DataFrame, key_cols, specs: dict, vocab: DataFrame, method: str = "lookup",
+               cap: int = VOCAB_CAP) -> DataFrame:
     """``(key..., out_col...)`` with ``array<int>`` ids for every spec.
 
     ``specs`` maps an output column to ``(text column, language)``. Unknown
@@ -77,7 +82,7 @@ def encode_ids(df: DataFrame, key_cols, specs: dict, vocab: DataFrame, method: s
     """
     key_cols = list(key_cols)
     if method == "lookup":
-        return encode_columns(df, specs, vocab).select(*key_cols, *specs)
+        return encode_columns(df, specs, vocab, cap).select(*key_cols, *specs)
     if method != "join":
         raise ValueError(f"unknown method {method}")
     parts = [F.struct(F.lit(out).alias("out"), F.lit(lang).alias("lang"), _c(text).alias("text"))
@@ -86,7 +91,7 @@ def encode_ids(df: DataFrame, key_cols, specs: dict, vocab: DataFrame, method: s
     long = sides.select(*key_cols, F.col("_s.out").alias("_out"), F.col("_s.lang").alias("lang"),
                         F.posexplode_outer(encode_tokens("_s.text")).alias("_pos", "token"))
     v = vocab.select("lang", "token", F.col("id").alias("_tok_id"))
-    looked_up = long.join(F.broadcast(v), ["lang", "token"], "left")
+    looked_up = long.join(bounded(v, cap * len(specs)), ["lang", "token"], "left")
     entry = F.struct(F.col("_pos"), F.coalesce(F.col("_tok_id"), F.lit(0)).alias("id"))
     aggs = []
     for out in specs:
@@ -96,11 +101,12 @@ def encode_ids(df: DataFrame, key_cols, specs: dict, vocab: DataFrame, method: s
     return looked_up.groupBy(*key_cols).agg(*aggs)
 
 
-def encode(df: DataFrame, key_cols, specs: dict, vocab: DataFrame, method: str = "lookup") -> DataFrame:
+def encode(df: DataFrame, key_cols, specs: dict, vocab: DataFrame, method: str = "lookup",
+           cap: int = VOCAB_CAP) -> DataFrame:
     """``df`` with the id arrays of ``specs`` added."""
     if method == "lookup":
-        return encode_columns(df, specs, vocab)
-    ids = encode_ids(df, key_cols, specs, vocab, method)
+        return encode_columns(df, specs, vocab, cap)
+    ids = encode_ids(df, key_cols, specs, vocab, method, cap)
     return df.join(ids, list(key_cols))
 
 
@@ -111,43 +117,43 @@ def token_count(text) -> F.Column:
 
 
 def _decode_udf(broadcast_table):
-    @F.pandas_udf(T.StringType())
-    def text(ids: pd.Series) -> pd.Series:
-        table = broadcast_table.value
-        n = len(table)
-
-        def one(arr):
-            if arr is None:
-                return ""
-            return " ".join(table[i] for i in arr if EOS_ID < i < n and table[i] is not None)
-
-        return ids.map(one)
-
-    return text
+    def text(ids: pa.Array) -> pa.Array:
+        table = pa.array(broadcast_table.value, pa.string())
+        flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
+        known = np.append(table.is_valid().to_numpy(zero_copy_only=False), False)
+        keep = (flat > EOS_ID) & (flat < len(table))
+        keep &= known[np.where(keep, flat, len(table))]
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        before = np.concatenate([[0], np.cumsum(keep)])
+        ends = np.cumsum(sizes)
+        kept = before[ends] - before[ends - sizes]
+        tokens = table.take(pa.array(flat[keep]))
+        return pc.binary_join(pa.ListArray.from_arrays(_offsets(ids, kept), tokens), " ")
+
+    return F.arrow_udf(text, T.StringType())
 
 
 def decode_column(df: DataFrame, ids_col: str, vocab: DataFrame, lang: str, out_col: str = "text",
-                  max_entries: int = VOCAB_CAP) -> DataFrame:
+                  cap: int = VOCAB_CAP) -> DataFrame:
     """``df`` plus the decoded text of ``ids_col`` (narrow, no shuffle)."""
-    tables = _vocab_tables(vocab, [lang], max_entries)[lang]
-    size = max(tables.values(), default=-1) + 1
-    by_id = [None] * size
-    for tok, i in tables.items():
+    tokens, ids = _vocab_tables(vocab, [lang], cap)[lang]
+    by_id = [None] * (max(ids, default=-1) + 1)
+    for tok, i in zip(tokens, ids, strict=True):
         by_id[i] = tok
     bc = df.sparkSession.sparkContext.broadcast(by_id)
     return df.withColumn(out_col, _decode_udf(bc)(F.col(ids_col)))
 
 
 def decode_texts(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, lang: str,
-                 out_col: str = "text", method: str = "lookup") -> DataFrame:
+                 out_col: str = "text", method: str = "lookup", cap: int = VOCAB_CAP) -> DataFrame:
     """``(key..., out_col)``: ids → tokens joined by one space; the four
     specials (``[UNK]`` included) and ids outside the vocabulary are dropped."""
     key_cols = list(key_cols)
     if method == "lookup":
-        return decode_column(df, ids_col, vocab, lang, out_col).select(*key_cols, out_col)
+        return decode_column(df, ids_col, vocab, lang, out_col, cap).select(*key_cols, out_col)
     long = df.select(*key_cols, F.posexplode_outer(F.col(ids_col)).alias("_pos", "_tok_id"))
     v = vocab.where(F.col("lang") == lang).select(F.col("id").alias("_tok_id"), F.col("token").alias("_tok"))
-    looked_up = long.join(F.broadcast(v), "_tok_id", "left")
+    looked_up = long.join(bounded(v, cap), "_tok_id", "left")
     keep = F.col("_pos").isNotNull() & (F.col("_tok_id") > EOS_ID) & F.col("_tok").isNotNull()
     picked = F.array_sort(F.collect_list(F.when(keep, F.struct("_pos", "_tok"))))
     return looked_up.groupBy(*key_cols).agg(
@@ -155,11 +161,11 @@ def decode_texts(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, lang:
 
 
 def decode(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, lang: str,
-           out_col: str = "text", method: str = "lookup") -> DataFrame:
+           out_col: str = "text", method: str = "lookup", cap: int = VOCAB_CAP) -> DataFrame:
     """``df`` plus the decoded text of ``ids_col`` (lookup: narrow; join: joined back on the key)."""
     if method == "lookup":
-        return decode_column(df, ids_col, vocab, lang, out_col)
-    return df.join(decode_texts(df, key_cols, ids_col, vocab, lang, out_col, method), list(key_cols))
+        return decode_column(df, ids_col, vocab, lang, out_col, cap)
+    return df.join(decode_texts(df, key_cols, ids_col, vocab, lang, out_col, method, cap), list(key_cols))
 
 
 def oov_rate(df: DataFrame, group_cols, ids_cols) -> DataFrame:

@@ -12,6 +12,11 @@ def _run_window(run_col: str = "run_id"):
     return Window.partitionBy(run_col).orderBy("epoch")
 
 
+def _by_val_loss():
+    """Order of epochs by loss; null, which ``min_by`` skips, without one."""
+    return F.when(F.col("val_loss").isNotNull(), F.struct("val_loss", "epoch"))
+
+
 def epoch_summary(batches: DataFrame, run_col: str = "run_id") -> DataFrame:
     """History rows from batch losses: 1-based epoch, token-weighted train
     and validation loss, seconds (batch time span, 2 decimals, half-even),
@@ -36,12 +41,13 @@ def epoch_summary(batches: DataFrame, run_col: str = "run_id") -> DataFrame:
 
 def with_progress(history: DataFrame, run_col: str = "run_id") -> DataFrame:
     """Adds ``best_so_far`` (running minimum of ``val_loss``) and
-    ``improved`` (strictly below every earlier epoch; the first always is)."""
+    ``improved`` (strictly below every earlier epoch; the first always is, and
+    an epoch without a validation loss never)."""
     upto = _run_window(run_col).rowsBetween(Window.unboundedPreceding, 0)
     before = _run_window(run_col).rowsBetween(Window.unboundedPreceding, -1)
     prev_best = F.coalesce(F.min("val_loss").over(before), F.lit(float("inf")))
     return (history.withColumn("best_so_far", F.min("val_loss").over(upto))
-            .withColumn("improved", F.col("val_loss") < prev_best))
+            .withColumn("improved", F.coalesce(F.col("val_loss") < prev_best, F.lit(False))))
 
 
 def global_step(history: DataFrame, batches_col: str = "train_batches",
@@ -52,23 +58,22 @@ def global_step(history: DataFrame, batches_col: str = "train_batches",
 
 
 def best_epoch(history: DataFrame, run_col: str = "run_id") -> DataFrame:
-    """Epoch of the lowest validation loss per run; the first on ties."""
+    """Epoch of the lowest validation loss per run; the first on ties. Epochs
+    without a validation loss do not count."""
     return history.groupBy(run_col).agg(
-        F.min_by("epoch", F.struct("val_loss", "epoch")).alias("best_epoch"),
+        F.min_by("epoch", _by_val_loss()).alias("best_epoch"),
         F.min("val_loss").alias("best_val_loss"))
 
 
 def learning_curve(history: DataFrame, run_col: str = "run_id") -> DataFrame:
     """Long form ``(run, epoch, series, loss, is_best)`` for any chart;
     ``is_best`` marks the validation point of the best epoch."""
-    best = best_epoch(history, run_col).select(run_col, "best_epoch")
-    long = history.select(run_col, "epoch", "train_loss", "val_loss").unpivot(
-        [run_col, "epoch"], ["train_loss", "val_loss"], "series", "loss")
-    long = long.withColumn("series", F.regexp_replace("series", "_loss$", ""))
-    # one row per run; Spark broadcasts it only if its measured size is small
-    return long.join(best, run_col).select(
+    best = F.min_by("epoch", _by_val_loss()).over(Window.partitionBy(run_col))
+    long = history.select(run_col, "epoch", "train_loss", "val_loss", best.alias("best_epoch")).unpivot(
+        [run_col, "epoch", "best_epoch"], ["train_loss", "val_loss"], "series", "loss")
+    return long.withColumn("series", F.regexp_replace("series", "_loss$", "")).select(
         run_col, "epoch", "series", "loss",
-        ((F.col("series") == "val") & (F.col("epoch") == F.col("best_epoch"))).alias("is_best"))
+        F.coalesce((F.col("series") == "val") & (F.col("epoch") == F.col("best_epoch")), F.lit(False)).alias("is_best"))
 
 
 def resume_point(history: DataFrame, run_col: str = "run_id") -> DataFrame:

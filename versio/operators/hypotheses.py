@@ -70,7 +70,9 @@ def prediction_table(pairs: DataFrame, hypotheses: DataFrame, vocab: DataFrame,
                      key: str = "id", hyp_col: str = "hypothesis",
                      src_col: str = "src_text", ref_col: str = "tgt_text") -> DataFrame:
     """``(source, reference, prediction)``: hypotheses decoded with the target
-    vocabulary and joined to their pairs."""
-    decoded = decode_texts(hypotheses, [key], hyp_col, vocab, lang, "prediction")
-    return pairs.join(decoded, key).select(
+    vocabulary and joined to their pairs, by id and, where both sides carry it,
+    ``row_key`` (ids may repeat, positions do not)."""
+    keys = [key] + [c for c in ("row_key",) if c in pairs.columns and c in hypotheses.columns]
+    decoded = decode_texts(hypotheses, keys, hyp_col, vocab, lang, "prediction")
+    return pairs.join(decoded, keys).select(
         key, F.col(src_col).alias("source"), F.col(ref_col).alias("reference"), "prediction")

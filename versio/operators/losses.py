@@ -25,10 +25,14 @@ def log_sum_exp(values) -> Column:
 
     def step(acc, x):
         x = x.cast("double")
-        return F.when(x > acc["m"], F.struct(x.alias("m"), (acc["s"] * F.exp(acc["m"] - x) + 1).alias("s"))) \
-            .otherwise(F.struct(acc["m"].alias("m"), (acc["s"] + F.exp(x - acc["m"])).alias("s")))
+        # equal values add 1 (also two infinities, whose difference is no number);
+        # minus infinity, a masked entry, adds nothing
+        return (F.when(x == float("-inf"), acc)
+                .when(x > acc["m"], F.struct(x.alias("m"), (acc["s"] * F.exp(acc["m"] - x) + 1).alias("s")))
+                .otherwise(F.struct(acc["m"].alias("m"), (acc["s"] + F.when(x == acc["m"], 1.0).otherwise(
+                    F.exp(x - acc["m"]))).alias("s"))))
 
-    return F.aggregate(_c(values), init, step, lambda acc: acc["m"] + F.log(acc["s"]))
+    return F.aggregate(_c(values), init, step, lambda acc: F.when(acc["s"] == 0, acc["m"]).otherwise(acc["m"] + F.log(acc["s"])))
 
 
 def token_loss(logits, label, smoothing: float = LABEL_SMOOTHING) -> Column:
@@ -37,6 +41,8 @@ def token_loss(logits, label, smoothing: float = LABEL_SMOOTHING) -> Column:
     z = _c(logits)
     lse = log_sum_exp(z)
     z_y = F.element_at(z, _c(label) + 1).cast("double")
+    if smoothing == 0:
+        return lse - z_y  # a masked entry has no part in the mean either
     mean_z = F.aggregate(z, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / F.size(z)
     return (1.0 - smoothing) * (lse - z_y) + smoothing * (lse - mean_z)
 
@@ -56,9 +62,11 @@ def label_tokens(label_ids) -> Column:
     return non_pad_count(label_ids)
 
 
-def batch_tokens(inputs: DataFrame, batch_col: str = "batch_id", label_col: str = "label") -> DataFrame:
-    """Non-``[PAD]`` label tokens per batch."""
-    return inputs.groupBy(batch_col).agg(F.sum(label_tokens(label_col)).cast("bigint").alias("tokens"))
+def batch_loss(df: DataFrame, logits: str, label: str, batch_cols=("batch_id",), smoothing: float = LABEL_SMOOTHING,
+               ignore_index: int = PAD_ID) -> DataFrame:
+    """``(batch..., loss, tokens)``: mean loss and number of the positions that
+    count, per batch, as ``epoch_loss`` takes them."""
+    return cross_entropy(df, logits, label, smoothing, ignore_index, batch_cols)
 
 
 def epoch_loss(batches: DataFrame, group_cols=("run_id", "epoch", "phase")) -> DataFrame:

@@ -1,5 +1,7 @@
 """Data manifest of a run and the gate that compares two runs."""
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +22,28 @@ def manifest_counts(split: DataFrame, kept: DataFrame, vocab: DataFrame, src: st
 
     sizes = vocab.agg(F.count_if(F.col("lang") == src).alias("source_vocab_size"),
                       F.count_if(F.col("lang") == tgt).alias("target_vocab_size"))
-    totals = split.agg(F.max("selected").alias("selected_examples"))
+    totals = split.agg(F.max("selected").alias("selected_examples"), F.max("total").alias("original_examples"))
     from .metrics import one_row
     return one_row(totals, per_split(split, "before"), per_split(kept, "after"), sizes)
 
 
-def data_manifest(counts: DataFrame, original: DataFrame, seed: int, source: dict,
+def corpus_digest(pairs: DataFrame, src: str = "en", tgt: str = "it") -> str:
+    """A digest of a pair table's content that does not depend on the order of
+    its rows: their number, and the sum of 256-bit row digests in four parts,
+    from one aggregation."""
+    text = F.to_json(F.struct(F.col("id"), F.col(f"translation.{src}").alias("s"), F.col(f"translation.{tgt}").alias("t")),
+                     {"ignoreNullFields": "false"})
+    row = pairs.select(F.sha2(text, 256).alias("h"))
+    part = lambda i: F.sum(F.conv(F.substring("h", 16 * i + 1, 15), 16, 10).cast("decimal(38,0)"))
+    got = row.agg(F.count(F.lit(1)), *[part(i) for i in range(4)]).first()
+    return hashlib.sha256(":".join(str(x) for x in got).encode()).hexdigest()
+
+
+def data_manifest(counts: DataFrame, seed: int, source: dict,
                   software: dict | None = None, run_id: str = "run") -> DataFrame:
-    """Nested manifest row (``to_json`` gives the stored document)."""
-    from .metrics import one_row
-    c = one_row(counts, original.agg(F.count(F.lit(1)).alias("original_examples")))
+    """Nested manifest row (``to_json`` gives the stored document). All counts
+    come from ``manifest_counts``; the corpus is not read again."""
+    c = counts
     src = F.struct(*[F.lit(v).alias(k) for k, v in source.items()])
     soft = F.create_map(*[x for k, v in (software or {}).items() for x in (F.lit(k), F.lit(v))]) \
         if software else F.create_map().cast("map<string,string>")
@@ -61,13 +75,16 @@ def manifest_diff(long: DataFrame, baseline_run: str, run_col: str = "run_id") -
 
     ``severity`` is ``block`` for a differing blocking key, ``warn`` for a
     differing software key and ``same`` otherwise; keys outside both lists
-    (the fingerprint) are ``ignored``. A key the baseline lacks differs.
-    The baseline has one row per manifest key (a fixed, small set), so it
-    is broadcast; manifests from ``manifest_long`` always carry every key.
+    (the fingerprint) are ``ignored``. A key that only one of the two has
+    differs, on either side.
     """
     base = long.where(F.col(run_col) == baseline_run).select("key", F.col("value").alias("baseline_value"))
-    cand = long.where(F.col(run_col) != baseline_run)
-    joined = cand.join(F.broadcast(base), "key", "left")
+    cand = long.where(F.col(run_col) != baseline_run).select(run_col, "key", "value")
+    # every run gets a row for each known key, also for those it lacks
+    known = F.explode(F.array(*[F.lit(k) for k in BLOCKING_KEYS + WARNING_KEYS])).alias("key")
+    lacking = cand.select(run_col).distinct().select(run_col, known, F.lit(None).cast("string").alias("value"))
+    cand = cand.unionByName(lacking).groupBy(run_col, "key").agg(F.max("value").alias("value"))
+    joined = cand.join(base, "key", "left").where(F.col("value").isNotNull() | F.col("baseline_value").isNotNull())
     same = F.col("value").eqNullSafe(F.col("baseline_value"))
     severity = (F.when(~F.col("key").isin(BLOCKING_KEYS + WARNING_KEYS), F.lit("ignored"))
                 .when(same, F.lit("same"))

@@ -34,28 +34,31 @@ def _all_ngrams(words: Column, max_n: int) -> Column:
     return F.flatten(F.array(*[_tagged(words, n) for n in range(1, max_n + 1)]))
 
 
-def ngram_counts(df: DataFrame, key_cols, text_col, max_n: int = MAX_N) -> DataFrame:
+def ngram_counts(df: DataFrame, key_cols, text_col, max_n: int = MAX_N, partitions: int | None = None) -> DataFrame:
     """``(key..., n, gram, count)`` of word n-grams of whitespace-split text."""
     # the words are a column of their own before the generator, so the
     # regex runs once per row, not once per reference inside the n-gram lists
-    w = spread_rows(df).select(*key_cols, whitespace_words(_text(text_col)).alias("_w"))
+    w = spread_rows(df, partitions).select(*key_cols, whitespace_words(_text(text_col)).alias("_w"))
     g = w.select(*key_cols, F.explode(_all_ngrams(F.col("_w"), max_n)).alias("_g"))
     return g.groupBy(*key_cols, F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram")).agg(
         F.count(F.lit(1)).alias("count"))
 
 
-def bleu_stats(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N, spread: bool = True) -> DataFrame:
+def bleu_stats(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N, partitions: int | None = None) -> DataFrame:
     """One row: clipped and total n-gram counts per n, hypothesis and
     reference lengths in words.
 
-    Both sides' n-grams go through one aggregation keyed by (pair, n, gram)
+    Both sides' n-grams go through one aggregation keyed by (row, n, gram)
     — no join — and frequent n-grams cannot skew it because the key holds
-    the pair.
+    the row. Rows are told apart by a number of their own, so repeated ids in
+    ``key_cols`` stay separate pairs.
     """
+    key_cols = ["_row"]
     side = F.array(
         F.struct(F.lit(0).alias("side"), whitespace_words(_text(hyp_col)).alias("w")),
         F.struct(F.lit(1).alias("side"), whitespace_words(_text(ref_col)).alias("w")))
-    s = (spread_rows(df) if spread else df).select(*key_cols, F.explode(side).alias("_s"))
+    s = spread_rows(df, partitions).withColumn("_row", F.monotonically_increasing_id()).select(
+        *key_cols, F.explode(side).alias("_s"))
     g = s.select(*key_cols, F.col("_s.side").alias("side"),
                  F.explode(_all_ngrams(F.col("_s.w"), max_n)).alias("_g"))
     counts = g.groupBy(*key_cols, F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram")).agg(
@@ -85,9 +88,9 @@ def bleu_from_stats(stats: DataFrame, max_n: int = MAX_N) -> DataFrame:
         "hyp_len", "ref_len")
 
 
-def bleu(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N, spread: bool = True) -> DataFrame:
+def bleu(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N, partitions: int | None = None) -> DataFrame:
     """One row: corpus BLEU-4, the four precisions and both lengths."""
-    return bleu_from_stats(bleu_stats(df, key_cols, hyp_col, ref_col, max_n, spread), max_n)
+    return bleu_from_stats(bleu_stats(df, key_cols, hyp_col, ref_col, max_n, partitions), max_n)
 
 
 def word_edit_distance(hyp_words, ref_words) -> Column:
@@ -107,26 +110,26 @@ def word_edit_distance(hyp_words, ref_words) -> Column:
     return F.levenshtein(as_string(h), as_string(r))
 
 
-def sentence_errors(df: DataFrame, key_cols, hyp_col, ref_col, spread: bool = True) -> DataFrame:
+def sentence_errors(df: DataFrame, key_cols, hyp_col, ref_col, partitions: int | None = None) -> DataFrame:
     """Per pair: character and word edit counts and reference lengths
     (a missing hypothesis counts as an empty string)."""
     h, r = _text(hyp_col), _text(ref_col)
     hw, rw = whitespace_words(h), whitespace_words(r)
-    return (spread_rows(df) if spread else df).select(*key_cols,
+    return spread_rows(df, partitions).select(*key_cols,
                      F.levenshtein(h, r).alias("char_errors"), F.length(r).alias("ref_chars"),
                      word_edit_distance(hw, rw).alias("word_errors"), F.size(rw).alias("ref_words"))
 
 
-def cer(df: DataFrame, hyp_col, ref_col) -> DataFrame:
+def cer(df: DataFrame, hyp_col, ref_col, partitions: int | None = None) -> DataFrame:
     """One row: character edit operations over reference characters."""
     h, r = _text(hyp_col), _text(ref_col)
-    return spread_rows(df).agg((F.sum(F.levenshtein(h, r)) / F.sum(F.length(r))).alias("cer"))
+    return spread_rows(df, partitions).agg((F.sum(F.levenshtein(h, r)) / F.sum(F.length(r))).alias("cer"))
 
 
-def wer(df: DataFrame, hyp_col, ref_col) -> DataFrame:
+def wer(df: DataFrame, hyp_col, ref_col, partitions: int | None = None) -> DataFrame:
     """One row: word edit operations over reference words."""
     hw, rw = whitespace_words(_text(hyp_col)), whitespace_words(_text(ref_col))
-    return spread_rows(df).agg((F.sum(word_edit_distance(hw, rw)) / F.sum(F.size(rw))).alias("wer"))
+    return spread_rows(df, partitions).agg((F.sum(word_edit_distance(hw, rw)) / F.sum(F.size(rw))).alias("wer"))
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
@@ -137,25 +140,26 @@ def one_row(*frames: DataFrame) -> DataFrame:
 
 
 def corpus_scores(predictions: DataFrame, key_cols=("id",), hyp_col: str = "prediction",
-                  ref_col: str = "reference") -> DataFrame:
+                  ref_col: str = "reference", partitions: int | None = None) -> DataFrame:
     """One row with BLEU, CER, WER and the number of decoded rows; the
     predictions are spread once and read by both computations."""
-    predictions = spread_rows(predictions)
-    e = sentence_errors(predictions, key_cols, hyp_col, ref_col, spread=False)
+    predictions = spread_rows(predictions, partitions)
+    e = sentence_errors(predictions, key_cols, hyp_col, ref_col)
     errors = e.agg((F.sum("char_errors") / F.sum("ref_chars")).alias("cer"),
                    (F.sum("word_errors") / F.sum("ref_words")).alias("wer"),
                    F.count(F.lit(1)).alias("decoded_test_examples"))
-    return one_row(bleu(predictions, key_cols, hyp_col, ref_col, spread=False).select("bleu"), errors)
+    return one_row(bleu(predictions, key_cols, hyp_col, ref_col).select("bleu"), errors)
 
 
 def test_results(test_loss: DataFrame, scores: DataFrame, all_test: DataFrame,
-                 best: DataFrame, checkpoint: str = "best.pt") -> DataFrame:
-    """The results row: test loss over all test rows, metrics over the
-    decoded ones, counts, the checkpoint name and the best epoch."""
+                 best: DataFrame, run_id: str, checkpoint: str = "best.pt") -> DataFrame:
+    """The results row of one run: test loss over all test rows, metrics over
+    the decoded ones, counts, the checkpoint name and the run's best epoch
+    (``best`` may hold many runs)."""
     row = one_row(test_loss.select(F.col("loss").alias("test_loss")),
                   scores.select("bleu", "cer", "wer", "decoded_test_examples"),
                   all_test.agg(F.count(F.lit(1)).alias("all_test_examples")),
-                  best.select("best_epoch"))
+                  best.where(F.col("run_id") == run_id).select("best_epoch"))
     return row.select("test_loss", "bleu", "cer", "wer",
                       F.col("decoded_test_examples").cast("bigint"),
                       F.col("all_test_examples").cast("bigint"),

@@ -1,38 +1,11 @@
-"""Spreading small inputs over all cores before heavy per-row work."""
+"""Spreading an input over more tasks before heavy per-row work."""
 
 from pyspark.sql import DataFrame
 
 
-def _estimated_bytes(df: DataFrame):
-    """Bytes of the plan's input relations, from Catalyst's statistics (no
-    job runs). Leaves are summed because estimates above a join are upper
-    bounds far beyond the data. ``None`` if no estimate is available."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # noqa: BLE001
-        return None
-
-
 def spread_rows(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over all cores before per-row work that costs
-    far more than moving the row (regex tokenizing, vocabulary lookup,
-    n-gram lists, quadratic edit distances) — but only when the input is
-    smaller than one file split per core and comes in fewer files than
-    cores. A small input (one file, one row group) would otherwise run in a
-    single task; a large or many-file input already arrives in enough
-    partitions, and another shuffle would only move it.
-    Deterministic on retry (Spark sorts rows locally before a round-robin
-    repartition)."""
-    spark = df.sparkSession
-    n = partitions or spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
-    size = _estimated_bytes(df)
-    if size is not None and size >= n * split:
-        return df
-    try:
-        if len(df.inputFiles()) >= n:  # e.g. a rank table: one file per partition already
-            return df
-    except Exception:  # noqa: BLE001  (plans without a file listing)
-        pass
-    return df.repartition(int(n))
+    """``df`` dealt round-robin to ``partitions``, or as it is by default. For a
+    caller who knows that the input comes in too few pieces (one small file)
+    for work that costs far more than moving its rows; Spark sorts rows locally
+    before a round-robin repartition, so retries give the same result."""
+    return df if partitions is None else df.repartition(int(partitions))

@@ -36,13 +36,14 @@ PART_FILE_RE = r"^part-(\d+)-.*-c(\d+)"
 
 def exact_rank(df: DataFrame, order_cols, rank_col: str = "rank",
                total_col: str | None = None, num_partitions: int | None = None,
-               drop_after_sort=()) -> DataFrame:
+               drop_after_sort=(), with_path: bool = False):
     """Add a 1-based ``rank_col`` (bigint) in the total order of ``order_cols``.
 
     Runs one job when called (the sort and its write); the result is a plan
     over the written table. With ``total_col`` the row count of ``df`` is
     added as well, from the per-file counts (no driver round trip).
     ``drop_after_sort`` names sort-only helper columns that are not written.
+    ``with_path`` also returns the table's folder, for ``remove_table``.
     """
     from ..session import ensure_checkpoint_dir
 
@@ -71,7 +72,14 @@ def exact_rank(df: DataFrame, order_cols, rank_col: str = "rank",
         rank_col, F.col("_rk_off") + F.col("_rk_pos") + 1)
     if total_col:
         out = out.withColumn(total_col, F.col("_rk_total"))
-    return out.drop("_rk_file", "_rk_pos", "_rk_off", "_rk_total")
+    out = out.drop("_rk_file", "_rk_pos", "_rk_off", "_rk_total")
+    return (out, path) if with_path else out
+
+
+def remove_table(spark, path: str) -> None:
+    """Delete a table that ``exact_rank`` wrote, once its rows are no longer needed."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def running_sums(df: DataFrame, partition_cols, order_col: str, value_cols,

@@ -1,16 +1,24 @@
 """Seeded shuffle, sampling, train/val/test split, epoch order, batches and
 the evaluation limit.
 
-Every order is a hash order: ``md5("<seed>:<id>")`` then the id, so the same
-seed gives the same rows on any cluster size, and DuckDB computes the same
-hex. Ranks come from ``exact_rank`` (range shuffle, no single-task window).
+Every order is a hash order: ``md5("<seed>:<id>")``, then the id, then the
+source position where the rows carry one. The same seed gives the same rows on
+any cluster size, and DuckDB computes the same hex.
+
+A sample or a split only needs a few boundary keys, not a rank of every row:
+``boundary_keys`` finds them exactly from a fixed-size histogram of the hash and
+the keys of the few buckets that hold a boundary, and every row is labelled by
+comparing its own key. No text is moved, and one plan serves every size.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import MIN_SELECTED_ROWS, SPLIT_FRACTION
-from .rank import exact_rank
+from .rank import exact_rank, remove_table
+
+#: Buckets of the histogram: the first four hex digits of the hash.
+BUCKET_DIGITS = 4
 
 
 def shuffle_key(seed, id_col: str = "id") -> Column:
@@ -19,87 +27,125 @@ def shuffle_key(seed, id_col: str = "id") -> Column:
     return F.md5(F.concat(seed_col.cast("string"), F.lit(":"), F.col(id_col).cast("string")))
 
 
-def _order(df: DataFrame, hash_col: str, id_col: str) -> list:
-    """Hash, id, then the source position when the rows carry one, so even
-    byte-identical copies have distinct keys and split across tasks."""
-    return [hash_col, id_col] + (["row_key"] if "row_key" in df.columns else [])
+def _keys(df: DataFrame, id_col: str) -> list:
+    """The key columns: the id, and the source position when rows carry one,
+    so even byte-identical copies have distinct keys."""
+    return [id_col] + (["row_key"] if "row_key" in df.columns else [])
+
+
+def order_key(df: DataFrame, seed, id_col: str = "id") -> Column:
+    """The whole order as one comparable struct: hash, id[, row_key]."""
+    return F.struct(shuffle_key(seed, id_col).alias("h"), *[F.col(c).alias(c) for c in _keys(df, id_col)])
 
 
 def seeded_shuffle(df: DataFrame, seed: int, id_col: str = "id",
                    rank_col: str = "shuffle_rank", total_col: str | None = "total") -> DataFrame:
-    """Add the position of each row in the seeded permutation (1-based)."""
-    keyed = df.withColumn("_shuffle_h", shuffle_key(seed, id_col))
-    return exact_rank(keyed, _order(df, "_shuffle_h", id_col), rank_col=rank_col, total_col=total_col,
+    """Position (1-based) of each row in the seeded permutation, as
+    ``(id[, row_key], rank, total)``. Only keys are ranked; join them to the
+    rows where the rest is needed."""
+    keys = _keys(df, id_col)
+    keyed = df.select(*keys, shuffle_key(seed, id_col).alias("_shuffle_h"))
+    return exact_rank(keyed, ["_shuffle_h", *keys], rank_col=rank_col, total_col=total_col,
                       drop_after_sort=["_shuffle_h"])
 
 
-def split_sizes(selected: Column):
-    """(test, val) sizes: max(1, round-half-even(0.1 * selected)) each."""
-    size = F.greatest(F.lit(1).cast("bigint"),
-                      F.bround(selected.cast("double") * F.lit(SPLIT_FRACTION), 0).cast("bigint"))
-    return size, size
-
-
-# Samples up to this size are taken with a distributed top-k (each task keeps
-# its first n rows of the order, one task merges them); larger ones rank the
-# whole table, because a big limit would funnel into one task.
-TOP_K_MAX = 100_000
-
-
-def _first_n(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
-    keyed = df.withColumn("_shuffle_h", shuffle_key(seed, id_col))
-    return keyed.orderBy(*_order(df, "_shuffle_h", id_col)).limit(int(n)).drop("_shuffle_h")
+def boundary_keys(df: DataFrame, key_col: str, positions) -> tuple[int, dict]:
+    """The number of rows, and for each of the 1-based ``positions(number)``
+    the literal key of the row there in the order of ``key_col``, a struct that
+    starts with a hex hash ``h``.
+
+    One aggregation counts rows per hash bucket (a fixed number of buckets).
+    Only the keys of the buckets that hold a position are ranked, with a range
+    exchange, so a bucket full of copies is spread as well. Rows with equal keys
+    (repeated ids without ``row_key``) fall on the same side of a boundary."""
+    bucket = F.conv(F.substring(f"{key_col}.h", 1, BUCKET_DIGITS), 16, 10).cast("int")
+    hist = sorted((r[0], r[1]) for r in df.groupBy(bucket.alias("b")).count().collect())  # 16 ** BUCKET_DIGITS rows at most
+    total, inside, before = sum(n for _, n in hist), {}, 0
+    wanted = sorted({p for p in positions(total) if 1 <= p <= total})
+    for b, n in hist:
+        for p in wanted:
+            if before < p <= before + n:
+                inside.setdefault(b, {})[p - before] = p
+        before += n
+    out = {}
+    for b, places in inside.items():
+        keys = df.where(bucket == b).select(f"{key_col}.*")
+        ranked, path = exact_rank(keys, keys.columns, rank_col="_place", with_path=True)
+        for r in ranked.where(F.col("_place").isin(list(places))).collect():
+            out[places[r["_place"]]] = _literal(df, key_col, r)
+        remove_table(df.sparkSession, path)
+    return total, out
+
+
+def _literal(df: DataFrame, key_col: str, row) -> Column:
+    def lit(value, kind):
+        if hasattr(kind, "fields"):
+            return F.struct(*[lit(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.lit(value).cast(kind)
+
+    return lit(row, df.schema[key_col].dataType)
+
+
+def split_size(selected: int) -> int:
+    """Rows of test, and of val: max(1, round-half-even(0.1 * selected))."""
+    return max(1, round(selected * SPLIT_FRACTION))
+
+
+def first_n(df: DataFrame, n: int, key_col: str) -> DataFrame:
+    """The first ``min(n, rows)`` rows in the order of ``key_col``, for any n."""
+    if n < 1:
+        return df.where(F.lit(False))
+    _, at = boundary_keys(df, key_col, lambda _: [n])
+    return df.where(F.col(key_col) <= at[n]) if n in at else df
 
 
 def sample_n(df: DataFrame, n: int | None, seed: int, id_col: str = "id") -> DataFrame:
-    """The first ``min(n, total)`` rows of the seeded permutation (all if n
-    is None), with their ``shuffle_rank``."""
-    if n is not None and n < MIN_SELECTED_ROWS:
-        raise ValueError(f"n must be at least {MIN_SELECTED_ROWS}")
-    if n is not None and n <= TOP_K_MAX:
-        return seeded_shuffle(_first_n(df, n, seed, id_col), seed, id_col)
-    ranked = seeded_shuffle(df, seed, id_col)
+    """The first ``min(n, total)`` rows of the seeded permutation (all if n is None)."""
     if n is None:
-        return ranked
-    return ranked.where(F.col("shuffle_rank") <= n)
+        return df
+    if n < MIN_SELECTED_ROWS:
+        raise ValueError(f"n must be at least {MIN_SELECTED_ROWS}")
+    return first_n(df.withColumn("split_key", order_key(df, seed, id_col)), n, "split_key").drop("split_key")
 
 
 def split_train_val_test(df: DataFrame, seed: int, max_samples: int | None = None,
                          id_col: str = "id", check_min_rows: bool = True) -> DataFrame:
-    """Shuffle, optionally sample, and label every selected row with ``split``.
+    """Sample if asked, and label every selected row with ``split``.
 
     test = the first ``t`` rows of the permutation, val = the next ``v``,
     train = the rest of the selection; ``t = v = max(1, round(0.1 * selected))``.
-    Adds ``split``, ``shuffle_rank`` and ``selected`` (the selection size).
-    With ``check_min_rows`` a selection under 10 rows fails the job.
-    """
-    if max_samples is not None and max_samples <= TOP_K_MAX:
-        # the sample is a prefix of the permutation, so ranking only the
-        # sampled rows gives the same ranks as ranking the whole table
-        df = _first_n(df, max_samples, seed, id_col)
-    ranked = seeded_shuffle(df, seed, id_col)
-    selected = F.col("total") if max_samples is None else \
-        F.least(F.col("total"), F.lit(int(max_samples)).cast("bigint"))
-    ranked = ranked.withColumn("selected", selected).drop("total")
-    if max_samples is not None:
-        ranked = ranked.where(F.col("shuffle_rank") <= F.col("selected"))
-    t, v = split_sizes(F.col("selected"))
-    split = (F.when(F.col("shuffle_rank") <= t, F.lit("test"))
-             .when(F.col("shuffle_rank") <= t + v, F.lit("val"))
-             .otherwise(F.lit("train")))
-    if check_min_rows:
-        split = F.when(F.col("selected") < MIN_SELECTED_ROWS,
-                       F.raise_error(F.lit(f"at least {MIN_SELECTED_ROWS} pairs are needed"))
-                       .cast("string")).otherwise(split)
-    return ranked.withColumn("split", split)
+    Adds ``split``, ``split_key`` (the order) and ``selected`` and ``total`` (the
+    selection's and the table's size). The sizes are counted when called; the
+    result is a narrow plan. With ``check_min_rows`` a selection under 10 rows
+    is an error."""
+    keyed = df.withColumn("split_key", order_key(df, seed, id_col))
+    keys = keyed.select("split_key")
+
+    def sizes(count: int) -> tuple[int, int, int]:
+        """Positions of the last test, val and selected row."""
+        selected = count if max_samples is None else min(count, int(max_samples))
+        if check_min_rows and selected < MIN_SELECTED_ROWS:
+            raise ValueError(f"at least {MIN_SELECTED_ROWS} pairs are needed, got {selected}")
+        return min(split_size(selected), selected), min(2 * split_size(selected), selected), selected
+
+    count, at = boundary_keys(keys, "split_key", sizes)
+    test, val, selected = sizes(count)
+    out = keyed.where(F.col("split_key") <= at[selected]) if selected < count else keyed
+    label = F.lit("train")
+    for name, end in (("val", val), ("test", test)):
+        if end in at:
+            label = F.when(F.col("split_key") <= at[end], F.lit(name)).otherwise(label)
+    return out.withColumns({"selected": F.lit(selected).cast("bigint"), "total": F.lit(count).cast("bigint"), "split": label})
 
 
 def epoch_order(df: DataFrame, seed: int, epoch: int, id_col: str = "id",
                 rank_col: str = "epoch_rank") -> DataFrame:
     """A new deterministic order of the training rows for one epoch
-    (seed + epoch), as ``epoch_rank`` starting at 1."""
-    keyed = df.withColumn("_epoch_h", shuffle_key(int(seed) + int(epoch), id_col))
-    return exact_rank(keyed, _order(df, "_epoch_h", id_col), rank_col=rank_col, drop_after_sort=["_epoch_h"])
+    (seed + epoch): ``(id[, row_key], epoch_rank)``, starting at 1. Only keys
+    are ranked."""
+    keys = _keys(df, id_col)
+    keyed = df.select(*keys, shuffle_key(int(seed) + int(epoch), id_col).alias("_epoch_h"))
+    return exact_rank(keyed, ["_epoch_h", *keys], rank_col=rank_col, drop_after_sort=["_epoch_h"])
 
 
 def assign_batches(df: DataFrame, batch_size: int, rank_col: str = "epoch_rank",
@@ -115,25 +161,20 @@ def epoch_batches(split_df: DataFrame, seed: int, epoch: int, batch_size: int,
     """``(id, [row_key,] epoch_rank, batch_id)`` of the training rows of one
     epoch. Only the keys are ranked (and checkpointed), not the texts or
     inputs; join the batch ids to the model inputs by id where needed."""
-    keys = [id_col] + (["row_key"] if "row_key" in split_df.columns else [])
-    train = split_df.where(F.col("split") == "train").select(*keys)
+    train = split_df.where(F.col("split") == "train")
     return assign_batches(epoch_order(train, seed, epoch, id_col), batch_size)
 
 
-def eval_limit(split_df: DataFrame, k: int, rank_col: str = "shuffle_rank") -> DataFrame:
-    """The first ``min(k, n)`` test rows in split order; ``k = 0`` keeps all.
+def split_batches(split_df: DataFrame, split: str, batch_size: int, id_col: str = "id") -> DataFrame:
+    """``(id, [row_key,] split_rank, batch_id)`` of the validation or test rows,
+    which are read in split order in every epoch."""
+    rows = split_df.where(F.col("split") == split).select("split_key.*")
+    ranked = exact_rank(rows, rows.columns, rank_col="split_rank", drop_after_sort=["h"])
+    return assign_batches(ranked, batch_size, rank_col="split_rank")
 
-    ``k`` is small (rows to decode), so this is a top-k, not a global sort.
-    """
-    test = split_df.where(F.col("split") == "test")
-    if not k:
-        return test
-    return test.orderBy(rank_col).limit(int(k))
 
-
-def require_min_rows(df: DataFrame, min_rows: int = MIN_SELECTED_ROWS, what: str = "rows") -> int:
-    """Driver-side check for callers that want a plain exception."""
-    n = df.count()
-    if n < min_rows:
-        raise ValueError(f"need at least {min_rows} {what}, got {n}")
-    return n
+def eval_limit(split_df: DataFrame, k: int, key_col: str = "split_key") -> DataFrame:
+    """The first ``min(k, n)`` test rows in split order; ``k = 0`` keeps all.
+    Call it on the length-filtered rows: the limit is over rows that can be scored."""
+    test = split_df.where(F.col("split") == "test")
+    return first_n(test, int(k), key_col) if k else test

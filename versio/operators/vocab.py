@@ -9,7 +9,7 @@ from ..schemas import FIRST_WORD_ID, MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB, VOCAB
 from .partitioning import spread_rows
 
 
-def word_counts(df: DataFrame, texts: dict) -> DataFrame:
+def word_counts(df: DataFrame, texts: dict, partitions: int | None = None) -> DataFrame:
     """Token frequencies per language: ``(lang, token, count)``.
 
     ``texts`` maps a language name to its text column (name or Column).
@@ -19,14 +19,14 @@ def word_counts(df: DataFrame, texts: dict) -> DataFrame:
     parts = [F.struct(F.lit(lang).alias("lang"),
                       (F.col(c) if isinstance(c, str) else c).alias("text"))
              for lang, c in texts.items()]
-    tokens = spread_rows(df).select(F.explode(F.array(*parts)).alias("_t")).select(
+    tokens = spread_rows(df, partitions).select(F.explode(F.array(*parts)).alias("_t")).select(
         F.col("_t.lang").alias("lang"), F.explode(pre_tokenize("_t.text")).alias("token"))
     return tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("count"))
 
 
-def word_counts_by_column(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+def word_counts_by_column(df: DataFrame, text_col: str, lang_col: str, partitions: int | None = None) -> DataFrame:
     """``(lang, token, count)`` where each row names its own language."""
-    tokens = spread_rows(df).select(F.col(lang_col).alias("lang"), F.explode(pre_tokenize(text_col)).alias("token"))
+    tokens = spread_rows(df, partitions).select(F.col(lang_col).alias("lang"), F.explode(pre_tokenize(text_col)).alias("token"))
     return tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -83,9 +83,9 @@ def materialize_vocab(vocab: DataFrame, langs, cap: int = VOCAB_CAP) -> DataFram
     """Compute a vocabulary once and keep it as a local relation, so the
     lookups, the manifest and the decoder do not each recount the corpus.
     Bounded by construction (≤ ``cap`` rows per language); checked here."""
-    rows = vocab.select("lang", "token", "id").collect()
+    rows = vocab.select("lang", "token", "id").limit(cap * len(langs) + 1).collect()
     if len(rows) > cap * len(langs):
-        raise ValueError(f"vocabulary has {len(rows)} rows, above the bound {cap * len(langs)}")
+        raise ValueError(f"vocabulary has more rows than the bound {cap * len(langs)}")
     return vocab.sparkSession.createDataFrame(rows, VOCAB)
 
 
@@ -94,20 +94,27 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("lang").agg(F.count(F.lit(1)).alias("vocab_size"))
 
 
+def bounded(vocab: DataFrame, cap: int) -> DataFrame:
+    """``vocab`` with a broadcast hint if it is seen to have at most ``cap``
+    rows; a larger one is left to a shuffle join."""
+    return F.broadcast(vocab) if vocab.limit(cap + 1).count() <= cap else vocab
+
+
 def token_to_id(df: DataFrame, token_col: str, vocab: DataFrame, lang: str,
-                out_col: str = "token_id") -> DataFrame:
-    """Lookup by token; unknown tokens get ``[UNK]`` = 0. The vocabulary is
-    capped, so it is broadcast."""
+                out_col: str = "token_id", cap: int = VOCAB_CAP) -> DataFrame:
+    """Lookup by token; unknown tokens get ``[UNK]`` = 0. A vocabulary of at
+    most ``cap`` entries is broadcast."""
     v = vocab.where(F.col("lang") == lang).select(F.col("token").alias(token_col), F.col("id").alias(out_col))
-    return df.join(F.broadcast(v), token_col, "left").withColumn(
+    return df.join(bounded(v, cap), token_col, "left").withColumn(
         out_col, F.coalesce(F.col(out_col), F.lit(0)))
 
 
 def id_to_token(df: DataFrame, id_col: str, vocab: DataFrame, lang: str,
-                out_col: str = "token") -> DataFrame:
-    """Lookup by id; ids outside the vocabulary give a null token. Broadcast (capped)."""
+                out_col: str = "token", cap: int = VOCAB_CAP) -> DataFrame:
+    """Lookup by id; ids outside the vocabulary give a null token. A vocabulary
+    of at most ``cap`` entries is broadcast."""
     v = vocab.where(F.col("lang") == lang).select(F.col("id").alias(id_col), F.col("token").alias(out_col))
-    return df.join(F.broadcast(v), id_col, "left")
+    return df.join(bounded(v, cap), id_col, "left")
 
 
 def save_vocab(vocab: DataFrame, path: str) -> None:
@@ -128,11 +135,19 @@ def load_vocab(spark: SparkSession, path: str, max_rows: int | None = None) -> D
 
 def load_or_train_vocab(spark: SparkSession, path: str, split_df: DataFrame, langs: dict,
                         cap: int = VOCAB_CAP) -> DataFrame:
-    """Reuse the stored vocabulary when present, else train and store it."""
+    """Reuse the stored vocabulary when its write was completed, else train and
+    store it; what a failed write left behind is replaced. A completed folder
+    without the special tokens of every language is an error."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        vocab = load_vocab(spark, path, max_rows=cap * len(langs))
+        found = vocab.where(F.col("id") < len(SPECIAL_TOKENS)).groupBy("lang").count().collect()  # one row per language
+        if not set(langs) <= {r["lang"] for r in found if r["count"] == len(SPECIAL_TOKENS)}:
+            raise ValueError(f"vocabulary at {path} lacks special tokens")
+        return vocab
     if fs.exists(jvm_path):
-        return load_vocab(spark, path, max_rows=cap * len(langs))
+        fs.delete(jvm_path, True)
     vocab = train_vocab(split_df, langs, cap)
     save_vocab(vocab, path)
     return load_vocab(spark, path)

@@ -3,8 +3,7 @@
 DuckDB SQL that must give the same rows (``None`` = rows-only check).
 
 Parameters follow the recorded demo run of the experiment where they
-matter (seed 42, batch 8, 20 decoded rows, sequence length 64 for the
-masks) and the default configuration otherwise (sequence length 128).
+matter (seed 42, batch 8, 20 decoded rows) and the default configuration otherwise (sequence length 128).
 """
 
 import uuid
@@ -25,14 +24,13 @@ from ..operators import sampling as S
 from ..operators import vocab as V
 from ..session import ensure_checkpoint_dir
 from ..sources import files as FS
-from ..sources.pairs import load_fixture_pairs, project_lang
+from ..sources.pairs import load_fixture_pairs, project_lang, read_pairs
 from . import fixtures as FX
 from . import oracle_sql as O
 from .prepare import prepare, split_pairs
 
 SEED = 42
 SEQ_LEN = 128
-MASK_SEQ_LEN = 64
 BATCH_SIZE = 8
 EPOCH = 1
 EVAL_SAMPLES = 20
@@ -98,19 +96,25 @@ predictions AS (
 
 @query("read_pairs", _with(O.pairs_cte()) + "SELECT id, en, it FROM pairs")
 def q_read_pairs(spark, sf_dir):
-    """The pair corpus (conversation stand-in) with both languages projected."""
-    p = load_fixture_pairs(spark, sf_dir)
+    """The pair corpus (conversation stand-in), written as Parquet and read by
+    ``read_pairs`` with its column check, both languages projected."""
+    path = _scratch(spark, "pairs")
+    load_fixture_pairs(spark, sf_dir).drop("row_key").write.parquet(path)
+    p = read_pairs(spark, path)
     return p.select("id", project_lang(p, "en"), project_lang(p, "it"))
 
 
-@query("verify_checksum")
+@query("verify_checksum", """
+SELECT doc_id AS name, sha256(text) AS sha256,
+       CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'mismatch' ELSE 'unpinned' END AS status FROM documents""")
 def q_verify_checksum(spark, sf_dir):
-    """Record the digests of every table file (as a download step pins them),
-    then verify the folder against those pins in a second read. A mismatch
-    path is covered by the tests."""
-    digests = FS.file_digests(spark, sf_dir, "*.parquet")
-    pins = {r["name"]: r["sha256"] for r in digests.select("name", "sha256").collect()}
-    return FS.verify_checksum(spark, sf_dir, pins, "*.parquet").select("name", "length", "sha256", "status")
+    """Digest of every document against pins by rule: the right one for a third
+    of the ids, one of an altered text for another third, none for the rest.
+    (The same check of files is tested against hashlib.)"""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!")))
+    pins = docs.where(F.col("doc_id") % 3 != 2).select(F.col("doc_id").alias("name"), F.sha2(text, 256).alias("expected_sha256"))
+    return FS.verify_contents(docs, pins, "doc_id", "text")
 
 
 def _predictions(spark, sf_dir):
@@ -118,15 +122,21 @@ def _predictions(spark, sf_dir):
     target ids (an oracle model), decoded with the target vocabulary."""
     p = _prepared(spark, sf_dir)
     test = p.encoded.where(F.col("split") == "test")
-    return Y.prediction_table(test, test.select("id", F.col("tgt_ids").alias("hypothesis")),
+    return Y.prediction_table(test, test.select("id", "row_key", F.col("tgt_ids").alias("hypothesis")),
                               p.vocab, "it")
 
 
-@query("write_predictions", _PREDICTIONS_CTE + "SELECT source, reference, prediction FROM predictions")
+@query("write_predictions", _PREDICTIONS_CTE + """
+SELECT '  ' || source AS source, reference || chr(9) AS reference,
+       CASE WHEN id % 2 = 0 THEN prediction || '  ' ELSE '' END AS prediction FROM predictions""")
 def q_write_predictions(spark, sf_dir):
-    """Test-split predictions written as CSV and read back."""
+    """Test-split predictions, some with outer white space and some empty,
+    written as CSV and read back."""
     path = _scratch(spark, "predictions")
-    FS.write_predictions(_predictions(spark, sf_dir), path)
+    p = _predictions(spark, sf_dir).select(
+        F.concat(F.lit("  "), "source").alias("source"), F.concat("reference", F.lit("\t")).alias("reference"),
+        F.when(F.col("id") % 2 == 0, F.concat("prediction", F.lit("  "))).otherwise("").alias("prediction"))
+    FS.write_predictions(p, path)
     return FS.read_predictions(spark, path)
 
 
@@ -144,7 +154,7 @@ def q_append_history(spark, sf_dir):
                     "seconds", "global_step")
 
 
-_HISTORY_SELECT = ("SELECT epoch, round(train_loss, 9) AS train_loss, round(val_loss, 9) AS val_loss, "
+_HISTORY_SELECT = ("SELECT run_id, epoch, round(train_loss, 9) AS train_loss, round(val_loss, 9) AS val_loss, "
                    "seconds, global_step FROM history")
 
 
@@ -154,7 +164,7 @@ def q_read_history(spark, sf_dir):
     path = _scratch(spark, "history-csv")
     FS.export_history_csv(H.epoch_summary(FX.batch_losses(spark, sf_dir)), path)
     h = FS.read_history(spark, path)
-    return h.select("epoch", _r("train_loss").alias("train_loss"), _r("val_loss").alias("val_loss"),
+    return h.select("run_id", "epoch", _r("train_loss").alias("train_loss"), _r("val_loss").alias("val_loss"),
                     "seconds", "global_step")
 
 
@@ -206,12 +216,12 @@ def q_require_min_rows(spark, sf_dir):
 
 
 @query("reject_overlong", _with(O.split_ctes(SEED)) + f"""
-SELECT id, split FROM split
+SELECT id, split, 'overlong' AS reason FROM split
 WHERE NOT (len(regexp_extract_all(src_text, '{O.PRE_RE2}')) + 2 <= {SEQ_LEN}
        AND len(regexp_extract_all(tgt_text, '{O.PRE_RE2}')) + 1 <= {SEQ_LEN})""")
 def q_reject_overlong(spark, sf_dir):
-    """The quarantine: pairs that would not fit."""
-    return I.overlong_quarantine(_split(spark, sf_dir), SEQ_LEN).select("id", "split")
+    """The quarantine: pairs that would not fit, and why."""
+    return I.overlong_quarantine(_split(spark, sf_dir), SEQ_LEN).select("id", "split", "reason")
 
 
 # --------------------------------------------- 2.3 sampling, order, splitting
@@ -255,11 +265,19 @@ def q_assign_batches(spark, sf_dir):
     return S.epoch_batches(_split(spark, sf_dir), SEED, EPOCH, BATCH_SIZE).select("id", "batch_id")
 
 
-@query("eval_limit", _with(O.split_ctes(SEED)) + f"""
-SELECT id FROM split WHERE split = 'test' ORDER BY shuffle_rank LIMIT {EVAL_SAMPLES}""")
+@query("split_batches", _with(O.split_ctes(SEED)) + f"""
+SELECT id, CAST(floor((row_number() OVER (ORDER BY shuffle_rank) - 1) / {BATCH_SIZE}) AS BIGINT) AS batch_id
+FROM split WHERE split = 'val'""")
+def q_split_batches(spark, sf_dir):
+    """Batch (size 8) of every validation pair, in split order."""
+    return S.split_batches(_split(spark, sf_dir), "val", BATCH_SIZE).select("id", "batch_id")
+
+
+@query("eval_limit", _with(O.split_ctes(SEED), O.kept_cte(SEQ_LEN)) + f"""
+SELECT id FROM kept WHERE split = 'test' ORDER BY shuffle_rank LIMIT {EVAL_SAMPLES}""")
 def q_eval_limit(spark, sf_dir):
-    """The first 20 test pairs in split order."""
-    return S.eval_limit(_split(spark, sf_dir), EVAL_SAMPLES).select("id")
+    """The first 20 test pairs that fit sequence length 128, in split order."""
+    return S.eval_limit(I.length_filter(_split(spark, sf_dir), SEQ_LEN), EVAL_SAMPLES).select("id")
 
 
 # ------------------------------------------------- 2.4 text, vocabulary, encode
@@ -444,45 +462,45 @@ def q_encoder_mask(spark, sf_dir):
 
 
 @query("decoder_mask", _inputs_sql(
-    f"SELECT id, {O.decoder_mask(O.decoder_input('tgt_ids', MASK_SEQ_LEN), MASK_SEQ_LEN)} AS decoder_mask FROM encoded",
-    MASK_SEQ_LEN))
+    f"SELECT id, {O.decoder_mask(O.decoder_input('tgt_ids', SEQ_LEN), SEQ_LEN)} AS decoder_mask FROM encoded",
+    SEQ_LEN))
 def q_decoder_mask(spark, sf_dir):
-    """Decoder masks (64 × 64: padding and causal)."""
-    e = _prepared(spark, sf_dir, MASK_SEQ_LEN).encoded
-    return e.select("id", A.decoder_mask(A.decoder_input("tgt_ids", MASK_SEQ_LEN), MASK_SEQ_LEN).alias("decoder_mask"))
+    """Decoder masks (128 × 128: padding and causal)."""
+    e = _prepared(spark, sf_dir, SEQ_LEN).encoded
+    return e.select("id", A.decoder_mask(A.decoder_input("tgt_ids", SEQ_LEN), SEQ_LEN).alias("decoder_mask"))
 
 
 @query("model_inputs", _inputs_sql(f"""
-SELECT id, split, {O.encoder_input('src_ids', MASK_SEQ_LEN)} AS encoder_input,
-       {O.decoder_input('tgt_ids', MASK_SEQ_LEN)} AS decoder_input,
-       {O.label('tgt_ids', MASK_SEQ_LEN)} AS label,
-       {O.encoder_mask(O.encoder_input('src_ids', MASK_SEQ_LEN))} AS encoder_mask,
-       {O.decoder_mask(O.decoder_input('tgt_ids', MASK_SEQ_LEN), MASK_SEQ_LEN)} AS decoder_mask,
+SELECT id, split, {O.encoder_input('src_ids', SEQ_LEN)} AS encoder_input,
+       {O.decoder_input('tgt_ids', SEQ_LEN)} AS decoder_input,
+       {O.label('tgt_ids', SEQ_LEN)} AS label,
+       {O.encoder_mask(O.encoder_input('src_ids', SEQ_LEN))} AS encoder_mask,
+       {O.decoder_mask(O.decoder_input('tgt_ids', SEQ_LEN), SEQ_LEN)} AS decoder_mask,
        src_text, tgt_text
-FROM encoded""", MASK_SEQ_LEN))
+FROM encoded""", SEQ_LEN))
 def q_model_inputs(spark, sf_dir):
-    """The full model-input rows at sequence length 64."""
-    return _prepared(spark, sf_dir, MASK_SEQ_LEN, with_decoder_mask=True).inputs
+    """The full model-input rows at sequence length 128."""
+    return _prepared(spark, sf_dir, SEQ_LEN, with_decoder_mask=True).inputs.drop("row_key")
 
 
 @query("prompt_input", _with(O.split_ctes(SEED), O.vocab_ctes()) + f"""
-, src AS (SELECT u.conv_id * 1000 + u.turn AS id, u.text FROM conversations u WHERE u.role = 'user'),
-fit AS (SELECT * FROM src WHERE len(regexp_extract_all(text, '{O.PRE_RE2}')) + 2 <= {SEQ_LEN}),
+, src AS (SELECT u.conv_id * 1000000000 + u.turn AS id, u.text FROM conversations u WHERE u.role = 'user'),
+fit AS (SELECT *, CASE WHEN len(regexp_extract_all(text, '{O.PRE_RE2}')) + 2 <= {SEQ_LEN} THEN 'ok' ELSE 'too_long' END
+               AS status FROM src),
 tok AS (SELECT id, generate_subscripts(t, 1) AS pos, unnest(t) AS token
         FROM (SELECT id, regexp_extract_all(text, '{O.PRE_RE2}') AS t FROM fit)),
 enc AS (SELECT t.id, list(coalesce(v.id, 0) ORDER BY t.pos) AS ids FROM tok t
         LEFT JOIN vocab v ON v.lang = 'en' AND v.token = t.token GROUP BY t.id),
-e2 AS (SELECT f.id, f.text, coalesce(e.ids, []::INTEGER[]) AS ids FROM fit f LEFT JOIN enc e USING (id))
-SELECT id, text, {O.encoder_input('ids', SEQ_LEN)} AS encoder_input,
-       {O.encoder_mask(O.encoder_input('ids', SEQ_LEN))} AS encoder_mask FROM e2""")
+e2 AS (SELECT f.id, f.text, f.status, coalesce(e.ids, []::INTEGER[]) AS ids FROM fit f LEFT JOIN enc e USING (id))
+SELECT id, text, status, CASE WHEN status = 'ok' THEN {O.encoder_input('ids', SEQ_LEN)} END AS encoder_input,
+       CASE WHEN status = 'ok' THEN {O.encoder_mask(O.encoder_input('ids', SEQ_LEN))} END AS encoder_mask FROM e2""")
 def q_prompt_input(spark, sf_dir):
-    """Inference inputs for every user turn that fits (longer ones would be
-    an error, so they are left to ``reject_overlong``'s quarantine)."""
+    """Inference inputs for every user turn; one that does not fit has a
+    status and no inputs."""
     vocab = V.train_vocab(_split(spark, sf_dir), {"en": "src_text", "it": "tgt_text"})
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("role") == "user")
-    texts = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    fit = texts.where(E.token_count("text") + 2 <= SEQ_LEN)
-    return I.prompt_input(fit, ["id"], "text", vocab, "en", SEQ_LEN)
+    texts = c.select((F.col("conv_id") * 1000000000 + F.col("turn")).alias("id"), "text")
+    return I.prompt_input(texts, ["id"], "text", vocab, "en", SEQ_LEN, on_long="report")
 
 
 # ------------------------------------------------------------- 2.6 losses
@@ -545,6 +563,20 @@ def q_epoch_loss(spark, sf_dir):
     return r.select("run_id", "epoch", "phase", _r("epoch_loss").alias("epoch_loss"), "batches", "tokens")
 
 
+@query("batch_loss", """
+WITH z AS (SELECT floor(vec_id / 8) AS batch_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings),
+m AS (SELECT *, list_max(z) AS m FROM z),
+l AS (SELECT *, m + ln(list_sum(list_transform(z, lambda x: exp(x - m)))) AS lse FROM m)
+SELECT CAST(batch_id AS BIGINT) AS batch_id,
+       round(avg(CASE WHEN label <> 1 THEN 0.9 * (lse - z[label + 1]) + 0.1 * (lse - list_sum(z) / len(z)) END), 9) AS loss,
+       count(*) FILTER (WHERE label <> 1) AS tokens
+FROM l GROUP BY batch_id""")
+def q_batch_loss(spark, sf_dir):
+    """Loss and tokens of every batch of eight logits rows."""
+    lg = FX.logits(spark, sf_dir).withColumn("batch_id", F.floor(F.col("vec_id") / BATCH_SIZE))
+    return L.batch_loss(lg, "logits", "label").select("batch_id", _r("loss").alias("loss"), "tokens")
+
+
 @query("running_loss", _with(O.batches_cte()) + """
 SELECT run_id, epoch, phase, batch_id,
        round(sum(loss * tokens) OVER w / sum(tokens) OVER w, 9) AS running_loss,
@@ -585,8 +617,8 @@ def q_global_step(spark, sf_dir):
 _PROGRESS_SQL = _with(O.history_cte()) + """
 SELECT run_id, epoch, round(min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS best_so_far,
-       val_loss < coalesce(min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
-                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'infinity'::DOUBLE) AS improved
+       coalesce(val_loss < coalesce(min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'infinity'::DOUBLE), false) AS improved
 FROM history"""
 
 
@@ -608,7 +640,7 @@ def q_improved(spark, sf_dir):
 
 
 @query("best_epoch", _with(O.history_cte()) + """
-SELECT run_id, arg_min(epoch, (val_loss, epoch)) AS best_epoch, round(min(val_loss), 9) AS best_val_loss
+SELECT run_id, arg_min(epoch, (val_loss, epoch)) FILTER (WHERE val_loss IS NOT NULL) AS best_epoch, round(min(val_loss), 9) AS best_val_loss
 FROM history GROUP BY run_id""")
 def q_best_epoch(spark, sf_dir):
     """Epoch of the lowest validation loss (first on ties)."""
@@ -617,12 +649,12 @@ def q_best_epoch(spark, sf_dir):
 
 
 @query("learning_curve", _with(O.history_cte()) + """
-, best AS (SELECT run_id, arg_min(epoch, (val_loss, epoch)) AS best_epoch FROM history GROUP BY run_id),
+, best AS (SELECT run_id, arg_min(epoch, (val_loss, epoch)) FILTER (WHERE val_loss IS NOT NULL) AS best_epoch FROM history GROUP BY run_id),
 long AS (
   SELECT run_id, epoch, 'train' AS series, train_loss AS loss FROM history
   UNION ALL SELECT run_id, epoch, 'val', val_loss FROM history)
 SELECT l.run_id, l.epoch, l.series, round(l.loss, 9) AS loss,
-       (l.series = 'val' AND l.epoch = b.best_epoch) AS is_best
+       coalesce(l.series = 'val' AND l.epoch = b.best_epoch, false) AS is_best
 FROM long l JOIN best b USING (run_id)""")
 def q_learning_curve(spark, sf_dir):
     """Long-form learning curve with the best point marked."""
@@ -807,7 +839,7 @@ l AS (SELECT *, m + ln(list_sum(list_transform(z, lambda x: exp(x - m)))) AS lse
 loss AS (SELECT avg(CASE WHEN label <> 1 THEN 0.9 * (lse - z[label + 1]) + 0.1 * (lse - list_sum(z) / len(z)) END)
                 AS test_loss FROM l),
 {O.history_cte()},
-best AS (SELECT arg_min(epoch, (val_loss, epoch)) AS best_epoch FROM history)
+best AS (SELECT arg_min(epoch, (val_loss, epoch)) FILTER (WHERE val_loss IS NOT NULL) AS best_epoch FROM history WHERE run_id = 'run1')
 SELECT round(test_loss, 9) AS test_loss, round(bleu, 9) AS bleu, round(cer, 9) AS cer, round(wer, 9) AS wer,
        CAST(decoded_test_examples AS BIGINT) AS decoded_test_examples,
        CAST(decoded_test_examples AS BIGINT) AS all_test_examples,
@@ -818,12 +850,13 @@ FROM loss, bleu_row, err, best""")
 @query("test_results", _test_results_sql())
 def q_test_results(spark, sf_dir):
     """The results row over the stand-ins: loss of the logits table, metrics
-    and counts of the conversation pairs, best epoch of the event history."""
+    and counts of the conversation pairs, best epoch of one run of the event
+    history. (``evaluate_run`` is the same over a real test split.)"""
     pairs = _metric_pairs(spark, sf_dir)
     loss = L.cross_entropy(FX.logits(spark, sf_dir), "logits", "label", 0.1)
     scores = X.corpus_scores(pairs, ["id"], "hyp", "ref")
     best = H.best_epoch(_history(spark, sf_dir))
-    r = X.test_results(loss, scores, pairs, best)
+    r = X.test_results(loss, scores, pairs, best, "run1")
     return r.select(*[_r(c).alias(c) for c in ("test_loss", "bleu", "cer", "wer")],
                     "decoded_test_examples", "all_test_examples", "checkpoint", "best_epoch")
 
@@ -846,7 +879,7 @@ def q_data_manifest(spark, sf_dir):
     """The manifest counts of one run."""
     pairs = load_fixture_pairs(spark, sf_dir)
     p = prepare(pairs, SEED, None, SEQ_LEN, with_decoder_mask=False)
-    m = M.data_manifest(M.manifest_counts(p.split, p.kept, p.vocab, "en", "it"), pairs, SEED,
+    m = M.data_manifest(M.manifest_counts(p.split, p.kept, p.vocab, "en", "it"), SEED,
                         {"kind": "local_parquet", "filename": "conversations.parquet"})
     return m.select(
         F.col("original_examples").cast("bigint"), F.col("selected_examples").cast("bigint"),
@@ -855,15 +888,28 @@ def q_data_manifest(spark, sf_dir):
         F.col("source_vocab_size").cast("bigint"), F.col("target_vocab_size").cast("bigint"), "split_seed")
 
 
-def _manifest_for(spark, pairs, seed, run_id, software):
+def _manifest_counts(spark, pairs, seed):
+    """The counts of one seed, computed once."""
     p = prepare(pairs, seed, None, SEQ_LEN, with_decoder_mask=False)
-    return M.data_manifest(M.manifest_counts(p.split, p.kept, p.vocab, "en", "it"), pairs, seed,
-                           {"kind": "local_parquet", "filename": "conversations.parquet"},
+    counts = M.manifest_counts(p.split, p.kept, p.vocab, "en", "it")
+    return spark.createDataFrame(counts.collect(), counts.schema)  # one row
+
+
+def _manifest_of(counts, seed, run_id, software, digest="a"):
+    return M.data_manifest(counts, seed, {"kind": "local_parquet", "filename": "conversations.parquet", "sha256": digest},
                            software, run_id)
 
 
-_MANIFEST_KEYS = ["source", "original_examples", "selected_examples", "split_before_filter", "split_after_filter",
-                  "source_vocab_size", "target_vocab_size", "split_seed", "tokenizer_training_split", "software"]
+def _three_manifests(spark, sf_dir):
+    """A baseline, a rerun with another library version, and another seed."""
+    pairs = load_fixture_pairs(spark, sf_dir)
+    counts, other = _manifest_counts(spark, pairs, SEED), _manifest_counts(spark, pairs, SEED + 1)
+    return (_manifest_of(counts, SEED, "base", {"pyspark": "4.1.2"})
+            .unionByName(_manifest_of(counts, SEED, "rerun", {"pyspark": "4.1.3"}))
+            .unionByName(_manifest_of(other, SEED + 1, "seed43", {"pyspark": "4.1.2"})), counts)
+
+
+_MANIFEST_KEYS = M.BLOCKING_KEYS + M.WARNING_KEYS
 
 
 def _manifest_diff_sql() -> str:
@@ -889,12 +935,19 @@ SELECT 'seed43', key, CASE WHEN same THEN 'same' WHEN key = 'software' THEN 'war
 def q_manifest_diff(spark, sf_dir):
     """Three runs over the same pairs: the baseline, a rerun with another
     library version (warn only) and a run with another seed (blocked)."""
-    pairs = load_fixture_pairs(spark, sf_dir)
-    base = _manifest_for(spark, pairs, SEED, "base", {"pyspark": "4.1.2"})
-    rerun = _manifest_for(spark, pairs, SEED, "rerun", {"pyspark": "4.1.3"})
-    other = _manifest_for(spark, pairs, SEED + 1, "seed43", {"pyspark": "4.1.2"})
-    long = M.manifest_long(base.unionByName(rerun).unionByName(other))
-    return M.manifest_diff(long, "base").select("run_id", "key", "severity")
+    runs, _ = _three_manifests(spark, sf_dir)
+    return M.manifest_diff(M.manifest_long(runs), "base").select("run_id", "key", "severity")
+
+
+@query("resume_verdict", """
+SELECT * FROM (VALUES ('rerun', true, CAST(1 AS BIGINT)), ('seed43', false, CAST(0 AS BIGINT)),
+                      ('changed', false, CAST(0 AS BIGINT))) v(run_id, resume_allowed, warnings)""")
+def q_resume_verdict(spark, sf_dir):
+    """May each run resume the baseline: a new library version warns, another
+    seed or a corpus of the same counts but other content blocks."""
+    runs, counts = _three_manifests(spark, sf_dir)
+    runs = runs.unionByName(_manifest_of(counts, SEED, "changed", {"pyspark": "4.1.2"}, digest="b"))
+    return M.resume_allowed(M.manifest_diff(M.manifest_long(runs), "base"))
 
 
 # ---------------------------------------------------------- streaming, plans
@@ -904,8 +957,8 @@ SELECT run_id, epoch, phase, round(sum(loss * tokens) / sum(tokens), 9) AS epoch
        count(*) AS batches, CAST(sum(tokens) AS BIGINT) AS tokens
 FROM batches GROUP BY run_id, epoch, phase""")
 def q_stream_epoch_loss(spark, sf_dir):
-    """Batch-loss files arrive in two drops (training batches, then
-    validation batches); the streaming aggregation
+    """Batch-loss files arrive in three drops (training, validation, then
+    all other batches); the streaming aggregation
     (available-now trigger, restarted from its checkpoint) keeps the epoch
     losses current."""
     from ..schemas import BATCH_LOSS
@@ -913,7 +966,7 @@ def q_stream_epoch_loss(spark, sf_dir):
 
     base = _scratch(spark, "stream")
     batches = FX.batch_losses(spark, sf_dir).select(*[f.name for f in BATCH_LOSS.fields])
-    for i, part in enumerate([F.col("phase") == "train", F.col("phase") == "val"]):
+    for i, part in enumerate([F.col("phase") == "train", F.col("phase") == "val", ~F.col("phase").isin("train", "val")]):
         batches.where(part).write.parquet(f"{base}/inbox/drop{i}")
         start_epoch_history(spark, f"{base}/inbox/*", f"{base}/out", f"{base}/ckpt").awaitTermination()
     r = latest_epoch_losses(spark, f"{base}/out")
@@ -925,8 +978,8 @@ def q_stream_epoch_loss(spark, sf_dir):
 SELECT run_id, epoch, round(val_loss, 9) AS val_loss,
        round(min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS best_so_far,
-       val_loss < coalesce(min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'infinity'::DOUBLE) AS improved
+       coalesce(val_loss < coalesce(min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'infinity'::DOUBLE), false) AS improved
 FROM history""")
 def q_stream_progress(spark, sf_dir):
     """History rows land in two drops (first and second half of the epochs);
@@ -945,29 +998,30 @@ def q_stream_progress(spark, sf_dir):
 
 
 @query("translate", _with(O.split_ctes(SEED), O.vocab_ctes()) + f"""
-, src AS (SELECT u.conv_id * 1000 + u.turn AS id, u.text FROM conversations u WHERE u.role = 'user'),
-fit AS (SELECT * FROM src WHERE len(regexp_extract_all(text, '{O.PRE_RE2}')) + 2 <= {SEQ_LEN}),
+, src AS (SELECT u.conv_id * 1000000000 + u.turn AS id, u.text FROM conversations u WHERE u.role = 'user'),
+fit AS (SELECT *, CASE WHEN len(regexp_extract_all(text, '{O.PRE_RE2}')) + 2 <= {SEQ_LEN} THEN 'ok' ELSE 'too_long' END
+               AS status FROM src),
 tok AS (SELECT id, generate_subscripts(t, 1) AS pos, unnest(t) AS token
         FROM (SELECT id, regexp_extract_all(text, '{O.PRE_RE2}') AS t FROM fit)),
 enc AS (SELECT t.id, list(coalesce(v.id, 0) ORDER BY t.pos) AS ids FROM tok t
         LEFT JOIN vocab v ON v.lang = 'en' AND v.token = t.token GROUP BY t.id),
-e2 AS (SELECT f.id, f.text, {O.encoder_input('coalesce(e.ids, []::INTEGER[])', SEQ_LEN)} AS ei
+e2 AS (SELECT f.id, f.text, f.status, {O.encoder_input('coalesce(e.ids, []::INTEGER[])', SEQ_LEN)} AS ei
        FROM fit f LEFT JOIN enc e USING (id)),
-hyp AS (SELECT id, text, {_echo_hypothesis_sql('ei')} AS h FROM e2),
+hyp AS (SELECT id, text, status, {_echo_hypothesis_sql('ei')} AS h FROM e2),
 dec AS (SELECT id, generate_subscripts(h, 1) AS pos, unnest(h) AS tid FROM hyp),
 txt AS (SELECT d.id, string_agg(v.token, ' ' ORDER BY d.pos) AS t
         FROM dec d JOIN vocab v ON v.lang = 'it' AND v.id = d.tid WHERE d.tid > 3 GROUP BY d.id)
-SELECT h.id, h.text, coalesce(x.t, '') AS translation FROM hyp h LEFT JOIN txt x USING (id)""")
+SELECT h.id, h.text, h.status, CASE WHEN h.status = 'ok' THEN coalesce(x.t, '') END AS translation
+FROM hyp h LEFT JOIN txt x USING (id)""")
 def q_translate(spark, sf_dir):
-    """Every user turn that fits, translated by the stand-in model with the
-    vocabularies of the training split."""
+    """Every user turn translated by the stand-in model with the vocabularies
+    of the training split; one that does not fit has a status instead."""
     from .evaluate import echo_model, translate
 
     vocab = V.train_vocab(_split(spark, sf_dir), {"en": "src_text", "it": "tgt_text"})
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("role") == "user")
-    texts = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    fit = texts.where(E.token_count("text") + 2 <= SEQ_LEN)
-    return translate(fit, ["id"], "text", vocab, echo_model, SEQ_LEN)
+    texts = c.select((F.col("conv_id") * 1000000000 + F.col("turn")).alias("id"), "text")
+    return translate(texts, ["id"], "text", vocab, echo_model, SEQ_LEN)
 
 
 @query("evaluate_test", _inputs_sql(f"""
@@ -992,4 +1046,24 @@ def q_evaluate_test(spark, sf_dir):
     return predictions
 
 
+@query("evaluate_run", _inputs_sql(f"""
+, first_test AS (
+  SELECT id, src_text, tgt_text, {O.encoder_input('src_ids', SEQ_LEN)} AS ei
+  FROM encoded WHERE split = 'test' ORDER BY shuffle_rank LIMIT {EVAL_SAMPLES}),
+{O.history_cte()}
+SELECT (SELECT count(*) FROM first_test) AS decoded_test_examples,
+       (SELECT count(*) FROM kept WHERE split = 'test') AS all_test_examples, 'best.pt' AS checkpoint,
+       (SELECT arg_min(epoch, (val_loss, epoch)) FILTER (WHERE val_loss IS NOT NULL) FROM history WHERE run_id = 'run1') AS best_epoch"""))
+def q_evaluate_run(spark, sf_dir):
+    """The evaluation half of a run in its folder: metrics over the first 20
+    filtered test rows, counts over all of them, the run's best epoch. (The
+    metric values have their own queries; here both scopes are checked.)"""
+    from .evaluate import echo_model, evaluate_run
+
+    loss = L.cross_entropy(FX.logits(spark, sf_dir), "logits", "label", 0.1)
+    r = evaluate_run(spark, _prepared(spark, sf_dir), _scratch(spark, "run"), "run1", echo_model, loss,
+                     _history(spark, sf_dir), SEQ_LEN, EVAL_SAMPLES)
+    return r.select("decoded_test_examples", "all_test_examples", "checkpoint", "best_epoch")
+
+
 __all__ = ["registry"]

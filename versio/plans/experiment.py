@@ -34,10 +34,13 @@ def prepare_run(spark: SparkSession, pairs: DataFrame, run_dir: str, seed: int =
     prepared = prepare(pairs, seed, max_samples, seq_len, src, tgt, with_decoder_mask=False,
                        vocab=vocab, split=split)
     software = software or {"pyspark": spark.version}
-    manifest = M.data_manifest(M.manifest_counts(prepared.split, prepared.kept, vocab, src, tgt), pairs,
-                               seed, source or {"kind": "parquet"}, software, run_id="current")
-    manifest_path = f"{run_dir}/data_manifest"
-    if resume and _exists(spark, manifest_path):
+    # the content's digest is part of the source: a changed corpus with the
+    # same counts is another source
+    source = (source or {"kind": "parquet"}) | {"sha256": M.corpus_digest(pairs, src, tgt)}
+    manifest = M.data_manifest(M.manifest_counts(prepared.split, prepared.kept, vocab, src, tgt),
+                               seed, source, software, run_id="current")
+    manifest_path, inputs_path = f"{run_dir}/data_manifest", f"{run_dir}/model_inputs"
+    if resume and _exists(spark, f"{manifest_path}/_SUCCESS"):
         previous = spark.read.schema(manifest.schema).json(manifest_path).withColumn("run_id", F.lit("previous"))
         diff = M.manifest_diff(M.manifest_long(previous.unionByName(manifest)), "previous")
         verdict = {r["key"]: r["severity"] for r in diff.collect()}  # one row per manifest key
@@ -46,7 +49,11 @@ def prepare_run(spark: SparkSession, pairs: DataFrame, run_dir: str, seed: int =
             raise ValueError(f"data, split or vocabulary differ from the stored run ({blocked}); cannot resume")
         if any(v == "warn" for v in verdict.values()):
             warnings.warn("software versions differ from the stored run; results may differ slightly")
-    else:
-        manifest.drop("run_id").coalesce(1).write.mode("errorifexists").json(manifest_path)
-        prepared.inputs.write.mode("errorifexists").parquet(f"{run_dir}/model_inputs")
+    # inputs first, manifest last: a manifest means that everything is there,
+    # and a resumed run writes what a stopped one did not finish
+    mode = "overwrite" if resume else "errorifexists"
+    if not (resume and _exists(spark, f"{inputs_path}/_SUCCESS")):
+        prepared.inputs.write.mode(mode).parquet(inputs_path)
+    if not (resume and _exists(spark, f"{manifest_path}/_SUCCESS")):
+        manifest.drop("run_id").coalesce(1).write.mode(mode).json(manifest_path)
     return prepared, manifest

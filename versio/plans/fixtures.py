@@ -13,14 +13,16 @@ STEPS_PER_PAIR = 16
 
 
 def batch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch losses from ``events``: day of year = epoch, clicks = training
-    batches, views = validation batches, ``value`` = loss, ``k + 1`` =
-    tokens, ``event_id`` = batch order, ``ts`` = when the batch ended."""
+    """Batch losses from all ``events``: three runs by ``event_id``, day of year
+    = epoch, clicks = training batches, views = validation batches, the other
+    types = phases of their own (which a history does not use), ``value`` =
+    loss, ``k + 1`` = tokens, ``event_id`` = batch order, ``ts`` = when the
+    batch ended."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     phase = F.when(F.col("event_type") == "click", F.lit("train")).when(
-        F.col("event_type") == "view", F.lit("val"))
-    return ev.where(F.col("event_type").isin("click", "view")).select(
-        F.lit("run").alias("run_id"), F.dayofyear("ts").alias("epoch"), phase.alias("phase"),
+        F.col("event_type") == "view", F.lit("val")).otherwise(F.col("event_type"))
+    return ev.select(
+        F.concat(F.lit("run"), F.col("event_id") % 3).alias("run_id"), F.dayofyear("ts").alias("epoch"), phase.alias("phase"),
         F.col("event_id").alias("batch_id"), F.col("value").alias("loss"),
         (F.get_json_object("props", "$.k").cast("bigint") + 1).alias("tokens"), "ts")
 

@@ -129,11 +129,11 @@ def ngram_list(w: str, n: int) -> str:
 
 def batches_cte() -> str:
     return """batches AS (
-  SELECT 'run' AS run_id, CAST(dayofyear(ts) AS INTEGER) AS epoch,
-         CASE event_type WHEN 'click' THEN 'train' WHEN 'view' THEN 'val' END AS phase,
+  SELECT concat('run', event_id % 3) AS run_id, CAST(dayofyear(ts) AS INTEGER) AS epoch,
+         CASE event_type WHEN 'click' THEN 'train' WHEN 'view' THEN 'val' ELSE event_type END AS phase,
          event_id AS batch_id, value AS loss,
          CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS tokens, ts
-  FROM events WHERE event_type IN ('click', 'view'))"""
+  FROM events)"""
 
 
 def history_cte() -> str:

@@ -16,7 +16,7 @@ from ..sources.pairs import project_lang
 
 @dataclass
 class Prepared:
-    split: DataFrame        # id, split, shuffle_rank, selected, src_text, tgt_text
+    split: DataFrame        # id, split, split_key, selected, total, src_text, tgt_text
     vocab: DataFrame        # lang, token, id
     kept: DataFrame         # split rows that fit seq_len
     encoded: DataFrame      # kept + src_ids, tgt_ids
@@ -34,11 +34,9 @@ def split_pairs(pairs: DataFrame, seed: int = 42, max_samples: int | None = None
 def prepare(pairs: DataFrame, seed: int = 42, max_samples: int | None = None, seq_len: int = 128,
             src: str = "en", tgt: str = "it", with_decoder_mask: bool = True,
             vocab: DataFrame | None = None, split: DataFrame | None = None) -> Prepared:
-    """Build the plan. The seeded split is materialised once by its rank
-    (the sorted corpus is a reliable checkpoint in the session's checkpoint
-    folder, so it survives lost executors): the vocabulary, the length
-    filter and the encoder all read that table instead of each repeating
-    the scan and the range shuffle of the whole corpus."""
+    """Build the plan. The split is two boundary keys found when it is built
+    and a comparison in each row, so the vocabulary, the length filter and the
+    encoder each read the source again and nothing is sorted or rewritten."""
     if split is None:
         split = split_pairs(pairs, seed, max_samples, src, tgt)
     if vocab is None:
@@ -47,10 +45,3 @@ def prepare(pairs: DataFrame, seed: int = 42, max_samples: int | None = None, se
     encoded = encode(kept, ["id"], {"src_ids": ("src_text", src), "tgt_ids": ("tgt_text", tgt)}, vocab)
     inputs = model_inputs(encoded, seq_len, with_decoder_mask=with_decoder_mask)
     return Prepared(split, vocab, kept, encoded, inputs)
-
-
-def split_counts(split: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows per split before and after the length filter (one row each)."""
-    before = split.groupBy("split").agg(F.count(F.lit(1)).alias("rows_before"))
-    after = kept.groupBy("split").agg(F.count(F.lit(1)).alias("rows_after"))
-    return before.join(after, "split", "left").fillna(0, ["rows_after"])

@@ -17,14 +17,6 @@ SPLIT_FRACTION = 0.1
 LABEL_SMOOTHING = 0.1
 MIN_SELECTED_ROWS = 10
 
-PAIRS = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("translation", T.StructType([
-        T.StructField("en", T.StringType()),
-        T.StructField("it", T.StringType()),
-    ])),
-])
-
 VOCAB = T.StructType([
     T.StructField("lang", T.StringType(), False),
     T.StructField("token", T.StringType(), False),
@@ -53,14 +45,3 @@ PREDICTIONS = T.StructType([
     T.StructField("reference", T.StringType()),
     T.StructField("prediction", T.StringType()),
 ])
-
-TEST_RESULTS = T.StructType([
-    T.StructField("test_loss", T.DoubleType()),
-    T.StructField("bleu", T.DoubleType()),
-    T.StructField("cer", T.DoubleType()),
-    T.StructField("wer", T.DoubleType()),
-    T.StructField("decoded_test_examples", T.LongType()),
-    T.StructField("all_test_examples", T.LongType()),
-    T.StructField("checkpoint", T.StringType()),
-    T.StructField("best_epoch", T.IntegerType()),
-])

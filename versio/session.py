@@ -27,8 +27,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
-        # checkpoints of rank/split tables that are no longer referenced are
-        # deleted, so long test and bench sessions do not fill the folder
+        # RDD checkpoints that are no longer referenced are deleted (tables
+        # written to the folder are not: their writers remove them or say so)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()

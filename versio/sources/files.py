@@ -3,13 +3,15 @@ tables, and the guard against writing into a used output folder."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import HISTORY, PREDICTIONS
 
-# CSV options that keep "" and null apart and quote
-# embedded quotes and newlines the RFC 4180 way.
-CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "nullValue": "\\N",
-               "encoding": "UTF-8"}
+# CSV options that keep texts as they are. Outer spaces stay,
+# embedded quotes and newlines are quoted the RFC 4180 way, and null is \\N; a
+# text that starts with a backslash is written with one more, so none reads as null.
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "nullValue": "\\N", "encoding": "UTF-8",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def file_digests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -38,6 +40,16 @@ def verify_checksum(spark: SparkSession, path: str, expected: dict, glob: str |
         .when(F.col("sha256") == F.col("expected_sha256"), F.lit("ok")).otherwise(F.lit("mismatch")))
 
 
+def verify_contents(rows: DataFrame, pins: DataFrame, name_col: str, content_col: str) -> DataFrame:
+    """``(name, sha256, status)`` of every row: the digest of its content
+    compared with ``pins`` (``name, expected_sha256``); ``ok``, ``mismatch`` or
+    ``unpinned``. Both sides may be of any size: this is an ordinary join."""
+    got = rows.select(F.col(name_col).alias("name"), F.sha2(F.col(content_col), 256).alias("sha256"))
+    status = (F.when(F.col("expected_sha256").isNull(), "unpinned")
+              .when(F.col("sha256").eqNullSafe(F.col("expected_sha256")), "ok").otherwise("mismatch"))
+    return got.join(pins, "name", "left").select("name", "sha256", status.alias("status"))
+
+
 def require_checksums(report: DataFrame) -> None:
     """Driver check on a checksum report (one row per file)."""
     bad = report.where(F.col("status") != "ok").select("name", "status").collect()
@@ -47,13 +59,17 @@ def require_checksums(report: DataFrame) -> None:
 
 def write_predictions(predictions: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """``source, reference, prediction`` as CSV with a header; never overwrites by default."""
-    predictions.select("source", "reference", "prediction").write.mode(mode).options(**CSV_OPTIONS).csv(path)
+    texts = [F.when(F.startswith(F.col(c), F.lit("\\")), F.concat(F.lit("\\"), c)).otherwise(F.col(c)).alias(c)
+             for c in ("source", "reference", "prediction")]
+    predictions.select(*texts).write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Predictions CSV; an empty prediction cell reads as ``""``, never null
     (edit distance against null would drop the row from both sums)."""
     df = spark.read.schema(PREDICTIONS).options(**CSV_OPTIONS).option("multiLine", "true").csv(path)
+    df = df.select(*[F.when(F.startswith(F.col(c), F.lit("\\")), F.substring(c, 2, 2**31 - 1)).otherwise(F.col(c)).alias(c)
+                     for c in df.columns])
     return df.withColumn("prediction", F.coalesce(F.col("prediction"), F.lit("")))
 
 
@@ -65,16 +81,18 @@ def append_history(history: DataFrame, path: str) -> None:
 
 
 def export_history_csv(history: DataFrame, path: str) -> None:
-    """One CSV file per history (one row per epoch, so a single writer task
-    holds at most the epochs of the runs exported)."""
-    history.select(*[f.name for f in HISTORY.fields]).coalesce(1).write.mode("overwrite") \
-        .options(**CSV_OPTIONS).csv(path)
+    """History rows as CSV with their ``run_id``, if they have one; a used
+    folder is never overwritten."""
+    run = [c for c in history.columns if c == "run_id"]
+    history.select(*run, *[f.name for f in HISTORY.fields]).write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
 
 
 def read_history(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Typed history read; an empty history is an error."""
     if fmt == "csv":
-        df = spark.read.schema(HISTORY).options(header="true").csv(path)
+        named = spark.read.options(header="true").csv(path).columns  # the header line
+        run = [T.StructField("run_id", T.StringType())] if "run_id" in named else []
+        df = spark.read.schema(T.StructType(run + HISTORY.fields)).options(header="true").csv(path)
     else:
         df = spark.read.parquet(path)
     if df.isEmpty():

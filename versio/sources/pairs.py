@@ -47,7 +47,8 @@ def pairs_from_conversations(conversations: DataFrame, src: str = "en", tgt: str
                              first_role: str = "user", second_role: str = "assistant") -> DataFrame:
     """Pairs (user turn, the assistant turn right after it) as a pair corpus.
 
-    ``id = conv_id * 1000 + turn``; ``row_key`` is the user turn's position
+    ``id = conv_id * 1000000000 + turn``, so turn numbers of a conversation of
+    any likely length stay apart; ``row_key`` is the user turn's position
     in its file (``conversations`` must be a plain file scan). Written as an equi-join on
     ``(conv_id, turn + 1)`` rather than ``lead()`` over a conversation, so a
     huge conversation is spread over many tasks instead of one window.
@@ -58,7 +59,7 @@ def pairs_from_conversations(conversations: DataFrame, src: str = "en", tgt: str
         "conv_id", (F.col("turn") - 1).alias("_t1"), F.col("text").alias("_tgt"))
     joined = first.join(second, ["conv_id", "_t1"])
     return joined.select(
-        (F.col("conv_id") * 1000 + F.col("_t1")).alias("id"),
+        (F.col("conv_id") * 1000000000 + F.col("_t1")).alias("id"),
         F.struct(F.col("_src").alias(src), F.col("_tgt").alias(tgt)).alias("translation"),
         "row_key",
     )
@@ -71,7 +72,7 @@ def load_fixture_pairs(spark: SparkSession, sf_dir: str, src: str = "en", tgt: s
 
 # DuckDB text of the same adapter, shared by the oracles.
 PAIRS_SQL = """
-SELECT u.conv_id * 1000 + u.turn AS id, u.text AS en, a.text AS it
+SELECT u.conv_id * 1000000000 + u.turn AS id, u.text AS en, a.text AS it
 FROM conversations u JOIN conversations a
   ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'
