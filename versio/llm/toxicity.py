@@ -92,7 +92,7 @@ def choose_grams(counts: DataFrame, totals: list[int], n: int, per_category: int
     return sorted(out)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 300) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 2e-5, steps: int = 500) -> np.ndarray:
     """Weights (the intercept last) by accelerated gradient steps."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     v = np.ones(x.shape[1], x.dtype)
