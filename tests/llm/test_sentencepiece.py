@@ -28,6 +28,8 @@ def test_same_ids_and_texts_as_the_library(spark, library):
     sp = S.SentencePiece(spark, MODEL)
     out = df.withColumn("ids", sp.encode(df["text"])).withColumn("back", sp.decode(S.F.col("ids"))).collect()
     assert len(out) == len(texts)
+    checked = df.select("i", sp.encode_and_check(df["text"]).alias("p")).collect()
+    assert {r["i"]: tuple(r["p"]) for r in checked} == {r["i"]: (r["ids"], True) for r in out}
     for r in out:
         want = library.encode(r["text"])
         assert r["ids"] == want, r["text"][:80]

@@ -79,9 +79,8 @@ def q_sentencepiece(spark, sf_dir):
     """Piece ids of every whole text, and whether they decode to it again (a
     literal meta symbol counts as a space, as in the model)."""
     sp = SP.SentencePiece(spark, PIECE_MODEL)
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", sp.encode(F.col("text")).alias("ids"))
-    same = sp.decode(F.col("ids")) == F.translate("text", SP.META, " ")
-    return docs.select("doc_id", "ids", F.size("ids").alias("n_ids"), same.alias("round_trip"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", sp.encode_and_check(F.col("text")).alias("p"))
+    return docs.select("doc_id", "p.ids", F.size("p.ids").alias("n_ids"), F.col("p.same").alias("round_trip"))
 
 
 @query("op4_bloom_cascade_urls", O.URL_FILTER)
