@@ -5,7 +5,8 @@ array. A query opens a window around its own projection in every array; a vector
 in at least ``threshold`` of the windows is a candidate and is verified by its
 exact cosine. The windows then grow to the next radius (virtual rehashing: only
 what is new is counted) until the k-th best verified vector lies within the
-radius for which a vector is expected in more than the threshold of windows.
+radius for which a vector is expected in more than the threshold of windows. Once
+k vectors are known, their distance is the largest radius that can be needed.
 
 Vectors stay where they are read; the queries go round in bounded blocks. Every
 vector takes part, no candidate is cut off, and equal vectors have equal counts.
@@ -27,7 +28,9 @@ PROJECTIONS, SHARE = 112, 0.765
 #: Half the window over the radius: a vector at that distance collides in 0.826
 #: of the windows.
 REACH = 1.36
-RADII = [0.05 * 2 ** i for i in range(4)] + [0.5 * 1.1 ** i for i in range(17)]
+#: First radius, and the steps it grows by below and above 0.6 (unit vectors are
+#: at most 2 apart).
+FIRST, GROW_FAST, GROW_SLOW = 0.05, 2.0, 1.1
 
 
 def usable(vec):
@@ -65,29 +68,32 @@ def search_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
     place = (x / norms[:, None]) @ lines
     order = np.argsort(place, axis=0, kind="stable")
     place = np.take_along_axis(place, order, 0)
-    order, arrays = np.ascontiguousarray(order.T.astype(np.int32)), np.ascontiguousarray(place.T)
+    order, arrays = np.ascontiguousarray(order.T), np.ascontiguousarray(place.T)
     centre = (queries / q_norms[:, None]) @ lines
     low = np.stack([np.searchsorted(arrays[i], centre[:, i]) for i in range(m)], axis=1)
     high, live = low.copy(), np.arange(len(queries))
-    counts, done = np.zeros((len(queries), n), np.int16), np.zeros((len(queries), n), bool)
-    for radius in [*RADII, math.inf]:
-        if not len(live):
-            break
-        wide = radius * REACH
+    counts, done = np.zeros((len(queries), n), np.int64), np.zeros((len(queries), n), bool)
+    radius = np.array([FIRST if best.radius(q) == math.inf else best.radius(q) for q in live])
+    while len(live):
+        wide = radius[live] * REACH
         new_low = np.stack([np.searchsorted(arrays[i], centre[live, i] - wide) for i in range(m)], axis=1)
         new_high = np.stack([np.searchsorted(arrays[i], centre[live, i] + wide, "right") for i in range(m)], axis=1)
         still = []
         for at, q in enumerate(live):
-            fresh = [order[i, new_low[at, i]:low[q, i]] for i in range(m)] + [order[i, high[q, i]:new_high[at, i]] for i in range(m)]
-            counts[q] += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
+            l0, l1, h0, h1 = new_low[at].tolist(), low[q].tolist(), high[q].tolist(), new_high[at].tolist()
+            fresh = [order[i, l0[i]:l1[i]] for i in range(m)] + [order[i, h0[i]:h1[i]] for i in range(m)]
+            counts[q] += np.bincount(np.concatenate(fresh), minlength=n)
             found = np.flatnonzero((counts[q] >= threshold) & ~done[q])
             if len(found):
                 done[q, found] = True
                 found = found[ids[found] != query_ids[q]]
                 scores = (x[found] * queries[q]).sum(axis=1) / (norms[found] * q_norms[q])
                 best.add(q, ids[found], scores)
-            if best.radius(q) > radius:
+            enough, r = best.radius(q), radius[q]
+            if enough > r:
                 still.append(at)
+                grown = r * (GROW_FAST if r < 0.6 else GROW_SLOW) if r <= 2 else math.inf
+                radius[q] = min(enough, grown)
         low[live], high[live] = new_low, new_high
         live = live[still]
 
