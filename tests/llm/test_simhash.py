@@ -83,3 +83,10 @@ def test_components_of_chains_and_hubs(spark):
     got = {r["node"]: r["root"] for r in connected_components(df).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 1 for i in range(1, 60)} | {-5: -9, -9: -9}
     assert connected_components(df.where("false")).count() == 0
+
+
+def test_mark_of_many_edges(spark):
+    """The change mark of components does not overflow (a long does at 2^24 edges)."""
+    from versio.llm.common import edge_mark
+    n, s = edge_mark(spark.range(20_000_000).selectExpr("id AS u", "id + 1 AS v"))
+    assert n == 20_000_000 and s > 1 << 63

@@ -44,6 +44,13 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     return docs.join(checked_broadcast(ids), id_col, "left_anti")
 
 
+def edge_mark(edges: DataFrame) -> tuple:
+    """Number of the edges ``u, v`` and the sum of their hashes, to see a change
+    by; a decimal, since a long overflows at some 2^24 edges."""
+    h = F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)).cast("decimal(20,0)")
+    return tuple(edges.agg(F.count("*"), F.sum(h)).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph ``edges(u long, v long)``.
 
@@ -56,10 +63,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def star(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pairs, pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
-    def mark(df: DataFrame):
-        r = df.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s")).first()
-        return (r["n"], r["s"])
-
     def both(df: DataFrame) -> DataFrame:
         """Each edge in both directions, as a narrow explode."""
         return df.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -67,7 +70,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     cur = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                       .where("u != v").distinct(), "cc")
-    seen = mark(cur)
+    seen = edge_mark(cur)
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
@@ -81,7 +84,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                                                  F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").where("u != v").distinct())
         cur = materialize(small, "cc")
-        now = mark(cur)
+        now = edge_mark(cur)
         if now == seen:
             break
         seen = now
