@@ -45,3 +45,12 @@ def test_far_texts_are_rejected(spark):
     model = L.train(spark.createDataFrame(rows, "text string, lang string"))
     got = L.predict(spark.createDataFrame([("the and of it is that with from",), ("zzqx xkcd qqq wwv",)], "text string"), model).collect()
     assert [r["language"]["rejected"] for r in got] == [False, True]
+
+
+def test_language_of_mostly_copies(spark):
+    """Copies of a text do not push a language's other texts out of the sample."""
+    hot = spark.range(20_000).selectExpr("'the and of it is that' AS text", "'en' AS lang")
+    rows = [(f"the and of {chr(97 + i % 26) * 3} with {chr(97 + i // 26) * 4}", "en") for i in range(40)]
+    rows += [(f"der die das und {chr(97 + i % 26) * 3}", "de") for i in range(26)]
+    model = L.train(hot.unionByName(spark.createDataFrame(rows, "text string, lang string")), max_sample=20, centroids=20)
+    assert set(model["langs"]) == {"de", "en"} and model["langs"].count("en") >= 15

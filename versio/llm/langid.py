@@ -109,11 +109,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_s
     if not n:
         return None
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    # the hash below which about max_sample texts of a language lie keeps all
-    # but a bounded number of texts out of the grouping; the exact cut follows
-    sizes = materialize(known.groupBy("lang").count(), "lang-sizes")
-    sizes = sizes.withColumn("bar", F.least(F.lit(1.0), (max_sample + 6 * max_sample ** 0.5) / F.col("count")))
+    # the hash below which about max_sample distinct texts of a language lie keeps
+    # all but a bounded number of them out of the grouping; the exact cut follows
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
+    sizes = materialize(known.select("lang", place.alias("at")).distinct().groupBy("lang").count(), "lang-sizes")
+    sizes = sizes.withColumn("bar", F.least(F.lit(1.0), (max_sample + 6 * max_sample ** 0.5) / F.col("count")))
     some = known.join(checked_broadcast(sizes), "lang").withColumn("at", place).where("at <= bar")
     # copies of one text have one hash: count it once, so the sample stays bounded
     # and only counts are grouped, so long texts take no more room than short ones
