@@ -16,6 +16,7 @@ from . import sentencepiece as SP
 from . import simhash as SH
 from . import toxicity as TX
 from . import url_filter as UF
+from . import whitening as WH
 from .common import checked_broadcast
 
 #: Vocabulary file of a public tokenizer, installed on every node.
@@ -133,3 +134,11 @@ def q_line_dedup(spark, sf_dir):
     """All documents without repeated lines: doc_id, text, n_lines, n_removed
     (edit similarity alone decides, without a SimHash bound)."""
     return LD.dedup_lines(_table(spark, sf_dir, "documents"), max_bits=None).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op12_jacobi_davidson_whitening")
+def q_whitening(spark, sf_dir):
+    """Every vector along the four leading components of the distinct vectors, whitened."""
+    out = WH.whiten(_table(spark, sf_dir, "embeddings"), components=4, scale=256)
+    return out.select(F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened",
+                      "explained", "identity_error")
