@@ -12,6 +12,7 @@ from . import langid as LI
 from . import line_dedup as LD
 from . import oracles as O
 from . import quality as Q
+from . import repair as RP
 from . import sentencepiece as SP
 from . import simhash as SH
 from . import toxicity as TX
@@ -142,3 +143,23 @@ def q_whitening(spark, sf_dir):
     out = WH.whiten(_table(spark, sf_dir, "embeddings"), components=4, scale=256)
     return out.select(F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened",
                       "explained", "identity_error")
+
+
+def damaged(turns):
+    """``conversations`` damaged by the hash of conversation and turn, and how
+    often each row then comes: one row in twenty each is dropped, emptied,
+    stripped of its sentence marks, repeated, or made the user's."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind, text = F.crc32(key) % 20, F.coalesce("text", F.lit(" "))
+    return turns.where(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(kind == 3, 2).otherwise(1).alias("copies"))
+
+
+@query("op13_ida_star_repair")
+def q_repair(spark, sf_dir):
+    """Faults and cheapest repair of every damaged conversation."""
+    turns = _table(spark, sf_dir, "conversations")
+    rows, done = RP.repair(damaged(turns), copies_col="copies")
+    return RP.report(rows, done, turns)
