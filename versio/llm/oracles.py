@@ -52,3 +52,13 @@ SELECT conv_id, perspective, block, min(turn) AS from_turn, CAST(0 AS BIGINT) AS
        coalesce(list(CAST(stop - length(body) AS INTEGER) ORDER BY stop) FILTER (WHERE own), []) AS mask_starts,
        coalesce(list(CAST(stop AS INTEGER) ORDER BY stop) FILTER (WHERE own), []) AS mask_ends
 FROM o GROUP BY conv_id, perspective, block"""
+
+WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+                  row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST, url NULLS FIRST) AS nth,
+                  first_value(page_id) OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST, url NULLS FIRST) AS least
+           FROM pages)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN nth = 1 OR payload_bytes < 100 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 AND payload_bytes >= 100 THEN least END AS refers_to
+FROM p"""

@@ -17,6 +17,7 @@ from . import sentencepiece as SP
 from . import simhash as SH
 from . import toxicity as TX
 from . import url_filter as UF
+from . import warc as WA
 from . import whitening as WH
 from .common import checked_broadcast
 
@@ -137,6 +138,16 @@ def q_line_dedup(spark, sf_dir):
     return LD.dedup_lines(_table(spark, sf_dir, "documents"), max_bits=None).select("doc_id", "text", "n_lines", "n_removed")
 
 
+@query("op11_sharded_warc", O.WARC)
+def q_warc(spark, sf_dir):
+    """Every page as a record of sharded WARC files, as read back from them."""
+    pages = _table(spark, sf_dir, "pages")
+    id_type = pages.schema["page_id"].dataType
+    out = WA.archive(pages)
+    return out.select(F.col("page").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                      F.col("refers_to").cast(id_type).alias("refers_to"))
+
+
 @query("op12_jacobi_davidson_whitening")
 def q_whitening(spark, sf_dir):
     """Every vector along the four leading components of the distinct vectors, whitened."""
