@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.edit import char_distance, text_errors, word_distance
 from ..functions.text import ngrams, whitespace_words
 from .partitioning import spread_rows
 
@@ -94,42 +95,31 @@ def bleu(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N, partitio
 
 
 def word_edit_distance(hyp_words, ref_words) -> Column:
-    """Levenshtein distance over words. Each distinct word of the pair is
-    mapped to one code point U+10000+k, then the built-in character
-    ``levenshtein`` does the dynamic programme in the JVM. The pair's word
-    list is zipped to each word rather than referenced from the lambda, so
-    it is built once per row."""
-    h, r = _c(hyp_words), _c(ref_words)
-    vocab = F.array_distinct(F.concat(h, r))
-
-    def as_string(words):
-        zipped = F.arrays_zip(words.alias("w"), F.array_repeat(vocab, F.size(words)).alias("v"))
-        hexes = F.transform(zipped, lambda p: F.lpad(F.hex(F.array_position(p["v"], p["w"]) - 1 + 65536), 8, "0"))
-        return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-32")
-
-    return F.levenshtein(as_string(h), as_string(r))
+    """Levenshtein distance over the words of two word arrays."""
+    return word_distance(_c(hyp_words), _c(ref_words))
 
 
 def sentence_errors(df: DataFrame, key_cols, hyp_col, ref_col, partitions: int | None = None) -> DataFrame:
     """Per pair: character and word edit counts and reference lengths
-    (a missing hypothesis counts as an empty string)."""
-    h, r = _text(hyp_col), _text(ref_col)
-    hw, rw = whitespace_words(h), whitespace_words(r)
-    return spread_rows(df, partitions).select(*key_cols,
-                     F.levenshtein(h, r).alias("char_errors"), F.length(r).alias("ref_chars"),
-                     word_edit_distance(hw, rw).alias("word_errors"), F.size(rw).alias("ref_words"))
+    (a missing hypothesis counts as an empty string). Texts of any length:
+    memory grows with a text, not with the product of the two."""
+    e = spread_rows(df, partitions).select(*key_cols, text_errors(_text(hyp_col), _text(ref_col)).alias("_e"))
+    return e.select(*key_cols, "_e.*")
 
 
 def cer(df: DataFrame, hyp_col, ref_col, partitions: int | None = None) -> DataFrame:
     """One row: character edit operations over reference characters."""
     h, r = _text(hyp_col), _text(ref_col)
-    return spread_rows(df, partitions).agg((F.sum(F.levenshtein(h, r)) / F.sum(F.length(r))).alias("cer"))
+    e = spread_rows(df, partitions).select(char_distance(h, r).alias("_e"), F.length(r).alias("_n"))
+    return e.agg((F.sum("_e") / F.sum("_n")).alias("cer"))
 
 
 def wer(df: DataFrame, hyp_col, ref_col, partitions: int | None = None) -> DataFrame:
     """One row: word edit operations over reference words."""
     hw, rw = whitespace_words(_text(hyp_col)), whitespace_words(_text(ref_col))
-    return spread_rows(df, partitions).agg((F.sum(word_edit_distance(hw, rw)) / F.sum(F.size(rw))).alias("wer"))
+    e = spread_rows(df, partitions).select(hw.alias("_h"), rw.alias("_r"))
+    e = e.select(word_edit_distance("_h", "_r").alias("_e"), F.size("_r").alias("_n"))
+    return e.agg((F.sum("_e") / F.sum("_n")).alias("wer"))
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

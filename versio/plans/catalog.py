@@ -110,13 +110,28 @@ SELECT doc_id AS name, sha256(text) AS sha256,
 def q_verify_checksum(spark, sf_dir):
     """Digest of every document against pins by rule: the right one for a third
     of the ids, one of an altered text for another third, none for the rest.
-    (The same check of files is tested against hashlib.)"""
+    (``verify_files`` checks the files of the tables.)"""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!")))
     pins = docs.where(F.col("doc_id") % 3 != 2).select(F.col("doc_id").alias("name"), F.sha2(text, 256).alias("expected_sha256"))
     return FS.verify_contents(docs, pins, "doc_id", "text")
 
 
+@query("verify_files")
+def q_verify_files(spark, sf_dir):
+    """Digests of all table files against pins: those that Spark's whole-file
+    reader finds, but a wrong one for ``nation``, none for ``region`` and one
+    for a file that is not there."""
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(sf_dir)
+    table = F.regexp_extract("path", r"(\w+)\.parquet", 1)
+    name = F.regexp_extract("path", r"/(\w+\.parquet(/[^/]+)?)$", 1)
+    sha = F.sha2(F.when(table == "nation", F.lit(b"other")).otherwise(F.col("content")), 256)
+    pins = named.where(table != "region").select(name.alias("name"), sha.alias("expected_sha256"))
+    gone = pins.sparkSession.createDataFrame([("gone.parquet", "0" * 64)], pins.schema)
+    report = FS.verify_checksum(spark, sf_dir, pins.unionByName(gone), "*.parquet")
+    return report.select("name", "length", "sha256", "status")
+
+
 def _predictions(spark, sf_dir):
     """Prediction table of the test split: hypotheses are the reference's own
     target ids (an oracle model), decoded with the target vocabulary."""
@@ -144,12 +159,14 @@ def q_write_predictions(spark, sf_dir):
 SELECT run_id, epoch, round(train_loss, 9) AS train_loss, round(val_loss, 9) AS val_loss, seconds, global_step
 FROM history""")
 def q_append_history(spark, sf_dir):
-    """Epoch rows appended to a history table in two writes, read back whole."""
+    """Epoch rows appended to a history table in overlapping writes, one of them
+    repeated, read back: each epoch is there once."""
     path = _scratch(spark, "history")
     hist = H.epoch_summary(FX.batch_losses(spark, sf_dir))
-    FS.append_history(hist.where(F.col("epoch") <= 15), path)
-    FS.append_history(hist.where(F.col("epoch") > 15), path)
-    h = spark.read.parquet(path)
+    FS.append_history(hist.where(F.col("epoch") <= 20), path)
+    for _ in range(2):
+        FS.append_history(hist.where(F.col("epoch") > 10), path, key="second half")
+    h = FS.read_history(spark, path, "parquet")
     return h.select("run_id", "epoch", _r("train_loss").alias("train_loss"), _r("val_loss").alias("val_loss"),
                     "seconds", "global_step")
 

@@ -3,41 +3,23 @@ tables, and the guard against writing into a used output folder."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..schemas import HISTORY, PREDICTIONS
+from ..schemas import PREDICTIONS
+from .csv_options import CSV_OPTIONS
+from .digests import file_digests
+from .histories import append_history, compact_history, export_history_csv, read_history
 
-# CSV options that keep texts as they are. Outer spaces stay,
-# embedded quotes and newlines are quoted the RFC 4180 way, and null is \\N; a
-# text that starts with a backslash is written with one more, so none reads as null.
-CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "nullValue": "\\N", "encoding": "UTF-8",
-               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
-
-def file_digests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``(path, name, length, sha256)`` of every file under ``path``.
-
-    Each file becomes one binary cell of the ``binaryFile`` source, so a
-    single file must stay under 2 GB; the files themselves are hashed in
-    parallel, one task per split of the listing.
-    """
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path)
-    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
-                        "length", F.sha2(F.col("content"), 256).alias("sha256"))
-
-
-def verify_checksum(spark: SparkSession, path: str, expected: dict, glob: str | None = None) -> DataFrame:
-    """Digests compared with pinned values keyed by file name; a missing pin
-    or a mismatch is reported in ``status``."""
-    pins = spark.createDataFrame(list(expected.items()), "name string, expected_sha256 string")
-    got = file_digests(spark, path, glob)
-    # one row per pinned file: bounded by the pin list
-    return got.join(F.broadcast(pins), "name", "left").withColumn(
-        "status", F.when(F.col("expected_sha256").isNull(), F.lit("unpinned"))
-        .when(F.col("sha256") == F.col("expected_sha256"), F.lit("ok")).otherwise(F.lit("mismatch")))
+def verify_checksum(spark: SparkSession, path: str, expected: dict | DataFrame, glob: str | None = None) -> DataFrame:
+    """Digests of the files under ``path`` compared with the pinned ones, by
+    name below ``path`` (a dict, or a table ``name, expected_sha256``). Status
+    ``ok``, ``mismatch``, ``unpinned`` (no pin) or ``absent`` (a pin without a
+    file, whose other columns are null)."""
+    pins = expected if isinstance(expected, DataFrame) else spark.createDataFrame(
+        list(expected.items()), "name string, expected_sha256 string")
+    status = (F.when(F.col("sha256").isNull(), "absent").when(F.col("expected_sha256").isNull(), "unpinned")
+              .when(F.col("sha256") == F.lower("expected_sha256"), "ok").otherwise("mismatch"))
+    return file_digests(spark, path, glob).join(pins, "name", "full").withColumn("status", status)
 
 
 def verify_contents(rows: DataFrame, pins: DataFrame, name_col: str, content_col: str) -> DataFrame:
@@ -73,33 +55,6 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("prediction", F.coalesce(F.col("prediction"), F.lit("")))
 
 
-def append_history(history: DataFrame, path: str) -> None:
-    """Add epoch rows to a run's history table (Parquet, schema fixed)."""
-    cols = [F.col(f.name).cast(f.dataType) for f in HISTORY.fields]
-    extra = [c for c in history.columns if c == "run_id"]
-    history.select(*extra, *cols).write.mode("append").parquet(path)
-
-
-def export_history_csv(history: DataFrame, path: str) -> None:
-    """History rows as CSV with their ``run_id``, if they have one; a used
-    folder is never overwritten."""
-    run = [c for c in history.columns if c == "run_id"]
-    history.select(*run, *[f.name for f in HISTORY.fields]).write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
-
-
-def read_history(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Typed history read; an empty history is an error."""
-    if fmt == "csv":
-        named = spark.read.options(header="true").csv(path).columns  # the header line
-        run = [T.StructField("run_id", T.StringType())] if "run_id" in named else []
-        df = spark.read.schema(T.StructType(run + HISTORY.fields)).options(header="true").csv(path)
-    else:
-        df = spark.read.parquet(path)
-    if df.isEmpty():
-        raise ValueError(f"history at {path} has no epochs")
-    return df
-
-
 def ensure_new_output(spark: SparkSession, path: str, resume: bool = False) -> None:
     """Refuse a non-empty output folder unless resuming (writers then use
     ``errorifexists`` so a race cannot overwrite either)."""
@@ -107,3 +62,7 @@ def ensure_new_output(spark: SparkSession, path: str, resume: bool = False) -> N
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(jpath) and fs.listStatus(jpath) and not resume:
         raise FileExistsError(f"output folder {path} is not empty; resume instead")
+
+
+__all__ = ["CSV_OPTIONS", "append_history", "compact_history", "ensure_new_output", "export_history_csv", "file_digests", "read_history",
+           "read_predictions", "require_checksums", "verify_checksum", "verify_contents", "write_predictions"]
