@@ -175,3 +175,20 @@ def test_rank_with_several_files_per_partition(spark):
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     want = {i: pos for pos, (i, _) in enumerate(sorted(rows, key=lambda x: (x[1], x[0])), 1)}
     assert got == want
+
+
+def test_boundaries_through_all_levels(spark, monkeypatch):
+    """Few collected keys, few digits, and copies that no digit tells apart."""
+    from versio.operators import sampling as S
+    rows = [(i, 0) for i in range(300)] + [(7, j) for j in range(1, 200)]
+    df = spark.createDataFrame(rows, "id long, row_key long").withColumn("key", S.order_key(spark.createDataFrame(rows, "id long, row_key long"), 5))
+    want = sorted(rows, key=lambda r: (hashlib.md5(f"5:{r[0]}".encode()).hexdigest(), r))
+    places = [1, 2, 50, 100, 250, 333, 400, 498, 499]
+    for few, digits in ((4096, 4), (3, 1), (1, 1)):
+        monkeypatch.setattr(S, "COLLECTED_KEYS", few)
+        monkeypatch.setattr(S, "BUCKET_DIGITS", digits)
+        total, at = S.boundary_keys(df, "key", lambda n: places)
+        assert total == 499 and sorted(at) == places
+        for p in places:
+            assert df.where(F.col("key") <= at[p]).count() == p
+            assert [tuple(r) for r in df.where(F.col("key") == at[p]).select("id", "row_key").collect()] == [want[p - 1]]

@@ -6,8 +6,8 @@ source position where the rows carry one. The same seed gives the same rows on
 any cluster size, and DuckDB computes the same hex.
 
 A sample or a split only needs a few boundary keys, not a rank of every row:
-``boundary_keys`` finds them exactly from a fixed-size histogram of the hash and
-the keys of the few buckets that hold a boundary, and every row is labelled by
+``boundary_keys`` finds them exactly from a fixed-size histogram of the hash,
+divided further where it holds a boundary, and every row is labelled by
 comparing its own key. No text is moved, and one plan serves every size.
 """
 
@@ -19,6 +19,8 @@ from .rank import exact_rank, remove_table
 
 #: Buckets of the histogram: the first four hex digits of the hash.
 BUCKET_DIGITS = 4
+#: Digits of the hash, and keys of a bucket that are few enough to be collected.
+HASH_DIGITS, COLLECTED_KEYS = 32, 4096
 
 
 def shuffle_key(seed, id_col: str = "id") -> Column:
@@ -54,29 +56,59 @@ def boundary_keys(df: DataFrame, key_col: str, positions) -> tuple[int, dict]:
     the literal key of the row there in the order of ``key_col``, a struct that
     starts with a hex hash ``h``.
 
-    One aggregation counts rows per hash bucket (a fixed number of buckets).
-    Only the keys of the buckets that hold a position are ranked, with a range
-    exchange, so a bucket full of copies is spread as well. Rows with equal keys
-    (repeated ids without ``row_key``) fall on the same side of a boundary."""
-    bucket = F.conv(F.substring(f"{key_col}.h", 1, BUCKET_DIGITS), 16, 10).cast("int")
-    hist = sorted((r[0], r[1]) for r in df.groupBy(bucket.alias("b")).count().collect())  # 16 ** BUCKET_DIGITS rows at most
-    total, inside, before = sum(n for _, n in hist), {}, 0
+    An aggregation counts rows per hash bucket (a fixed number of buckets). The
+    buckets that hold a position are divided by the next digits of the hash, all
+    in one aggregation, until they hold few keys, which are collected. Where all
+    digits are used up (a group of copies) the keys are ranked with a range
+    exchange, so such a group is spread as well. Rows with equal keys (repeated
+    ids without ``row_key``) fall on the same side of a boundary."""
+    h = F.col(f"{key_col}.h")
+
+    def counts(rows: DataFrame, digits: int) -> list[tuple[str, int]]:
+        """Rows per prefix, in order: 16 ** BUCKET_DIGITS at most per prefix before."""
+        return sorted((r[0], r[1]) for r in rows.groupBy(F.substring(h, 1, digits).alias("b")).count().collect())
+
+    hist = counts(df, BUCKET_DIGITS)
+    total = sum(n for _, n in hist)
     wanted = sorted({p for p in positions(total) if 1 <= p <= total})
-    for b, n in hist:
-        for p in wanted:
-            if before < p <= before + n:
-                inside.setdefault(b, {})[p - before] = p
-        before += n
-    out = {}
-    for b, places in inside.items():
-        keys = df.where(bucket == b).select(f"{key_col}.*")
+    places, out, digits = _placed(hist, {p: p for p in wanted}), {}, BUCKET_DIGITS
+    while True:
+        few = {b: (n, at) for b, (n, at) in places.items() if n <= COLLECTED_KEYS}
+        if few:
+            keys = df.where(F.substring(h, 1, digits).isin(list(few))).select(f"{key_col}.*")
+            keys = keys.orderBy(*keys.columns).collect()
+            for b, (_, at) in few.items():
+                inside = [r for r in keys if r["h"].startswith(b)]
+                out |= {p: _literal(df, key_col, inside[i - 1]) for p, i in at.items()}
+        places = {b: v for b, v in places.items() if b not in few}
+        if not places or digits >= HASH_DIGITS:
+            break
+        rest = df.where(F.substring(h, 1, digits).isin(list(places)))
+        digits += BUCKET_DIGITS
+        hist = counts(rest, digits)
+        places = {b: v for up, (_, at) in places.items() for b, v in _placed([x for x in hist if x[0].startswith(up)], at).items()}
+    for b, (_, at) in places.items():
+        keys = df.where(h == b).select(f"{key_col}.*")
         ranked, path = exact_rank(keys, keys.columns, rank_col="_place", with_path=True)
-        for r in ranked.where(F.col("_place").isin(list(places))).collect():
-            out[places[r["_place"]]] = _literal(df, key_col, r)
+        back = {i: p for p, i in at.items()}
+        for r in ranked.where(F.col("_place").isin(list(back))).collect():
+            out[back[r["_place"]]] = _literal(df, key_col, r)
         remove_table(df.sparkSession, path)
     return total, out
 
 
+def _placed(hist: list[tuple[str, int]], at: dict[int, int]) -> dict[str, tuple[int, dict[int, int]]]:
+    """The buckets that hold one of the places ``at`` (by position): their size
+    and the places counted from their own first row."""
+    out, before = {}, 0
+    for b, n in hist:
+        inside = {p: i - before for p, i in at.items() if before < i <= before + n}
+        if inside:
+            out[b] = n, inside
+        before += n
+    return out
+
+
 def _literal(df: DataFrame, key_col: str, row) -> Column:
     def lit(value, kind):
         if hasattr(kind, "fields"):
@@ -128,7 +160,10 @@ def split_train_val_test(df: DataFrame, seed: int, max_samples: int | None = Non
             raise ValueError(f"at least {MIN_SELECTED_ROWS} pairs are needed, got {selected}")
         return min(split_size(selected), selected), min(2 * split_size(selected), selected), selected
 
-    count, at = boundary_keys(keys, "split_key", sizes)
+    def needed(count: int) -> tuple[int, ...]:
+        return sizes(count)[:2 if sizes(count)[2] == count else 3]  # nothing is cut off behind the last row
+
+    count, at = boundary_keys(keys, "split_key", needed)
     test, val, selected = sizes(count)
     out = keyed.where(F.col("split_key") <= at[selected]) if selected < count else keyed
     label = F.lit("train")

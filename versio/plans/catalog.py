@@ -22,6 +22,7 @@ from ..operators import manifest as M
 from ..operators import metrics as X
 from ..operators import sampling as S
 from ..operators import vocab as V
+from ..operators.partitioning import spread_rows
 from ..session import ensure_checkpoint_dir
 from ..sources import files as FS
 from ..sources.pairs import load_fixture_pairs, project_lang, read_pairs
@@ -60,12 +61,28 @@ def _scratch(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def _dealt(df, table):
+    """``df`` dealt to all cores if ``table``, where it comes from, is a single
+    file: that would be one task for all the text work. Tables of several files
+    are read as they come."""
+    return spread_rows(df, table.sparkSession.sparkContext.defaultParallelism if len(table.inputFiles()) == 1 else None)
+
+
+def _documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _dealt(docs.select("doc_id", "text", "lang"), docs)
+
+
+def _pairs(spark, sf_dir):
+    return _dealt(load_fixture_pairs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def _split(spark, sf_dir, max_samples=None):
-    return split_pairs(load_fixture_pairs(spark, sf_dir), SEED, max_samples)
+    return split_pairs(_pairs(spark, sf_dir), SEED, max_samples)
 
 
 def _prepared(spark, sf_dir, seq_len=SEQ_LEN, with_decoder_mask=False):
-    return prepare(load_fixture_pairs(spark, sf_dir), SEED, None, seq_len,
+    return prepare(_pairs(spark, sf_dir), SEED, None, seq_len,
                    with_decoder_mask=with_decoder_mask)
 
 
@@ -206,7 +223,7 @@ def q_no_overwrite_sink(spark, sf_dir):
 @query("project_lang", _with(O.pairs_cte()) + "SELECT id, it AS text FROM pairs")
 def q_project_lang(spark, sf_dir):
     """One language of every pair."""
-    p = load_fixture_pairs(spark, sf_dir)
+    p = _pairs(spark, sf_dir)
     return p.select("id", project_lang(p, "it", "text"))
 
 
@@ -246,7 +263,7 @@ def q_reject_overlong(spark, sf_dir):
 @query("seeded_shuffle", _with(O.split_ctes(SEED)) + "SELECT id, shuffle_rank FROM split")
 def q_seeded_shuffle(spark, sf_dir):
     """Position of every pair in the seed-42 permutation."""
-    p = load_fixture_pairs(spark, sf_dir)
+    p = _pairs(spark, sf_dir)
     return S.seeded_shuffle(p, SEED).select("id", "shuffle_rank")
 
 
@@ -254,7 +271,7 @@ def q_seeded_shuffle(spark, sf_dir):
 SELECT id FROM pairs ORDER BY md5(concat('{SEED}', ':', id)), id LIMIT {SAMPLE_N}""")
 def q_sample_n(spark, sf_dir):
     """The first 100 pairs of the seed-42 permutation."""
-    return S.sample_n(load_fixture_pairs(spark, sf_dir), SAMPLE_N, SEED).select("id")
+    return S.sample_n(_pairs(spark, sf_dir), SAMPLE_N, SEED).select("id")
 
 
 @query("split_train_val_test", _with(O.split_ctes(SEED)) + "SELECT id, split FROM split")
@@ -303,7 +320,7 @@ def q_eval_limit(spark, sf_dir):
 SELECT doc_id, regexp_extract_all(text, '{O.PRE_RE2}') AS tokens FROM documents""")
 def q_pre_tokenize(spark, sf_dir):
     """Word/punctuation tokens of every whole document."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = _documents(spark, sf_dir)
     return d.select("doc_id", pre_tokenize("text").alias("tokens"))
 
 
@@ -313,7 +330,7 @@ FROM (SELECT lang, unnest(regexp_extract_all(text, '{O.PRE_RE2}')) AS token FROM
 GROUP BY lang, token""")
 def q_word_counts(spark, sf_dir):
     """Token frequencies per document language over all documents."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = _documents(spark, sf_dir)
     return V.word_counts_by_column(d, "text", "lang")
 
 
@@ -333,7 +350,7 @@ UNION ALL
 SELECT 'doc', token, CAST(id AS INTEGER) FROM (VALUES ('[UNK]', 0), ('[PAD]', 1), ('[SOS]', 2), ('[EOS]', 3)) s(token, id)""")
 def q_build_vocab_documents(spark, sf_dir):
     """The capped vocabulary on a corpus with more candidates than the cap."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = _documents(spark, sf_dir)
     return V.build_vocab(V.word_counts(d, {"doc": "text"}), ["doc"])
 
 
@@ -364,7 +381,7 @@ LEFT JOIN vocab v ON v.lang = 'en' AND v.token = t.token""")
 def q_token_to_id(spark, sf_dir):
     """Every token of every document looked up in the source vocabulary."""
     vocab = V.train_vocab(_split(spark, sf_dir), {"en": "src_text", "it": "tgt_text"})
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = _documents(spark, sf_dir)
     toks = d.select("doc_id", F.posexplode(pre_tokenize("text")).alias("pos", "token"))
     return V.token_to_id(toks, "token", vocab, "en").select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "token", "token_id")
@@ -399,7 +416,7 @@ SELECT d.doc_id, coalesce(e.ids, []::INTEGER[]) AS ids FROM documents d LEFT JOI
 def q_encode_documents(spark, sf_dir):
     """Whole documents (up to 20,000 words) through the source vocabulary."""
     vocab = V.train_vocab(_split(spark, sf_dir), {"en": "src_text", "it": "tgt_text"})
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = _documents(spark, sf_dir)
     return E.encode_ids(d, ["doc_id"], {"ids": ("text", "en")}, vocab)
 
 
@@ -772,7 +789,7 @@ g AS (
 SELECT id, n, gram, count(*) AS count FROM g GROUP BY id, n, gram""")
 def q_ngram_counts(spark, sf_dir):
     """Word 1- to 4-gram counts of every reference text."""
-    p = load_fixture_pairs(spark, sf_dir)
+    p = _pairs(spark, sf_dir)
     return X.ngram_counts(p.select("id", project_lang(p, "it", "text")), ["id"], "text").select(
         "id", "n", "gram", "count")
 
@@ -802,7 +819,7 @@ FROM agg, lens"""
 
 
 def _metric_pairs(spark, sf_dir):
-    p = load_fixture_pairs(spark, sf_dir)
+    p = _pairs(spark, sf_dir)
     return p.select("id", project_lang(p, "en", "hyp"), project_lang(p, "it", "ref"))
 
 
@@ -894,7 +911,7 @@ SELECT (SELECT count(*) FROM pairs) AS original_examples,
        42 AS split_seed""")
 def q_data_manifest(spark, sf_dir):
     """The manifest counts of one run."""
-    pairs = load_fixture_pairs(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir)
     p = prepare(pairs, SEED, None, SEQ_LEN, with_decoder_mask=False)
     m = M.data_manifest(M.manifest_counts(p.split, p.kept, p.vocab, "en", "it"), SEED,
                         {"kind": "local_parquet", "filename": "conversations.parquet"})
@@ -919,7 +936,7 @@ def _manifest_of(counts, seed, run_id, software, digest="a"):
 
 def _three_manifests(spark, sf_dir):
     """A baseline, a rerun with another library version, and another seed."""
-    pairs = load_fixture_pairs(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir)
     counts, other = _manifest_counts(spark, pairs, SEED), _manifest_counts(spark, pairs, SEED + 1)
     return (_manifest_of(counts, SEED, "base", {"pyspark": "4.1.2"})
             .unionByName(_manifest_of(counts, SEED, "rerun", {"pyspark": "4.1.3"}))
