@@ -1,15 +1,19 @@
 """Helpers shared by the training-data operators."""
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.rank import remove_table
 from ..session import ensure_checkpoint_dir
 
-#: A side with at most this many key rows (a few tens of MB) is broadcast;
-#: beyond it the same join runs as a shuffle join.
-BROADCAST_ROWS = 500_000
+#: A side with at most this many rows and bytes is broadcast; beyond it the
+#: same join runs as a shuffle join.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -17,19 +21,51 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end, but for
+    those it is told to keep: nothing else may be read later."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove_table(spark, path)
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the
-    lineage is cut, and a lost executor only costs re-reading files."""
+    lineage is cut, and a lost executor only costs re-reading files. ``keep``
+    hands the table over to what is around the innermost ``scratch_tables``."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
+    level = _scratch[:-1] if keep else _scratch
+    if level:
+        level[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(value).cast("long")
+    if isinstance(kind, T.StructType):
+        return sum((F.coalesce(_value_bytes(value[f.name], f.dataType), F.lit(0)) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        return F.aggregate(value, F.lit(16).cast("long"), lambda n, x: n + F.coalesce(_value_bytes(x, kind.elementType), F.lit(8)))
+    return F.lit(8).cast("long")
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if it is proven to have at most
-    ``max_rows`` rows, else unchanged (the join then shuffles). ``df`` should
-    be a written table: it is counted."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    ``max_rows`` rows and ``max_bytes`` bytes, else unchanged (the join then
+    shuffles). ``df`` should be a written table: it is read for that."""
+    size = sum((F.coalesce(_value_bytes(F.col(f.name), f.dataType), F.lit(8)) for f in df.schema.fields), F.lit(0))
+    rows, held = df.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if rows <= max_rows and (held or 0) <= max_bytes else df
 
 
 def with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
