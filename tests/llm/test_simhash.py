@@ -76,6 +76,13 @@ def test_edge_cases(spark):
     assert S.simhash_groups(df.where("false")).count() == 0
 
 
+def test_one_id_with_different_texts(spark):
+    """Documents are dropped by id and text: the group of the second text keeps one."""
+    a, b = "first text of four", "another one with other words"
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (2, b)], "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in S.keep_first(df).collect()) == [(1, a), (2, b)]
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     hub = [(1, i) for i in range(2, 60)] + [(7, 1), (3, 3)]

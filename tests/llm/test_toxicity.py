@@ -61,3 +61,12 @@ def test_edge_cases(spark):
     assert got[None]["toxic"] > 0.5 and got[202]["toxic"] > 0.5 and got[200]["toxic"] == got[201]["toxic"] == 0.0
     assert T.toxicity(docs, labels.where("false"), ["toxic"]).first()["toxicity"]["toxic"] == 0.0
     assert T.toxicity(docs.where("false"), labels, ["toxic"]).count() == 0
+
+
+def test_counts_of_long_texts_are_whole():
+    """No bound on how often an n-gram is counted, also over block ends."""
+    from versio.llm import toxicity as TX
+    bucket = int(next(TX.grams("idiot"))[1])  # the word with the space before it is [0]
+    column = np.full(TX.BUCKETS, -1, np.int16)
+    column[bucket] = 0
+    assert TX.gram_counts("idiot " * 1000, column, 1)[0] == 1000

@@ -81,9 +81,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, id_col:
     one = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
            .groupBy(id_col).agg(F.min(label_col).cast("double").alias("__label")))
     one = materialize(one.orderBy(F.xxhash64(id_col), id_col).limit(max_labels), "quality-labels")
-    rows = (docs.join(checked_broadcast(one), id_col).select(features_udf(text_col).alias("f"), F.col("__label").alias("label"))
-            .where("f is not null").select(array_to_vector("f").alias("features"), "label"))
-    rows = materialize(rows.repartition(4), "quality-train")
+    # written before the features are made: a filter on them would be pushed below the join
+    known = docs.join(checked_broadcast(one), id_col).select(F.col(text_col).alias("text"), F.col("__label").alias("label"))
+    known = materialize(known.where("text is not null").repartition(12), "quality-known")
+    rows = materialize(known.select(features_udf("text").alias("f"), "label"), "quality-train")
+    rows = rows.where("f is not null").select(array_to_vector("f").alias("features"), "label")
     stats = rows.agg(F.avg("label").alias("mean"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
     if stats["lo"] is None or stats["lo"] == stats["hi"]:
         return None

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, connected_components, drop_ids, materialize
+from .common import checked_broadcast, connected_components, materialize, scratch_tables
 
 BITS = 64
 #: Fingerprints with one segment value beyond which its index entries get
@@ -155,14 +155,24 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                max_bits: int = 2, seed: int = 42) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id.
-    Rows without an id are kept; a repeated id is kept once."""
-    groups = materialize(simhash_groups(docs, id_col, text_col, shingle, max_bits, seed)
-                         .select(F.col("doc_id").alias(id_col), "component_id"), "simhash-groups")
-    gone = materialize(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "simhash-gone")
-    kept = drop_ids(docs, gone, id_col)
-    again = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1")
+    """``docs`` with one document of each group, the one with the smallest id
+    (of rows with that id, the one with the smallest hash of id and text).
+    Documents are told apart by id and text, so an id that comes with different
+    texts is a document of each text's group, and repeated rows come back once.
+    Rows without an id are kept."""
+    with scratch_tables(docs.sparkSession):
+        named = docs.where(F.col(id_col).isNotNull())
+        row = F.xxhash64(id_col, text_col)
+        keyed = named.select(F.struct(F.col(id_col).alias("id"), row.alias("row")).alias("at"), F.col(text_col).alias("text"))
+        groups = simhash_groups(keyed, "at", "text", shingle, max_bits, seed)
+        # a group is known by its smallest (id, row): the document that stays
+        gone = materialize(groups.where("doc_id != component_id").select(
+            F.col("doc_id.id").alias("__id"), F.col("doc_id.row").alias("__row")).distinct(), "simhash-gone", keep=True)
+        again = materialize(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(
+            F.col("doc_id.id").alias("__id"), F.col("doc_id.row").alias("__row")), "simhash-again", keep=True)
+    here = (F.col(id_col) == F.col("__id")) & (F.xxhash64(id_col, text_col) == F.col("__row"))
+    kept = docs.join(checked_broadcast(gone), here, "left_anti")
     if again.isEmpty():
         return kept
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+    copies = kept.join(checked_broadcast(again), here, "left_semi")
+    return kept.join(checked_broadcast(again), here, "left_anti").unionByName(copies.dropDuplicates([id_col, text_col]))

@@ -43,12 +43,12 @@ def grams(text: str) -> Iterator[np.ndarray]:
 
 
 def gram_counts(text: str, column: np.ndarray, width: int) -> np.ndarray:
-    """How often the chosen n-grams (``column``: bucket to feature, or -1) occur, up to 255."""
+    """How often the chosen n-grams (``column``: bucket to feature, or -1) occur."""
     out = np.zeros(width, np.int64)
     for h in grams(text):
         at = column[h]
         out += np.bincount(at[at >= 0], minlength=width)
-    return np.minimum(out, 255).astype(np.uint8)
+    return out.astype(np.int32)
 
 
 def bucket_counts(rows: DataFrame, categories: list[str]) -> DataFrame:
@@ -170,7 +170,7 @@ def train(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", te
         return pa.array([gram_counts(t.as_py(), column, width).tobytes() for t in texts], pa.binary())
 
     got = rows.select("at", F.arrow_udf(packed, "binary")("text").alias("x"), *categories).orderBy("at").collect()  # max_labels rows
-    x = np.log1p(np.frombuffer(b"".join(r["x"] for r in got), np.uint8).reshape(len(got), width).astype(np.float32))
+    x = np.log1p(np.frombuffer(b"".join(r["x"] for r in got), np.int32).reshape(len(got), width).astype(np.float32))
     labels = np.array([[r[c] for c in categories] for r in got])
     fold = np.array([r["at"] for r in got]) % folds
     return {"chosen": chosen, "models": fit_chain(x, labels, fold), "categories": list(categories)}
