@@ -57,6 +57,51 @@ def cross_entropy(df: DataFrame, logits: str, label: str, smoothing: float = LAB
         F.avg(loss).alias("loss"), F.count_if(keep).alias("tokens"))
 
 
+#: Scores of a position are summed in bins of this width, so that no exponential
+#: in a bin overflows or vanishes.
+SCORE_BIN = 512
+
+
+def position_losses(scores: DataFrame, labels: DataFrame, key_cols=("pair_id", "step"), token_col: str = "token_id",
+                    score_col: str = "score", label_col: str = "label", smoothing: float = LABEL_SMOOTHING,
+                    ignore_index: int = PAD_ID) -> DataFrame:
+    """``(key..., loss)`` of every position from long scores, one row per token.
+
+    The log-sum-exp is a two-phase aggregation of parts that can be merged: per
+    position and bin of scores the sum of the exponentials scaled by the bin's
+    upper end, then the two highest bins (what lies lower is below rounding). A
+    position's scores may lie in any number of rows and tasks. Joined and
+    aggregated by the position's key, the scores are shuffled once. Positions
+    with an ignored or null label, or without scores, do not come back; one
+    whose label has no score is an error. Minus infinity is a masked token."""
+    wanted = labels.where(F.col(label_col) != ignore_index).select(*key_cols, F.col(label_col).alias("_label"))
+    x = F.col(score_col).cast("double")
+    odd = F.isnan(x) | (x == float("inf"))
+    rows = scores.join(wanted, list(key_cols)).select(
+        *key_cols, x.alias("_x"), F.when(F.col(token_col) == F.col("_label"), x).alias("_own"),
+        F.when(~odd & (x != float("-inf")), F.rint(x / SCORE_BIN - 0.5)).alias("_bin"), F.when(odd, x).alias("_odd"))
+    parts = rows.groupBy(*key_cols, "_bin").agg(
+        F.sum(F.exp(F.col("_x") - (F.col("_bin") + 1) * float(SCORE_BIN))).alias("_s"), F.sum("_x").alias("_sum"),
+        F.count(F.lit(1)).alias("_n"), F.max("_own").alias("_own"), F.max("_odd").alias("_odd"))
+    bins = F.sort_array(F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct("_bin", "_s"))), asc=False)
+    whole = parts.groupBy(*key_cols).agg(bins.alias("_bins"), F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"),
+                                         F.max("_own").alias("_own"), F.max("_odd").alias("_odd"))
+    top, next_ = F.get("_bins", F.lit(0)), F.get("_bins", F.lit(1))
+    below = F.coalesce(next_["_s"] * F.exp((next_["_bin"] - top["_bin"]) * F.lit(float(SCORE_BIN))), F.lit(0.0))
+    lse = (F.when(F.col("_odd").isNotNull(), F.col("_odd")).when(top.isNull(), F.lit(float("-inf")))
+           .otherwise((top["_bin"] + 1) * F.lit(float(SCORE_BIN)) + F.log(top["_s"] + below)))
+    own = F.coalesce("_own", F.raise_error("no score for the label of a position").cast("double"))
+    loss = lse - own
+    if smoothing:
+        loss = (1.0 - smoothing) * loss + smoothing * (lse - F.col("_sum") / F.col("_n"))
+    return whole.select(*key_cols, loss.alias("loss"))
+
+
+def cross_entropy_of_scores(scores: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """One row ``loss, tokens`` like ``cross_entropy``, from long scores."""
+    return position_losses(scores, labels, **settings).agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("tokens"))
+
+
 def label_tokens(label_ids) -> Column:
     """Non-``[PAD]`` label positions of a row (``[EOS]`` included)."""
     return non_pad_count(label_ids)

@@ -560,6 +560,16 @@ def q_smoothed_ce(spark, sf_dir):
     return r.select(_r("loss").alias("loss"), "tokens")
 
 
+@query("cross_entropy_of_scores", _loss_sql(0.1))
+def q_cross_entropy_of_scores(spark, sf_dir):
+    """The same loss from scores in long form, a row per position and token."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    labels = e.select(F.floor(F.col("vec_id") / FX.STEPS_PER_PAIR).alias("pair_id"),
+                      (F.col("vec_id") % FX.STEPS_PER_PAIR).alias("step"), "label")
+    r = L.cross_entropy_of_scores(FX.long_scores(spark, sf_dir), labels)
+    return r.select(_r("loss").alias("loss"), "tokens")
+
+
 @query("cross_entropy", _loss_sql(0.0))
 def q_ce(spark, sf_dir):
     """Mean plain cross entropy of the logits table, PAD labels ignored."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import manifest as M
 from ..operators.vocab import load_or_train_vocab
-from ..sources.files import ensure_new_output
+from ..sources.files import claim_output
 from .prepare import Prepared, prepare, split_pairs
 
 
@@ -28,7 +28,7 @@ def prepare_run(spark: SparkSession, pairs: DataFrame, run_dir: str, seed: int =
                 software: dict | None = None) -> tuple[Prepared, DataFrame]:
     """``(prepared, manifest)``; writes ``vocab/``, ``model_inputs/`` and
     ``data_manifest/`` (one JSON document) under ``run_dir``."""
-    ensure_new_output(spark, run_dir, resume=resume)
+    claim_output(spark, run_dir, resume=resume)
     split = split_pairs(pairs, seed, max_samples, src, tgt)
     vocab = load_or_train_vocab(spark, f"{run_dir}/vocab", split, {src: "src_text", tgt: "tgt_text"})
     prepared = prepare(pairs, seed, max_samples, seq_len, src, tgt, with_decoder_mask=False,

@@ -1,10 +1,13 @@
 """File-level sources and sinks: checksums, prediction CSV, history
 tables, and the guard against writing into a used output folder."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PREDICTIONS
+from .appends import publish
 from .csv_options import CSV_OPTIONS
 from .digests import file_digests
 from .histories import append_history, compact_history, export_history_csv, read_history
@@ -64,5 +67,14 @@ def ensure_new_output(spark: SparkSession, path: str, resume: bool = False) -> N
         raise FileExistsError(f"output folder {path} is not empty; resume instead")
 
 
-__all__ = ["CSV_OPTIONS", "append_history", "compact_history", "ensure_new_output", "export_history_csv", "file_digests", "read_history",
+def claim_output(spark: SparkSession, path: str, resume: bool = False) -> None:
+    """``ensure_new_output`` for runs that may start at the same time: of all
+    that find the folder unused exactly one gets it, by creating its ``_claim``
+    file. The others fail, as does a later run that does not resume."""
+    ensure_new_output(spark, path, resume)
+    if not publish(spark, f"{path}/_claim", uuid.uuid4().hex) and not resume:
+        raise FileExistsError(f"output folder {path} was taken by another run; resume instead")
+
+
+__all__ = ["CSV_OPTIONS", "append_history", "claim_output", "compact_history", "ensure_new_output", "export_history_csv", "file_digests", "read_history",
            "read_predictions", "require_checksums", "verify_checksum", "verify_contents", "write_predictions"]
