@@ -26,7 +26,7 @@ def plain(rows):
 
 def joined(df):
     out = {}
-    for r in sorted(df.collect(), key=lambda r: (r["block"], r["from_turn"] is not None, r["from_turn"] or 0, r["part"])):
+    for r in sorted(df.collect(), key=lambda r: r["block"]):
         text, masked = out.get((r["conv_id"], r["perspective"]), ("", []))
         out[(r["conv_id"], r["perspective"])] = (text + r["text"], masked + [
             r["text"][a:b] for a, b in zip(r["mask_starts"], r["mask_ends"], strict=True)])
@@ -49,18 +49,35 @@ def test_against_plain_version(spark, monkeypatch):
     assert all(v == sum(x[0] == c for x in rows) for (c, _), v in counts.items())
 
 
-def test_crowded_blocks_are_cut(spark, monkeypatch):
-    """One conversation with very many rows of one number: same content, bounded rows."""
-    monkeypatch.setattr(C, "BLOCK_ROWS", 50)
-    monkeypatch.setattr(C, "PIECE_ROWS", 10)
-    rows = [(1, 3, "ann" if i % 2 else "bob", f"tie {i}") for i in range(200)] + [(1, 2, "bob", "before"), (1, 4, "ann", "after"), (2, 1, "bob", "x")]
-    out = C.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    assert max(r["n_turns"] for r in out.collect()) < 50
-    got = joined(out)
-    for key, (text, masked) in plain(rows).items():
-        assert sorted(got[key][0].split(C.END)) == sorted(text.split(C.END)) and sorted(got[key][1]) == sorted(masked)
-        if key[0] == 1:
-            assert "before" in got[key][0].split(C.END)[0] and "after" in got[key][0].split(C.END)[-2]
+def test_one_rule_at_all_sizes(spark):
+    """Conversations with very many rows of one turn number, also around the old bounds."""
+    rows = [(n, 3, "ann" if i % 2 else "bob", f"tie {i}") for n in (63, 64, 65, 1000, 1100) for i in range(n - 2)]
+    rows += [(n, t, "bob", x) for n in (63, 64, 65, 1000, 1100) for t, x in ((2, "before"), (4, "after"))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = C.rotate(df.repartition(3))
+    assert joined(out) == plain(rows)
+    sizes = {}
+    for r in out.collect():
+        sizes.setdefault((r["conv_id"], r["perspective"]), {})[r["block"]] = r["n_turns"]
+    for (n, _), blocks in sizes.items():
+        assert [blocks[b] for b in sorted(blocks)] == [64] * (n // 64) + ([n % 64] if n % 64 else [])
+
+
+def test_sql_of_null_ids_and_ties(spark, tmp_path):
+    """The registered SQL gives the same rows where ids and turns are null and rows repeat."""
+    import duckdb
+
+    from versio.llm import oracles as O
+    rnd = random.Random(2)
+    rows = [(rnd.choice([1, 2, None]), rnd.choice([None, 0, 1, 2]), rnd.choice(["ann", "bob", "system", None]), rnd.choice(["a", "b", None, f"t {i}"]))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/c/*.parquet')")
+    want = con.sql(O.CHAT)
+    got = C.rotate(df).select(*want.columns).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want.fetchall()))
 
 
 def test_empty_and_native(spark):

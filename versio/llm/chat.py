@@ -2,59 +2,48 @@
 
 For every participant of a conversation the dialogue is rendered once with that
 speaker as the assistant and all others as named users; the mask marks what the
-assistant says. A dialogue is cut into blocks of consecutive turn numbers, so
+assistant says. A dialogue is cut into blocks of consecutive rows, by their position, so
 that a conversation of any length is many bounded rows; most are one block.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize
+from ..operators.rank import exact_rank
 
-#: Turn numbers in a block; rows from which a block is cut by turn number, and
-#: rows a piece of one turn number then has on average at most.
-BLOCK_TURNS, BLOCK_ROWS, PIECE_ROWS = 64, 1024, 512
+#: Rows of a dialogue in a block.
+BLOCK_TURNS = 64
 END = "<|end|>\n"
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role",
            text_col: str = "text", system: str = "system", block_turns: int = BLOCK_TURNS) -> DataFrame:
     """One row per conversation, participant and block: ``conv_id, perspective,
-    block, from_turn, part, n_turns, n_rows, text, mask_starts, mask_ends``.
+    block, from_turn, n_turns, n_rows, text, mask_starts, mask_ends``.
 
-    The dialogue of a perspective is its blocks by ``block, from_turn, part``;
-    mask spans are character offsets into the row's text, end exclusive, and
+    The dialogue of a perspective is its blocks by ``block``, each of
+    ``block_turns`` rows in the order of the conversation (the last may be
+    shorter), ``from_turn`` the turn number of the first; mask spans are character offsets into the row's text, end exclusive, and
     cover what the perspective's speaker says with its end mark. Turns are in
     order of number (null first), speaker, text. Speakers are all but ``system``
     and null: the system stays system, a null speaker is a user without a name,
     and neither is a participant, so a conversation of these alone gives no row.
     A repeated row (all four columns alike) is one turn (``n_rows`` counts the
-    rows); a null text is empty; a null conversation id is a conversation of its
-    own; ``<|`` in texts and names is written ``< |``. Extra columns are ignored."""
+    rows); a null text is empty; rows without a conversation id are one
+    conversation (its output is the product of its speakers and rows, as for any); ``<|`` in texts and names is written ``< |``. Extra columns are ignored."""
     d = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
                      F.col(speaker_col).cast("string").alias("speaker"), F.coalesce(text_col, F.lit("")).alias("text"))
     d = d.groupBy("conv_id", "turn", "speaker", "text").agg(F.count("*").alias("rows"))
-    d = d.withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-1)).cast("long"))
-    d = materialize(d, "chat-turns")
-
-    # blocks with very many rows (ties, null numbers) are cut by turn and then by hash
-    per_turn = d.groupBy("conv_id", "block", "turn").agg(F.count("*").alias("n"))
-    full = materialize(per_turn.groupBy("conv_id", "block").agg(F.sum("n").alias("all")).where(F.col("all") > BLOCK_ROWS), "chat-full")
-    if full.isEmpty():
-        d = d.withColumns({"piece": F.lit(None).cast(d.schema["turn"].dataType), "part": F.lit(0).cast("long")})
-    else:
-        cut = (per_turn.withColumn("k", F.xxhash64("conv_id", "block"))
-               .join(checked_broadcast(full.select(F.xxhash64("conv_id", "block").alias("k")).distinct()), "k")
-               .select(F.xxhash64("conv_id", "block", "turn").alias("k"), F.ceil(F.col("n") / PIECE_ROWS).alias("parts"))
-               .groupBy("k").agg(F.max("parts").alias("parts")))
-        d = (d.withColumn("k", F.xxhash64("conv_id", "block", "turn")).join(checked_broadcast(materialize(cut, "chat-cut")), "k", "left")
-             .withColumn("piece", F.when(F.col("parts").isNotNull(), F.col("turn")))
-             .withColumn("part", F.coalesce(F.pmod(F.xxhash64("speaker", "text"), "parts"), F.lit(0)).cast("long")))
+    # positions over all conversations; no window holds one of them
+    d = exact_rank(d, ["conv_id", "turn", "speaker", "text"], rank_col="pos")
+    start = d.groupBy(F.col("conv_id").alias("c")).agg(F.min("pos").alias("start"))
+    d = d.join(start, d["conv_id"].eqNullSafe(start["c"])).drop("c")
+    d = d.withColumn("block", F.floor((F.col("pos") - F.col("start")) / block_turns).cast("long")).drop("pos", "start")
 
     people = (d.where(F.col("speaker").isNotNull() & (F.col("speaker") != system))
               .select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct())
     seen = d.join(people, d["conv_id"].eqNullSafe(people["c"]))
-    grouped = seen.groupBy("conv_id", "perspective", "block", "piece", "part").agg(
+    grouped = seen.groupBy("conv_id", "perspective", "block").agg(
         F.array_sort(F.collect_list(F.struct("turn", "speaker", "text", "rows"))).alias("t"))
 
     def plain(c):
@@ -79,7 +68,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
     out = grouped.withColumn("s", F.transform("t", segment)).withColumn("m", F.aggregate("s", zero, walk, lambda a: a["spans"]))
     return out.select(
-        "conv_id", "perspective", "block", F.get("t", F.lit(0))["turn"].alias("from_turn"), "part", F.size("t").alias("n_turns"),
+        "conv_id", "perspective", "block", F.get("t", F.lit(0))["turn"].alias("from_turn"), F.size("t").alias("n_turns"),
         F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["rows"]).alias("n_rows"),
         F.array_join(F.transform("s", lambda x: x["text"]), "").alias("text"),
         F.transform("m", lambda x: x["a"]).alias("mask_starts"), F.transform("m", lambda x: x["b"]).alias("mask_ends"))

@@ -38,16 +38,17 @@ SELECT page_id, host, path, rule, listed,
 
 _PLAIN = "replace({}, '<|', '< |')"
 CHAT = f"""
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, count(*) AS n FROM conversations GROUP BY ALL),
+WITH g AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, count(*) AS n FROM conversations GROUP BY ALL),
+t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) - 1) // 64 AS block FROM g),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-s AS (SELECT conv_id, perspective, CAST(coalesce(floor(turn / 64), -1) AS BIGINT) AS block, turn, role, n,
+s AS (SELECT t.conv_id, perspective, CAST(block AS BIGINT) AS block, turn, role, n,
              role IS NOT DISTINCT FROM perspective AS own, {_PLAIN.format("text")} || '<|end|>' || chr(10) AS body, text,
              CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
                   WHEN role IS NULL THEN '<|user|>' ELSE '<|user name=' || {_PLAIN.format("role")} || '|>' END || chr(10) AS head
-      FROM t JOIN p USING (conv_id)),
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, block
              ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS stop FROM s)
-SELECT conv_id, perspective, block, min(turn) AS from_turn, CAST(0 AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS n_turns,
+SELECT conv_id, perspective, block, first(turn ORDER BY stop) AS from_turn, CAST(count(*) AS INTEGER) AS n_turns,
        CAST(sum(n) AS BIGINT) AS n_rows, string_agg(head || body, '' ORDER BY stop) AS text,
        coalesce(list(CAST(stop - length(body) AS INTEGER) ORDER BY stop) FILTER (WHERE own), []) AS mask_starts,
        coalesce(list(CAST(stop AS INTEGER) ORDER BY stop) FILTER (WHERE own), []) AS mask_ends
