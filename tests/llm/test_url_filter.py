@@ -62,3 +62,28 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "key string")
     assert U.judge_urls(pages, none).first()["judged"]["verdict"] == "allow"
     assert U.judge_urls(pages.where("false"), none).count() == 0
+
+
+def test_query_uses_deeper_levels(spark):
+    """The registered list grows with the pages: hundreds of keys, several levels."""
+    from pyspark.sql import functions as F
+
+    from versio.llm.queries import registry
+    sf = "/root/testdata/sf0.01"
+    out = registry()["op4_bloom_cascade_urls"][0](spark, sf).collect()
+    listed = [r["listed"] for r in out]
+    assert 0.03 < sum(listed) / len(listed) < 0.9 and {r["verdict"] for r in out} == {"allow", "block"}
+    d = spark.read.parquet(f"{sf}/pages.parquet").select(*[c.alias(n) for c, n in zip(U.split_url(F.col("url")), ("host", "path"))])
+    keys = d.select(F.explode(U.keys_of(F.col("host"), F.col("path"))).alias("key")).distinct()
+    table, _ = U.cascade_table(keys, keys.where(F.startswith(F.md5("key"), F.lit("a"))))
+    assert table.agg(F.max("level")).first()[0] >= 1
+
+
+def test_several_passes_hold_one_part(spark, monkeypatch):
+    """With several passes the plan of the result has one lookup, not one a pass."""
+    monkeypatch.setattr(U, "PASS_BYTES", 40)
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/p") for i in range(300)], "page_id long, url string")
+    listed = spark.createDataFrame([(f"h{i}.com",) for i in range(0, 300, 3)], "key string")
+    out = U.judge_urls(pages, listed)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("judge(") == 1
+    assert {r["page_id"]: r["judged"]["verdict"] for r in out.collect()} == {i: "allow" if i % 3 else "block" for i in range(300)}

@@ -19,7 +19,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
-#: Listed domains of the URL filter (fixed values): each with its subdomains.
+#: Listed domains of the URL filter (fixed values): each with its subdomains. Listed
+#: besides are the hosts and the hosts with path of all pages whose MD5 starts with
+#: this digit, so that the list grows with the pages.
+LISTED_MD5 = "a"
 LISTED_DOMAINS = ["adult-x.example.com", "ads-track.example.com", "casino-win.example.net", "cheap-pills.example.net",
                   "free-bets.example.net", "spam-farm.example.org"]
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -29,9 +32,14 @@ URL_FILTER = f"""
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, {_LOW.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+k AS (SELECT DISTINCT unnest([host, host || path]) AS key FROM p WHERE host <> ''),
+l AS (SELECT list(key) AS keys FROM (SELECT key FROM k WHERE starts_with(md5(key), '{LISTED_MD5}')
+      UNION SELECT unnest({LISTED_DOMAINS!r}))),
+h AS (SELECT *, string_split(host, '.') AS labels FROM p),
 q AS (SELECT *, CASE {" ".join(f"WHEN {_FITS.format(*pat.split('/', 1))} THEN '{pat}'" for pat, _ in
                                sorted(URL_RULES, key=lambda x: -len(x[0])))} END AS rule,
-             {" OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in LISTED_DOMAINS)} AS listed FROM p)
+             host <> '' AND list_has_any(list_append(list_transform(range(1, len(labels) + 1), lambda i: array_to_string(labels[i:], '.')),
+                                                     host || path), (SELECT keys FROM l)) AS listed FROM h)
 SELECT page_id, host, path, rule, listed,
        CASE {" ".join(f"WHEN rule = '{pat}' THEN '{v}'" for pat, v in URL_RULES)}
             WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM q"""

@@ -88,9 +88,15 @@ def q_sentencepiece(spark, sf_dir):
 
 @query("op4_bloom_cascade_urls", O.URL_FILTER)
 def q_urls(spark, sf_dir):
-    """Verdict on every page's URL: rules, else the listed domains."""
-    listed = spark.createDataFrame([(d,) for d in O.LISTED_DOMAINS], "key string")
-    return UF.judge_urls(_table(spark, sf_dir, "pages"), listed, O.URL_RULES).select("page_id", "judged.*")
+    """Verdict on every page's URL: rules, else the listed keys (some fixed
+    domains, and a sixteenth of the hosts and of the hosts with path)."""
+    pages = _table(spark, sf_dir, "pages")
+    host, path = UF.split_url(F.col("url"))
+    keys = pages.select(host.alias("host"), path.alias("path")).where("host != ''").select(
+        F.explode(F.array(F.col("host"), F.concat("host", "path"))).alias("key"))
+    listed = keys.where(F.startswith(F.md5("key"), F.lit(O.LISTED_MD5))).unionByName(
+        spark.createDataFrame([(d,) for d in O.LISTED_DOMAINS], "key string")).distinct()
+    return UF.judge_urls(pages, listed, O.URL_RULES).select("page_id", "judged.*")
 
 
 @query("op5_perspective_rotation", O.CHAT)

@@ -160,7 +160,8 @@ def _judge(shared):
 
 def _any_listed(df: DataFrame, table: DataFrame, shards: int) -> DataFrame:
     """``df`` and the boolean ``__listed``: any of ``__keys`` is in the list.
-    Each pass sends the tasks a bounded part of the shards' filters."""
+    Each pass sends the tasks a bounded part of the shards' filters, and its
+    result is written before the next, so only one part is held at a time."""
     sizes = table.groupBy("shard").agg(F.sum(F.length("filter")).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     passes = max(1, math.ceil(total / PASS_BYTES * 1.1))
@@ -172,6 +173,9 @@ def _any_listed(df: DataFrame, table: DataFrame, shards: int) -> DataFrame:
         test = F.arrow_udf(_judge(shared), "boolean")
         out = out.withColumn("__listed", F.col("__listed") | test(
             F.transform("__keys", lambda k: F.xxhash64(k)), F.transform("__keys", lambda k: F.xxhash64(k, F.lit(1)))))
+        if p < passes - 1:
+            out = materialize(out, "url-pass")
+            shared.unpersist()
     return out
 
 
