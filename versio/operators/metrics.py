@@ -36,13 +36,16 @@ def _all_ngrams(words: Column, max_n: int) -> Column:
 
 
 def ngram_counts(df: DataFrame, key_cols, text_col, max_n: int = MAX_N, partitions: int | None = None) -> DataFrame:
-    """``(key..., n, gram, count)`` of word n-grams of whitespace-split text."""
+    """``(key..., n, gram, count)`` of word n-grams of whitespace-split text.
+    With ``partitions`` both the rows and their n-grams are dealt to so many
+    tasks, whose groups then take the memory of that share."""
     # the words are a column of their own before the generator, so the
     # regex runs once per row, not once per reference inside the n-gram lists
     w = spread_rows(df, partitions).select(*key_cols, whitespace_words(_text(text_col)).alias("_w"))
-    g = w.select(*key_cols, F.explode(_all_ngrams(F.col("_w"), max_n)).alias("_g"))
-    return g.groupBy(*key_cols, F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram")).agg(
-        F.count(F.lit(1)).alias("count"))
+    g = w.select(*key_cols, F.explode(_all_ngrams(F.col("_w"), max_n)).alias("_g")).select(*key_cols, "_g.n", "_g.gram")
+    if partitions is not None:
+        g = g.repartition(int(partitions), *key_cols, "n", "gram")
+    return g.groupBy(*key_cols, "n", "gram").agg(F.count(F.lit(1)).alias("count"))
 
 
 def bleu_stats(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N, partitions: int | None = None) -> DataFrame:
@@ -52,14 +55,17 @@ def bleu_stats(df: DataFrame, key_cols, hyp_col, ref_col, max_n: int = MAX_N, pa
     Both sides' n-grams go through one aggregation keyed by (row, n, gram)
     — no join — and frequent n-grams cannot skew it because the key holds
     the row. Rows are told apart by a number of their own, so repeated ids in
-    ``key_cols`` stay separate pairs.
+    ``key_cols`` stay separate pairs. With ``partitions`` the rows are dealt to
+    so many tasks by that number and their n-grams are counted where they are.
     """
     key_cols = ["_row"]
     side = F.array(
         F.struct(F.lit(0).alias("side"), whitespace_words(_text(hyp_col)).alias("w")),
         F.struct(F.lit(1).alias("side"), whitespace_words(_text(ref_col)).alias("w")))
-    s = spread_rows(df, partitions).withColumn("_row", F.monotonically_increasing_id()).select(
-        *key_cols, F.explode(side).alias("_s"))
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    if partitions is not None:
+        rows = rows.repartition(int(partitions), "_row")
+    s = rows.select(*key_cols, F.explode(side).alias("_s"))
     g = s.select(*key_cols, F.col("_s.side").alias("side"),
                  F.explode(_all_ngrams(F.col("_s.w"), max_n)).alias("_g"))
     counts = g.groupBy(*key_cols, F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram")).agg(

@@ -22,7 +22,7 @@ from ..operators import manifest as M
 from ..operators import metrics as X
 from ..operators import sampling as S
 from ..operators import vocab as V
-from ..operators.partitioning import spread_rows
+from ..operators.partitioning import pieces, spread_rows
 from ..session import ensure_checkpoint_dir
 from ..sources import files as FS
 from ..sources.pairs import load_fixture_pairs, project_lang, read_pairs
@@ -77,6 +77,11 @@ def _pairs(spark, sf_dir):
     return _dealt(load_fixture_pairs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def _conversation_pieces(spark, sf_dir):
+    """Partitions for work on the n-grams of the pairs."""
+    return pieces(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "text")
+
+
 def _split(spark, sf_dir, max_samples=None):
     return split_pairs(_pairs(spark, sf_dir), SEED, max_samples)
 
@@ -799,9 +804,9 @@ g AS (
 SELECT id, n, gram, count(*) AS count FROM g GROUP BY id, n, gram""")
 def q_ngram_counts(spark, sf_dir):
     """Word 1- to 4-gram counts of every reference text."""
-    p = _pairs(spark, sf_dir)
-    return X.ngram_counts(p.select("id", project_lang(p, "it", "text")), ["id"], "text").select(
-        "id", "n", "gram", "count")
+    p = load_fixture_pairs(spark, sf_dir)
+    return X.ngram_counts(p.select("id", project_lang(p, "it", "text")), ["id"], "text",
+                          partitions=_conversation_pieces(spark, sf_dir)).select("id", "n", "gram", "count")
 
 
 def _bleu_sql() -> str:
