@@ -27,3 +27,13 @@ def test_groups_of_ngrams_are_dealt_to_the_partitions(spark):
     many = X.ngram_counts(df, ["id"], "text", partitions=37)
     assert {tuple(r) for r in many.collect()} == few and (1, 2, "a b", 3) in few and (None, 1, "a", 1) in few
     assert 37 in _exchanges(many)
+
+
+def test_corpus_scores_are_dealt_to_the_partitions(spark):
+    rows = [(1, "a b c d e", "a b c d f"), (1, "a b c d e", "a b c d e"), (None, None, "x"), (2, "", "")]
+    df = spark.createDataFrame(rows, "id long, hyp string, ref string")
+    few = X.corpus_scores(df, ["id"], "hyp", "ref").first()
+    many = X.corpus_scores(df, ["id"], "hyp", "ref", partitions=37)
+    assert many.first() == few and few.bleu > 0 and few.decoded_test_examples == 4
+    stats = X.bleu_stats(df, ["id"], "hyp", "ref", partitions=37)
+    assert 37 in _exchanges(stats) and stats.first() == X.bleu_stats(df, ["id"], "hyp", "ref").first()

@@ -144,7 +144,7 @@ def corpus_scores(predictions: DataFrame, key_cols=("id",), hyp_col: str = "pred
     errors = e.agg((F.sum("char_errors") / F.sum("ref_chars")).alias("cer"),
                    (F.sum("word_errors") / F.sum("ref_words")).alias("wer"),
                    F.count(F.lit(1)).alias("decoded_test_examples"))
-    return one_row(bleu(predictions, key_cols, hyp_col, ref_col).select("bleu"), errors)
+    return one_row(bleu(predictions, key_cols, hyp_col, ref_col, partitions=partitions).select("bleu"), errors)
 
 
 def test_results(test_loss: DataFrame, scores: DataFrame, all_test: DataFrame,

@@ -833,15 +833,16 @@ SELECT round(CASE WHEN least(c1, c2, c3, c4) = 0 THEN 0.0
 FROM agg, lens"""
 
 
-def _metric_pairs(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
+def _metric_pairs(spark, sf_dir, dealt=True):
+    p = _pairs(spark, sf_dir) if dealt else load_fixture_pairs(spark, sf_dir)
     return p.select("id", project_lang(p, "en", "hyp"), project_lang(p, "it", "ref"))
 
 
 @query("bleu", _bleu_sql())
 def q_bleu(spark, sf_dir):
     """Corpus BLEU-4 of user turns against the assistant turns."""
-    b = X.bleu(_metric_pairs(spark, sf_dir), ["id"], "hyp", "ref")
+    b = X.bleu(_metric_pairs(spark, sf_dir, dealt=False), ["id"], "hyp", "ref",
+               partitions=_conversation_pieces(spark, sf_dir))
     return b.select(_r("bleu").alias("bleu"), *[_r(f"precision_{n}").alias(f"precision_{n}") for n in range(1, 5)],
                     "hyp_len", "ref_len")
 
@@ -901,9 +902,9 @@ def q_test_results(spark, sf_dir):
     """The results row over the stand-ins: loss of the logits table, metrics
     and counts of the conversation pairs, best epoch of one run of the event
     history. (``evaluate_run`` is the same over a real test split.)"""
-    pairs = _metric_pairs(spark, sf_dir)
+    pairs = _metric_pairs(spark, sf_dir, dealt=False)
     loss = L.cross_entropy(FX.logits(spark, sf_dir), "logits", "label", 0.1)
-    scores = X.corpus_scores(pairs, ["id"], "hyp", "ref")
+    scores = X.corpus_scores(pairs, ["id"], "hyp", "ref", partitions=_conversation_pieces(spark, sf_dir))
     best = H.best_epoch(_history(spark, sf_dir))
     r = X.test_results(loss, scores, pairs, best, "run1")
     return r.select(*[_r(c).alias(c) for c in ("test_loss", "bleu", "cer", "wer")],
