@@ -58,3 +58,13 @@ def test_edge_cases(spark):
     assert Q.keep_good(docs, labels.where("quality = 1")).count() == len(rows)  # one class only: nothing to go by
     assert Q.keep_good(docs, labels.where("false")).count() == len(rows)
     assert Q.score_documents(docs.where("false"), labels).count() == 0
+
+
+def test_filter_reads_every_text_once(spark):
+    """The stage asks Python once for a text's evidence; the filter pushed below the
+    join made a second evaluation, with a second worker in each task."""
+    docs = spark.createDataFrame([(i, "plain text of words" if i % 2 else "### $$$", "s", "en") for i in range(20)],
+                                 "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    plan = Q.keep_good(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

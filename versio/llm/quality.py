@@ -94,7 +94,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, id_col:
 
 
 def evidence(text_col: str, model: dict | None):
-    """Column: log-odds the text alone adds to the prior; 0 without a word."""
+    """Column: log-odds the text alone adds to the prior; 0 without a word. Spark
+    is told that it is not deterministic: a filter that needs it, or that it is not
+    null, would be pushed below it with a second evaluation of every text, by a
+    second Python worker in each task."""
     if model is None:
         return F.lit(0.0)
     w, base, cap = np.array(model["weights"]), model["intercept"] - _logit(model["mean"]), LOGIT_CAP
@@ -103,7 +106,7 @@ def evidence(text_col: str, model: dict | None):
         f = [text_features(t) for t in text]
         return pd.Series([0.0 if x is None else float(np.clip(np.dot(w, x) + base, -cap, cap)) for x in f])
 
-    return F.pandas_udf(score, T.DoubleType())(F.col(text_col))
+    return F.pandas_udf(score, T.DoubleType()).asNondeterministic()(F.col(text_col))
 
 
 def _strength(n_sites, spread, noise, mean) -> float:
