@@ -150,3 +150,17 @@ def test_query_of_the_table_files(spark):
         if r["status"] != "absent":
             with open(f"/root/testdata/sf0.001/{r['name']}", "rb") as f:
                 assert hashlib.sha256(f.read()).hexdigest() == r["sha256"]
+
+
+def test_query_of_table_files_over_2_gb(spark, scratch):
+    """Neither side reads a file as one cell, which ends at 2 GB."""
+    from versio.plans.catalog import registry
+    put(f"{scratch}/part.parquet", "a b%20c.parquet", "abc")
+    put(f"{scratch}/part.parquet", "_hidden.parquet", "x")
+    put(scratch, "nation.parquet", "n")
+    put(scratch, "region.parquet", "r")
+    with open(f"{scratch}/large.parquet", "wb") as f:
+        f.truncate((1 << 31) + 7)
+    rows = {r["name"]: (r["length"], r["status"]) for r in registry()["verify_files"][0](spark, scratch).collect()}
+    assert rows == {"large.parquet": ((1 << 31) + 7, "ok"), "part.parquet/a b%20c.parquet": (3, "ok"), "nation.parquet": (1, "mismatch"),
+                    "region.parquet": (1, "unpinned"), "gone.parquet": (None, "absent")}

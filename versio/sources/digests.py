@@ -25,6 +25,16 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+def _digest(fs: pafs.FileSystem, path: str) -> tuple[int, str]:
+    """Length and SHA-256 of a file, read in pieces."""
+    sha, size = hashlib.sha256(), 0
+    with fs.open_input_stream(path, compression=None) as stream:
+        while piece := stream.read(PIECE):
+            sha.update(piece)
+            size += len(piece)
+    return size, sha.hexdigest()
+
+
 class _Files(InputPartition):
     def __init__(self, files: list[tuple[str, str]]):
         self.files = files  # path, name
@@ -58,12 +68,8 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         fs, _ = _file_system(self.root)
         for path, name in partition.files:
-            sha, size = hashlib.sha256(), 0
-            with fs.open_input_stream(path, compression=None) as stream:
-                while piece := stream.read(PIECE):
-                    sha.update(piece)
-                    size += len(piece)
-            yield pa.RecordBatch.from_pydict({"path": [path], "name": [name], "length": [size], "sha256": [sha.hexdigest()]})
+            size, sha = _digest(fs, path)
+            yield pa.RecordBatch.from_pydict({"path": [path], "name": [name], "length": [size], "sha256": [sha]})
 
 
 class FileDigestSource(DataSource):
@@ -80,6 +86,15 @@ class FileDigestSource(DataSource):
         return _Reader(self.options["path"], self.options.get("glob"))
 
 
+def _pieces_readable(path: str) -> bool:
+    """Whether ``pyarrow.fs`` knows the store of ``path``."""
+    try:
+        _file_system(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
 def file_digests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``(path, name, length, sha256)`` of every file under ``path`` (a file or a
     folder with its subfolders; hidden files, which start with ``.`` or ``_``,
@@ -88,10 +103,8 @@ def file_digests(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     Files are read in pieces, so they may be of any size. A store that only
     Spark can read, not ``pyarrow.fs``, goes through ``binaryFile``, where one
     file must stay under 2 GB."""
-    try:
-        _file_system(path)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
-        return _binary_digests(spark, path, glob)
+    if not _pieces_readable(path):
+        return listed_digests(spark, path, glob)
     spark.dataSource.register(FileDigestSource)
     reader = spark.read.format("file_digests")
     if glob:
@@ -99,12 +112,26 @@ def file_digests(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     return reader.load(path)
 
 
-def _binary_digests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def listed_digests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """The same columns of the files that Spark's whole-file reader lists. It
+    only reads their content, whole, where ``pyarrow.fs`` does not know the
+    store; else the tasks read it in pieces."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
     below = F.expr("substring(path, %d)" % (len(root) + 2))
-    return reader.load(path).select("path", F.when(F.col("path") == root, F.regexp_extract("path", r"([^/]+)$", 1)).otherwise(below).alias("name"),
-                                    "length", F.sha2(F.col("content"), 256).alias("sha256"))
+    name = F.when(F.col("path") == root, F.regexp_extract("path", r"([^/]+)$", 1)).otherwise(below).alias("name")
+    found = reader.load(path)
+    if not _pieces_readable(path):
+        return found.select("path", name, "length", F.sha2(F.col("content"), 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = _file_system(path)
+        for b in batches:
+            for at, called in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                size, sha = _digest(fs, top if at == root else f"{top.rstrip('/')}/{called}")
+                yield pa.RecordBatch.from_pydict({"path": [at], "name": [called], "length": [size], "sha256": [sha]})
+
+    return found.select("path", name).mapInArrow(run, SCHEMA)
