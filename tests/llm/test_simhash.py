@@ -5,6 +5,7 @@ import re
 
 import xxhash
 
+from versio.llm import common as C
 from versio.llm import simhash as S
 from versio.llm.common import connected_components
 
@@ -97,3 +98,14 @@ def test_mark_of_many_edges(spark):
     from versio.llm.common import edge_mark
     n, s = edge_mark(spark.range(20_000_000).selectExpr("id AS u", "id + 1 AS v"))
     assert n == 20_000_000 and s > 1 << 63
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_entries_are_not_broadcast(spark, scratch):
+    """Spark sizes a written table by its files and leaves out what an explode adds."""
+    spark.range(300).selectExpr("xxhash64(id) AS fp", "id AS first").write.parquet(f"{scratch}/nodes")
+    nodes = spark.read.parquet(f"{scratch}/nodes")
+    assert "Broadcast" not in plan(S.near_links(nodes, 2)) and "SortMergeJoin" in plan(S.near_links(nodes, 2))

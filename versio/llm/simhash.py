@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, connected_components, materialize, scratch_tables
+from .common import checked_broadcast, connected_components, materialize, not_broadcast, scratch_tables
 
 BITS = 64
 #: Fingerprints with one segment value beyond which its index entries get
@@ -88,7 +88,7 @@ def _cut(bits: list[int], parts: int) -> list[list[int]]:
 def _verified(left: DataFrame, right: DataFrame, max_bits: int) -> DataFrame:
     l, r = left.select("key", F.col("fp").alias("a")), right.select("key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return (l.join(r, (l["key"] == r["key"]) & (F.col("a") != F.col("b")) & near)
+    return (l.join(not_broadcast(r), (l["key"] == r["key"]) & (F.col("a") != F.col("b")) & near)
             .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
 
 
