@@ -109,3 +109,15 @@ def test_index_entries_are_not_broadcast(spark, scratch):
     spark.range(300).selectExpr("xxhash64(id) AS fp", "id AS first").write.parquet(f"{scratch}/nodes")
     nodes = spark.read.parquet(f"{scratch}/nodes")
     assert "Broadcast" not in plan(S.near_links(nodes, 2)) and "SortMergeJoin" in plan(S.near_links(nodes, 2))
+
+
+def test_only_proven_sides_are_broadcast(spark, monkeypatch):
+    """Beyond the bounds a side shuffles, however small its files look; so do many edges."""
+    few, many = (spark.range(9).join(C.checked_broadcast(spark.range(5), n), "id") for n in (5, 4))
+    assert "BroadcastHashJoin" in plan(few) and "Broadcast" not in plan(many)
+    sides, shuffled = [], C.not_broadcast
+    monkeypatch.setattr(C, "not_broadcast", lambda df: sides.append(df.columns) or shuffled(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    assert {r["root"] for r in connected_components(edges).collect()} == {0} and not sides
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 4)
+    assert {r["root"] for r in connected_components(edges).collect()} == {0} and sides
